@@ -65,6 +65,12 @@ def _is_set(flags: Column, bucket: Column) -> Column:
     return F.bit_get(F.element_at(flags, F.shiftright(bucket, 6) + 1), bucket.bitwiseAND(F.lit(63))) == 1
 
 
+def _windows_at(k: int) -> Column:
+    """The windows of k words that start at the likely positions."""
+    fits = F.filter("_likely", lambda i: i + (k - 1) <= F.size("_w"))
+    return F.transform(fits, lambda i: F.struct(i.alias("at"), F.lit(k).alias("len"), F.array_join(F.slice("_w", i, F.lit(k)), " ").alias("window")))
+
+
 def verified_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """Rows of (doc_id, text_key, n_words, at, len, window): all occurrences of windows.
 
@@ -83,10 +89,7 @@ def verified_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFra
     size = F.size("_w")
     starts = F.when(size >= lengths[0], F.sequence(F.lit(1), size - (lengths[0] - 1))).otherwise(F.array().cast("array<int>"))
     likely = F.filter(starts, lambda i: _is_set(flags, _bucket([F.element_at("_w", i + k) for k in range(head)], buckets)))
-    spelt = [
-        F.transform(F.filter("_likely", lambda i, k=k: i + (k - 1) <= size), lambda i, k=k: F.struct(i.alias("at"), F.lit(k).alias("len"), F.array_join(F.slice("_w", i, F.lit(k)), " ").alias("window")))
-        for k in lengths
-    ]
+    spelt = [_windows_at(k) for k in lengths]
     marker = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("string").alias("window")))
     rows = (
         base.withColumn("_likely", likely)
