@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = sigmoid(w . x - threshold_k) for k = 0, 1, 2 with one weight vector shared
-by the ordered thresholds. x holds log(1 + count) of hashed lower-cased words. Labels only
+by the ordered thresholds. x holds log(1 + count) of hashed lower-cased words and of their
+beginnings (PREFIXES bytes), which inflected languages need. Labels only
 say toxic or not, so grades for the fit come from the labelled sample itself: words whose
 smoothed odds are MARKER_ODDS times higher in toxic documents are markers, and a toxic
 document is of grade 1, 2 or 3 by its marker occurrences (GRADE_AT). Weights are kept
@@ -35,6 +36,7 @@ MARKER_ODDS, MARKER_SHARE = 8.0, 0.01
 L1, ROUNDS, RATE = 2e-4, 150, 0.1
 #: Documents whose P(grade > 0) is this or more are toxic.
 TOXIC = 0.5
+PREFIXES = (5, 7)
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -45,7 +47,9 @@ class Model:
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
+    """Words, and the beginnings of longer words, marked by a leading space."""
+    words = _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
+    return words + [b" " + w[:n] for n in PREFIXES for w in words if len(w) > n]
 
 
 def buckets(words: list[bytes]) -> np.ndarray:
