@@ -1,7 +1,49 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The others (extraction, surrogates, trained classifiers, XXH64 fingerprints, greedy
+packing) are held against brute-force versions, invariants or held-out rows in tests/llm.
+"""
 
 from __future__ import annotations
 
+from . import decontam, line_dedup
+from .common import LOWER, UPPER
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    n, sites, words = decontam.WINDOW, line_dedup.MIN_SITES, line_dedup.MIN_WORDS
+    return {
+        "op1_decontamination": f"""
+            WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+            win AS (
+                SELECT DISTINCT item_id, least(len(w), {n}) AS l, array_to_string(w[i:i + {n} - 1], ' ') AS win
+                FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - {n - 1}, 1))) AS i FROM b WHERE len(w) > 0)
+            ),
+            d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+            spot AS (SELECT doc_id, l, w, unnest(generate_series(1, len(w) - l + 1)) AS i FROM d, (SELECT DISTINCT l FROM win) WHERE len(w) >= l),
+            hit AS (SELECT a.doc_id, a.i, a.l, a.win FROM (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS win FROM spot) a WHERE a.win IN (SELECT win FROM win)),
+            covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + l - 1)) AS p FROM hit) GROUP BY doc_id),
+            items AS (
+                SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+                FROM (SELECT DISTINCT hit.doc_id, cast(win.item_id AS VARCHAR) AS item FROM hit JOIN win USING (win)) GROUP BY doc_id
+            )
+            SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+        "op5_line_dedup": f"""
+            WITH l AS (
+                SELECT doc_id, source, text, pos, line, trim(line, ' ') AS bare,
+                    len(regexp_split_to_array(trim(line, ' '), '[\\x20\\x09-\\x0D]+')) >= {words} AS fit
+                FROM (
+                    SELECT doc_id, source, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line
+                    FROM documents
+                )
+            ),
+            known AS (SELECT bare FROM l WHERE fit GROUP BY bare HAVING count(DISTINCT coalesce(source, '')) >= {sites} AND count(DISTINCT text) >= {sites}),
+            marked AS (SELECT *, fit AND bare IN (SELECT bare FROM known) AS gone FROM l)
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+                coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+            FROM marked GROUP BY doc_id""",
+    }
