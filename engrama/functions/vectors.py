@@ -28,7 +28,7 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 def score(distance: Column | str) -> Column:
     """clamp(1 - d / 2, 0, 1); 0.5 for no distance."""
     d = F.col(distance) if isinstance(distance, str) else distance
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - d / 2)), F.lit(0.5))
+    return F.when(d.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - d / 2)))
 
 
 def normalize(v: Column | str) -> Column:

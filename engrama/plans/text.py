@@ -73,7 +73,7 @@ def cosine_distance(spark, sf):
     return pairs.select("id", "query_id", F.round(vx.cosine_distance("embedding", "vector"), 6).alias("distance"))
 
 
-@query("cosine_score", "SELECT vec_id, round(coalesce(greatest(0, least(1, 1 - d / 2)), 0.5), 6) AS score FROM (SELECT vec_id, CASE WHEN vec_id % 10 > 0 THEN CAST(vec_id % 50 AS DOUBLE) / 20 END AS d FROM embeddings)")
+@query("cosine_score", "SELECT vec_id, round(CASE WHEN d IS NULL THEN 0.5 ELSE greatest(0, least(1, 1 - d / 2)) END, 6) AS score FROM (SELECT vec_id, CASE WHEN vec_id % 10 > 0 THEN CAST(vec_id % 50 AS DOUBLE) / 20 END AS d FROM embeddings)")
 def cosine_score(spark, sf):
     d = F.expr("case when vec_id % 10 > 0 then cast(vec_id % 50 as double) / 20 end")
     return T.raw(spark, sf, "embeddings").select("vec_id", F.round(vx.score(d), 6).alias("score"))
