@@ -20,9 +20,19 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
     """1 - cosine, null for a zero vector."""
-    return F.when((norm(a) > 0) & (norm(b) > 0), 1.0 - dot(a, b) / (norm(a) * norm(b)))
+    return let(norm(a) * norm(b), lambda n: F.when(n > 0, 1.0 - dot(a, b) / n))
+
+
+def unit(v: Column | str) -> Column:
+    """The unit vector, null for a zero vector: pairs of units need one product each for their distance."""
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(_double(v), lambda x: x / n)))
 
 
 def score(distance: Column | str) -> Column:
@@ -33,8 +43,7 @@ def score(distance: Column | str) -> Column:
 
 def normalize(v: Column | str) -> Column:
     """The unit vector; zeros where the norm is under TINY."""
-    n = norm(v)
-    return F.transform(_double(v), lambda x: F.when(n < TINY, F.lit(0.0)).otherwise(x / n))
+    return let(norm(v), lambda n: F.transform(_double(v), lambda x: F.when(n < TINY, F.lit(0.0)).otherwise(x / n)))
 
 
 def truncate(v: Column | str, dim: int) -> Column:

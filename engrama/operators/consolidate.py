@@ -119,18 +119,22 @@ def _earlier(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("session_id", "id", *columns).join(prior, "session_id").where("match < id")
 
 
+def _units(df: DataFrame) -> DataFrame:
+    return df.withColumn("unit", vx.unit("embedding"))
+
+
 def dedup_cosine(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(id, match, distance): records within dedup_distance of an earlier one of their session; short ones never."""
     long = df.where(F.length(F.trim("content")) >= cfg.min_dedup_chars).select("id")
-    d = _earlier(df, ["embedding"]).select("id", F.struct(vx.cosine_distance("embedding", "_embedding").alias("d"), "match").alias("x")).join(long, "id", "left_semi")
+    d = _earlier(_units(df), ["unit"]).select("id", F.struct((1.0 - vx.dot("unit", "_unit")).alias("d"), "match").alias("x")).join(long, "id", "left_semi")
     best = d.where("x.d is not null").groupBy("id").agg(F.min("x").alias("b"))
     return best.select("id", F.col("b.match").alias("match"), F.col("b.d").alias("distance")).where(F.col("distance") <= cfg.dedup_distance)
 
 
 def dedup_jaccard(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(id, match, jaccard): of the nearest code_candidates earlier records of the session the one whose sparse code overlaps most, if enough."""
-    d = _earlier(df.where(F.length(F.trim("content")) >= cfg.min_dedup_chars), ["embedding", "dg_support"])
-    d = d.select("id", "match", vx.cosine_distance("embedding", "_embedding").alias("d"), codes.jaccard(F.col("dg_support"), F.col("_dg_support")).alias("j"))
+    d = _earlier(_units(df.where(F.length(F.trim("content")) >= cfg.min_dedup_chars)), ["unit", "dg_support"])
+    d = d.select("id", "match", (1.0 - vx.dot("unit", "_unit")).alias("d"), codes.jaccard(F.col("dg_support"), F.col("_dg_support")).alias("j"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("d", "match"))
     near = d.withColumn("r", nth).where(F.col("r") <= cfg.code_candidates)
     best = near.groupBy("id").agg(F.min(F.struct((-F.col("j")).alias("j"), "r", "match")).alias("b"))
@@ -139,7 +143,7 @@ def dedup_jaccard(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def surprise(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """df with more salience where the nearest earlier record of the session is far; none is no surprise."""
-    near = _earlier(df, ["embedding"]).groupBy("id").agg(F.min(vx.cosine_distance("embedding", "_embedding")).alias("_d"))
+    near = _earlier(_units(df), ["unit"]).groupBy("id").agg(F.min(1.0 - vx.dot("unit", "_unit")).alias("_d"))
     boosted = F.when(F.col("_d") >= cfg.surprise_floor, F.least(F.lit(1.0), F.col("salience") + cfg.surprise_boost)).otherwise(F.col("salience"))
     return df.join(near, "id", "left").withColumn("salience", boosted).drop("_d")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from engrama.config import DEFAULT, Config
 from engrama.functions import text as tx
 from engrama.functions import vectors as vx
 
+#: Schema vectors that each task takes as one block, at most.
+SCHEMA_BYTES = 64 << 20
+
 
 def access_times(history: str = "access_history", created: str = "created_at", last: str = "last_accessed", count: str = "retrieval_count") -> Column:
     """The recorded accesses, or what older records allow: created once and last_accessed as often as retrieved."""
@@ -81,13 +88,37 @@ def cap_candidates(df: DataFrame, cap: int = DEFAULT.max_candidates) -> DataFram
 def nearest_schema(candidates: DataFrame, semantic: DataFrame) -> DataFrame:
     """(id, schema, d1, d2): each candidate's nearest schema and the distance of the second; d2 = d1 with one schema.
 
-    Candidates are in an Arrow stream; schemas, a small table by nature, are joined to it
-    by broadcast only while Spark finds them small, and the two least are kept by aggregation.
+    Schemas of SCHEMA_BYTES of vectors at most go to each task as one block, and every
+    Arrow batch of candidates is multiplied with it. More schemas are compared in pairs of
+    unit vectors, and the two least distances kept by aggregation.
     """
-    pairs = candidates.select("id", "embedding").join(semantic.select(F.col("id").alias("schema"), F.col("embedding").alias("_v")))
-    d = pairs.select("id", F.struct(vx.cosine_distance("embedding", "_v").alias("d"), "schema").alias("x")).where("x.d is not null")
-    first = d.groupBy("id").agg(F.min("x").alias("a"), F.slice(F.array_sort(F.collect_list("x.d")), 1, 2).alias("two"))
-    return first.select("id", F.col("a.schema").alias("schema"), F.col("a.d").alias("d1"), F.coalesce(F.get("two", F.lit(1)), "a.d").alias("d2"))
+    known = semantic.select("id", F.col("embedding").cast("array<double>").alias("v")).where(vx.norm("embedding") > 0)
+    size = known.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("n")).first().n * 8
+    if size > SCHEMA_BYTES:
+        pairs = candidates.select("id", vx.unit("embedding").alias("_x")).join(semantic.select(F.col("id").alias("schema"), vx.unit("embedding").alias("_v")))
+        d = pairs.select("id", F.struct((1.0 - vx.dot("_x", "_v")).alias("d"), "schema").alias("x")).where("x.d is not null")
+        first = d.groupBy("id").agg(F.min("x").alias("a"), F.slice(F.array_sort(F.collect_list("x.d")), 1, 2).alias("two"))
+        return first.select("id", F.col("a.schema").alias("schema"), F.col("a.d").alias("d1"), F.coalesce(F.get("two", F.lit(1)), "a.d").alias("d2"))
+    rows = known.orderBy("id").collect()
+    ids = np.array([r.id for r in rows], dtype=np.int64)
+    block = np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    block = block / np.linalg.norm(block, axis=1, keepdims=True) if len(rows) else block
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[[v is not None and len(v) == block.shape[1] for v in pdf["embedding"]]]
+            if not len(pdf) or not len(ids):
+                continue
+            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            n = np.linalg.norm(x, axis=1)
+            good = np.isfinite(n) & (n > 0)
+            d = 1 - (x[good] / n[good, None]) @ block.T
+            first = d.argmin(axis=1)
+            d1 = d[np.arange(len(d)), first]
+            d2 = np.partition(d, 1, axis=1)[:, 1] if len(ids) > 1 else d1
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[good], "schema": ids[first], "d1": d1, "d2": d2})
+
+    return candidates.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(run, "id long, schema long, d1 double, d2 double")
 
 
 def replay_score(strength: Column, d1: Column, d2: Column, beta: float = DEFAULT.schema_margin_beta) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from engrama.config import DEFAULT, Config
 from engrama.functions import vectors as vx
-from engrama.operators import filters
+from engrama.operators import filters, graph
 
 EPS = 1e-9
 MAX_DISTANCE = 2.0
@@ -63,9 +63,11 @@ def knn(df: DataFrame, queries: DataFrame, k: int, keep: tuple[str, ...] = ()) -
 
 def knn_in_session(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, nth) among rows of the query's session: the filter is part of the search."""
-    asked = queries.select("query_id", "vector", "session_id")
-    pairs = df.select("id", "embedding", "session_id").join(F.broadcast(asked), "session_id")
-    d = pairs.select("query_id", "id", vx.cosine_distance("embedding", "vector").alias("distance")).where("distance is not null")
+    if queries.count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    asked = queries.select("query_id", vx.unit("vector").alias("_q"), "session_id")
+    pairs = df.select("id", vx.unit("embedding").alias("_x"), "session_id").join(F.broadcast(asked), "session_id")
+    d = pairs.select("query_id", "id", (1.0 - vx.dot("_x", "_q")).alias("distance")).where("distance is not null")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return d.withColumn("nth", nth).where(F.col("nth") <= k)
 
@@ -94,48 +96,66 @@ def finite(d: Column | str) -> Column:
     return d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
 
 
-# gates: each adds a cut for its group; rows at or under cut + EPS stay
+# gates: each finds a cut for its group by windows, one shuffle for a group's stages; rows at or under cut + EPS stay
 
 
-def _nth_by_distance(group: list[str]) -> Window:
-    return Window.partitionBy(*group).orderBy("distance", "_tie")
+def _finite_d() -> Column:
+    return F.when(finite("distance"), F.col("distance"))
 
 
-def elbow(df: DataFrame, group: list[str], cfg: Config = DEFAULT) -> DataFrame:
-    """(group, cut): the distance before the sharpest knee of the ascending finite distances, or null."""
-    w = Window.partitionBy(*group).orderBy("distance")
+def _ascending(group: list[str]):
+    """Finite distances first, ascending."""
+    return Window.partitionBy(*group).orderBy(finite("distance").desc(), "distance")
+
+
+def _with_ceiling(df: DataFrame, group: list[str], cfg: Config) -> DataFrame:
     every = Window.partitionBy(*group)
-    d = df.where(finite("distance")).select(*group, "distance")
-    d = d.select(*group, "distance", (F.row_number().over(w) - 1).alias("i"), F.lag("distance").over(w).alias("before"))
-    d = d.select("*", F.count(F.lit(1)).over(every).alias("n"), F.min("distance").over(every).alias("lo"), F.max("distance").over(every).alias("hi"))
-    d = d.where((F.col("n") >= cfg.elbow_min_points) & (F.col("hi") - F.col("lo") >= cfg.elbow_min_spread))
-    delta = (F.col("distance") - F.col("lo")) / (F.col("hi") - F.col("lo")) - F.col("i") / (F.col("n") - 1)
-    best = d.select(*group, delta.alias("delta"), "i", "before").groupBy(*group).agg(F.max(F.struct("delta", (-F.col("i")).alias("first"), "before")).alias("b"))
-    return best.select(*group, F.when((F.col("b.delta") >= cfg.elbow_sensitivity) & (F.col("b.first") <= -1), F.col("b.before")).alias("cut"))
+    d = df.withColumns({"_d": _finite_d(), "_i": F.row_number().over(_ascending(group))})
+    d = d.withColumns({"_n": F.count("_d").over(every), "_d1": F.min("_d").over(every), "_d2": F.max(F.when(F.col("_i") == 2, F.col("_d"))).over(every)})
+    top = cfg.ceiling_alpha * F.col("reference")
+    raised = F.when((cfg.ceiling_standout > 0) & (F.col("_d2") - F.col("_d1") >= cfg.ceiling_standout), F.greatest(top, "_d1")).otherwise(top)
+    usable = finite("reference") & (F.col("reference") > 0) & (F.col("_n") >= cfg.ceiling_min_points)
+    return d.withColumn("cut", F.when(usable, raised)).drop("_d", "_i", "_n", "_d1", "_d2")
+
+
+def _with_elbow(df: DataFrame, group: list[str], cfg: Config) -> DataFrame:
+    every, w = Window.partitionBy(*group), _ascending(group)
+    d = df.withColumn("_d", _finite_d())
+    d = d.withColumns({"_i": F.row_number().over(w) - 1, "_before": F.lag("_d").over(w), "_n": F.count("_d").over(every), "_lo": F.min("_d").over(every), "_hi": F.max("_d").over(every)})
+    spread = F.col("_hi") - F.col("_lo")
+    fits = F.col("_d").isNotNull() & (F.col("_n") >= cfg.elbow_min_points) & (spread >= cfg.elbow_min_spread)
+    delta = F.when(fits, (F.col("_d") - F.col("_lo")) / spread - F.col("_i") / (F.col("_n") - 1))
+    d = d.withColumn("_k", F.when(fits, F.struct(delta.alias("delta"), (-F.col("_i")).alias("first"), F.col("_before").alias("before"))))
+    d = d.withColumn("_b", F.max("_k").over(every))
+    cut = F.when((F.col("_b.delta") >= cfg.elbow_sensitivity) & (F.col("_b.first") <= -1), F.col("_b.before"))
+    return d.withColumn("cut", cut).drop("_d", "_i", "_before", "_n", "_lo", "_hi", "_k", "_b")
+
+
+def _with_gap(df: DataFrame, group: list[str], cfg: Config) -> DataFrame:
+    every, w = Window.partitionBy(*group), _ascending(group)
+    d = df.withColumn("_d", _finite_d()).withColumn("_next", F.lead("_d").over(w))
+    return d.withColumn("cut", F.min(F.when(F.col("_next") - F.col("_d") >= cfg.gap, F.col("_d"))).over(every)).drop("_d", "_next")
 
 
 def ceiling(df: DataFrame, group: list[str], cfg: Config = DEFAULT) -> DataFrame:
     """(group, cut): alpha x reference, raised to a nearest hit that stands out; null without enough rows or a reference."""
-    w = Window.partitionBy(*group).orderBy("distance")
-    d = df.where(finite("distance")).select(*group, "distance", "reference", F.row_number().over(w).alias("i"))
-    s = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("d1"), F.max(F.when(F.col("i") == 2, F.col("distance"))).alias("d2"), F.first("reference").alias("reference"))
-    top = cfg.ceiling_alpha * F.col("reference")
-    raised = F.when((cfg.ceiling_standout > 0) & (F.col("d2") - F.col("d1") >= cfg.ceiling_standout), F.greatest(top, "d1")).otherwise(top)
-    usable = finite("reference") & (F.col("reference") > 0) & (F.col("n") >= cfg.ceiling_min_points)
-    return s.select(*group, F.when(usable, raised).alias("cut"))
+    return _with_ceiling(df, group, cfg).groupBy(*group).agg(F.max("cut").alias("cut"))
+
+
+def elbow(df: DataFrame, group: list[str], cfg: Config = DEFAULT) -> DataFrame:
+    """(group, cut): the distance before the sharpest knee of the ascending finite distances, or null."""
+    return _with_elbow(df, group, cfg).groupBy(*group).agg(F.max("cut").alias("cut"))
 
 
 def gap(df: DataFrame, group: list[str], cfg: Config = DEFAULT) -> DataFrame:
     """(group, cut): the distance before the first jump of cfg.gap, or null."""
-    w = Window.partitionBy(*group).orderBy("distance")
-    d = df.where(finite("distance")).select(*group, "distance", F.lead("distance").over(w).alias("next"))
-    return d.groupBy(*group).agg(F.min(F.when(F.col("next") - F.col("distance") >= cfg.gap, F.col("distance"))).alias("cut"))
+    return _with_gap(df, group, cfg).groupBy(*group).agg(F.max("cut").alias("cut"))
 
 
-def _keep(df: DataFrame, cuts: DataFrame, group: list[str]) -> DataFrame:
-    """Rows within their group's cut; all of a group without one. A row that is not finite is outside any cut."""
-    inside = F.col("cut").isNull() | (finite("distance") & (F.col("distance") <= F.col("cut") + EPS))
-    return df.join(cuts, group, "left").where(inside).drop("cut")
+def _inside(df: DataFrame, pooled: bool = False) -> DataFrame:
+    """Rows within their cut; all where there is none. A row that is not finite is outside a cut, but for a pooled one."""
+    near = finite("distance") & (F.col("distance") <= F.col("cut") + EPS)
+    return df.where(F.col("cut").isNull() | near | (~finite("distance") if pooled else F.lit(False))).drop("cut")
 
 
 def gate(df: DataFrame, by_source: bool = True, cfg: Config = DEFAULT) -> DataFrame:
@@ -146,18 +166,19 @@ def gate(df: DataFrame, by_source: bool = True, cfg: Config = DEFAULT) -> DataFr
     if not cfg.gate:
         return df
     group = ["query_id", "source"] if by_source else ["query_id"]
-    out = _keep(df, ceiling(df, group, cfg), group) if cfg.ceiling_alpha > 0 else df
-    out = _keep(out, elbow(out, group, cfg), group) if cfg.elbow_sensitivity > 0 else out
-    if cfg.gap > 0:
-        pooled = out.join(gap(out, ["query_id"], cfg), "query_id", "left")
-        out = pooled.where(F.col("cut").isNull() | ~finite("distance") | (F.col("distance") <= F.col("cut") + EPS)).drop("cut")
-    return out
+    out = _inside(_with_ceiling(df, group, cfg)) if cfg.ceiling_alpha > 0 else df
+    out = _inside(_with_elbow(out, group, cfg)) if cfg.elbow_sensitivity > 0 else out
+    return _inside(_with_gap(out, ["query_id"], cfg), True) if cfg.gap > 0 else out
+
+
+def _anchor() -> Column:
+    """The nearest episodic hit of a query, the first of equals: an aggregate."""
+    return F.min_by("id", F.when((F.col("source") == "episodic") & finite("distance"), F.struct("distance", "nth")))
 
 
 def anchors(hits: DataFrame) -> DataFrame:
-    """(query_id, anchor): the nearest episodic hit, the first of equals."""
-    e = hits.where((F.col("source") == "episodic") & finite("distance"))
-    return e.groupBy("query_id").agg(F.min_by("id", F.struct("distance", "nth")).alias("anchor"))
+    """(query_id, anchor) of the queries that have an episodic hit."""
+    return hits.groupBy("query_id").agg(_anchor().alias("anchor")).where("anchor is not null")
 
 
 def rank(hits: DataFrame, queries: DataFrame, closure: DataFrame, spread: DataFrame, omega: float, cfg: Config = DEFAULT) -> DataFrame:
@@ -165,7 +186,7 @@ def rank(hits: DataFrame, queries: DataFrame, closure: DataFrame, spread: DataFr
 
     closure: (src, dst, m). spread: (anchor, id, activation).
     """
-    out = hits.join(anchors(hits), "query_id", "left").join(queries.select("query_id", F.col("session_id").alias("_caller")), "query_id")
+    out = hits.withColumn("anchor", _anchor().over(Window.partitionBy("query_id"))).join(queries.select("query_id", F.col("session_id").alias("_caller")), "query_id")
     out = out.join(closure.select(F.col("src").alias("anchor"), F.col("dst").alias("id"), "m"), ["anchor", "id"], "left")
     out = out.join(spread.select("anchor", "id", "activation"), ["anchor", "id"], "left")
     key = (1 - omega) * F.col("distance") - omega * F.coalesce("m", F.lit(0.0)) - cfg.spread_weight * F.coalesce("activation", F.lit(0.0))
@@ -189,7 +210,7 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
-def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure: DataFrame, spread: DataFrame, references: DataFrame, omega: float, k: int = 4, cfg: Config = DEFAULT, scope: bool = True) -> DataFrame:
+def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure: DataFrame, edges: DataFrame, references: DataFrame, omega: float, k: int = 4, cfg: Config = DEFAULT, scope: bool = True) -> DataFrame:
     """query_id, position, id, source, distance, score, rank_key of the k best hits of each query. references: (query_id, source, reference)."""
     if k <= 0:
         return hybrid(episodic, semantic, queries, 1).where("false").selectExpr("query_id", "0 as position", "id", "source", "distance", "0D as score", "0D as rank_key")
@@ -197,6 +218,7 @@ def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure
     if scope:
         asked = queries.select("query_id", F.col("session_id").alias("_asking"))
         hits = hits.join(asked, "query_id").where(filters.visible(F.col("_asking"))).drop("_asking")
+    spread = graph.spreading(edges, anchors(hits).select("anchor").distinct(), cfg.spread_hops, cfg)
     ranked = collapse(rank(hits, queries, closure, spread, omega, cfg))
     gated = gate(ranked.join(references, ["query_id", "source"], "left"), True, cfg)
     published = F.when(finite("distance"), F.col("distance")).otherwise(MAX_DISTANCE)

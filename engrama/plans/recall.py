@@ -191,9 +191,7 @@ def gate_merged(spark, sf):
 
 
 def _recall(spark, sf):
-    q, scoped = _scoped(spark, sf)
-    spread = gr.spreading(T.edges(spark, sf), rc.anchors(scoped).select("anchor").distinct(), hops=1)
-    return rc.recall(T.episodic(spark, sf), T.semantic(spark, sf), q, _closure(spark, sf), spread, _references(spark, sf), _omega(spark, sf), K, CFG)
+    return rc.recall(T.episodic(spark, sf), T.semantic(spark, sf), T.queries(spark, sf), _closure(spark, sf), T.edges(spark, sf), _references(spark, sf), _omega(spark, sf), K, CFG)
 
 
 @query("recall", f"{_RECALL}, {_TOP} SELECT query_id, position, id, source, round(distance, 6) AS distance, round(greatest(0, least(1, 1 - distance / 2)), 6) AS score FROM topk")

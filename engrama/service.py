@@ -181,9 +181,7 @@ class Memory:
         closure = gr.power_series(sr.selectExpr("src_id as src", "dst_id as dst", "hits"), self.cfg.sr_gamma, 2)
         of = lambda name, df: codes.background_reference(df, q, self.cfg).withColumn("source", F.lit(name))
         references = of("episodic", e).unionByName(of("semantic", s))
-        anchors = rc.anchors(rc.knn(e, q, 1).withColumn("source", F.lit("episodic")))
-        spread = gr.spreading(edges, anchors.select("anchor").distinct(), self.cfg.spread_hops, self.cfg)
-        hits = rc.recall(e, s, q, closure, spread, references, gr.omega(int(total), e.count(), self.cfg), k, self.cfg, scope).persist()
+        hits = rc.recall(e, s, q, closure, edges, references, gr.omega(int(total), e.count(), self.cfg), k, self.cfg, scope).persist()
         if reinforce_at is not None:
             self._reinforce(hits, reinforce_at)
         text = e.select("id", "content").withColumn("source", F.lit("episodic")).unionByName(s.select("id", "content").withColumn("source", F.lit("semantic")))
