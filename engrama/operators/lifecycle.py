@@ -101,7 +101,7 @@ def nearest_schema(candidates: DataFrame, semantic: DataFrame) -> DataFrame:
         return first.select("id", F.col("a.schema").alias("schema"), F.col("a.d").alias("d1"), F.coalesce(F.get("two", F.lit(1)), "a.d").alias("d2"))
     rows = known.orderBy("id").collect()
     ids = np.array([r.id for r in rows], dtype=np.int64)
-    block = np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    block = np.array([r.v for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
     block = block / np.linalg.norm(block, axis=1, keepdims=True) if len(rows) else block
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,7 +35,7 @@ def knn(df: DataFrame, queries: DataFrame, k: int, keep: tuple[str, ...] = ()) -
     if len(found) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
     ids = np.array([r.query_id for r in found], dtype=np.int64)
-    q = np.array([r.vector for r in found], dtype=np.float64).reshape(len(found), -1)
+    q = np.array([r.vector for r in found], dtype=np.float64) if found else np.zeros((0, 0))
     lengths = np.linalg.norm(q, axis=1)
     usable = np.isfinite(lengths) & (lengths > 0)
     ids, q = ids[usable], q[usable] / lengths[usable, None]
