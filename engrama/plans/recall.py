@@ -199,7 +199,7 @@ def recall(spark, sf):
     return _recall(spark, sf).select("query_id", "position", "id", "source", _r("distance"), _r("score"))
 
 
-@query("recall_resource", f"""{_RECALL}, {_TOP} SELECT query_id, to_json(list({{'position': position, 'id': id, 'source': source, 'distance': CAST(round(distance, 4) AS VARCHAR)}} ORDER BY position)) AS hits FROM topk GROUP BY query_id""")
+@query("recall_resource", f"""{_RECALL}, {_TOP} SELECT query_id, CAST(to_json(list({{'position': position, 'id': id, 'source': source, 'distance': CAST(round(distance, 4) AS VARCHAR)}} ORDER BY position)) AS VARCHAR) AS hits FROM topk GROUP BY query_id""")
 def recall_resource(spark, sf):
     hit = F.struct("position", "id", "source", F.round("distance", 4).cast("string").alias("distance"))
     return _recall(spark, sf).groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(hit))).alias("hits"))

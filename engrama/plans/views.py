@@ -19,7 +19,7 @@ def _r(c, d=6):
 
 
 @query("memory_stats", """SELECT (SELECT count(*) FROM episodic) AS episodes, (SELECT count(*) FROM semantic) AS schemas, (SELECT count(*) FROM semantic WHERE authored) AS authored,
-    (SELECT sum(hits) FROM edges WHERE kind = 'sr') AS sr_edges, (SELECT count(*) FROM edges WHERE kind = 'plasticity' AND hits >= 250) AS habits,
+    CAST((SELECT sum(hits) FROM edges WHERE kind = 'sr') AS BIGINT) AS sr_edges, (SELECT count(*) FROM edges WHERE kind = 'plasticity' AND hits >= 250) AS habits,
     (SELECT count(*) FROM interaction_log) AS events, (SELECT count(*) FROM interaction_log WHERE kind = 'encode' AND NOT deduped) AS novel, (SELECT round(max(ts), 3) FROM interaction_log) AS last_event""")
 def memory_stats(spark, sf):
     edges = T.edges(spark, sf).agg(F.sum(F.when(F.col("kind") == "sr", F.col("hits"))).alias("sr_edges"), F.count(F.when((F.col("kind") == "plasticity") & (F.col("hits") >= 250), 1)).alias("habits"))
