@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from engrama.config import DEFAULT, Config
 from engrama.functions import vectors as vx
+from engrama.operators.store import next_ids
 
 #: Re-embedding tolerances: self-search and drift distance, and rows that are embedded anew.
 SELF_TOLERANCE, DRIFT_TOLERANCE, VERIFY_ROWS = 0.02, 0.05, 24
@@ -101,8 +102,8 @@ def background_sample(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         return empty
     places = sorted(int(i) for i in np.random.default_rng(cfg.background_seed).choice(n, min(cfg.background_sample, n), replace=False))
     drawn = spark.createDataFrame([(p,) for p in places], "place long")
-    ranked = ids.orderBy("id").rdd.zipWithIndex().map(lambda r: (r[0].id, r[1])).toDF("id long, place long")
-    chosen = ranked.join(F.broadcast(drawn), "place", "left_semi").select("id")
+    ranked = next_ids(spark.range(0), ids.select(F.col("id").alias("row")), ["row"]).select("row", (F.col("id") - 1).alias("place"))
+    chosen = ranked.join(F.broadcast(drawn), "place", "left_semi").select(F.col("row").alias("id"))
     usable = df.join(F.broadcast(chosen), "id").where(~F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).where(vx.norm("embedding") > 0)
     return usable.select("id", vx.normalize("embedding").alias("unit"))
 

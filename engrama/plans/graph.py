@@ -11,6 +11,7 @@ from engrama.operators import lifecycle as lc
 from engrama.operators import reactor as rx
 from engrama.sources import tables as T
 
+from . import lifecycle as ll
 from .registry import query
 
 NOW = T.NOW
@@ -99,9 +100,10 @@ def ltd_pass(spark, sf):
     return gr.ltd(T.edges(spark, sf), NOW).select("src_id", "dst_id", _r("weight"), _r("bonus"), "pruned")
 
 
-@query("dream_pass")  # decay, then replay: two operators in sequence, each with its own SQL twin
+@query("dream_pass", f"""{_LTD}, {ll.TOP_SQL}, g AS (SELECT *, row_number() OVER w AS r, first_value(id) OVER w AS anchor, avg(salience) OVER (PARTITION BY session_id) AS mean FROM top WINDOW w AS (PARTITION BY session_id ORDER BY strength DESC, id))
+    SELECT src_id, dst_id, round(weight, 6) AS weight, 'kept' AS what FROM l WHERE NOT (weight + bonus < 0.001 AND hits < 250) UNION ALL SELECT anchor, id, round(least(1, 0.3 * mean), 6), 'replayed' FROM g WHERE r > 1""")
 def dream_pass(spark, sf):
-    kept = gr.ltd(T.edges(spark, sf), NOW, budget=2000).where("not pruned").selectExpr("src_id", "dst_id", "round(weight, 6) as weight", "'kept' as what")
+    kept = gr.ltd(T.edges(spark, sf), NOW).where("not pruned").selectExpr("src_id", "dst_id", "round(weight, 6) as weight", "'kept' as what")
     replayed = lc.replay_edges(T.episodic(spark, sf), NOW, Config(replay_top_k=64)).selectExpr("anchor as src_id", "target as dst_id", "round(score, 6) as weight", "'replayed' as what")
     return kept.union(replayed)
 

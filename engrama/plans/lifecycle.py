@@ -45,16 +45,16 @@ def replay_candidates(spark, sf):
     return lc.replay_candidates(T.episodic(spark, sf)).select("id", "session_id")
 
 
-_TOP = f"top AS (SELECT id, session_id, salience, {_S} AS strength FROM episodic WHERE salience >= 0.3 AND session_id <> '' AND consolidated_into = 0 ORDER BY 4 DESC, id LIMIT 64)"
+TOP_SQL = f"top AS (SELECT id, session_id, salience, {_S} AS strength FROM episodic WHERE salience >= 0.3 AND session_id <> '' AND consolidated_into = 0 ORDER BY 4 DESC, id LIMIT 64)"
 _REPLAY = Config(replay_top_k=64)
 
 
-@query("replay_topk", f"{_TOP} SELECT id, session_id, round(strength, 6) AS strength FROM top")
+@query("replay_topk", f"{TOP_SQL} SELECT id, session_id, round(strength, 6) AS strength FROM top")
 def replay_topk(spark, sf):
     return lc.replay_topk(T.episodic(spark, sf), NOW, _REPLAY).select("id", "session_id", _r("strength"))
 
 
-@query("replay_edges", f"""{_TOP}, g AS (SELECT *, row_number() OVER w AS r, first_value(id) OVER w AS anchor, avg(salience) OVER (PARTITION BY session_id) AS mean FROM top WINDOW w AS (PARTITION BY session_id ORDER BY strength DESC, id))
+@query("replay_edges", f"""{TOP_SQL}, g AS (SELECT *, row_number() OVER w AS r, first_value(id) OVER w AS anchor, avg(salience) OVER (PARTITION BY session_id) AS mean FROM top WINDOW w AS (PARTITION BY session_id ORDER BY strength DESC, id))
     SELECT session_id, anchor, id AS target, round(least(1, 0.3 * mean), 6) AS score FROM g WHERE r > 1""")
 def replay_edges(spark, sf):
     return lc.replay_edges(T.episodic(spark, sf), NOW, _REPLAY).select("session_id", "anchor", "target", _r("score"))

@@ -14,13 +14,13 @@ from .registry import query
 
 _FLAGS_SQL = f"""doc_id, regexp_matches(text, '{sg.DIFF}') AS has_diff_markers, regexp_matches(text, '{sg.TRACEBACK}') AS has_traceback,
   regexp_matches(text, '{sg.DECISION.replace("'", "''")}') AS has_decision_verbs, regexp_matches(text, '(?m)\\?(\\s|$)') AS has_question,
-  regexp_matches(text, '{sg.STRUCTURED}') AS has_structured_doc, CAST(len(regexp_extract_all(text, '{sg.FENCE}')) // 2 AS INT) AS code_block_count,
+  regexp_matches(text, '{sg.TOOL_CALL.replace("(?=", "").replace(":)|", ":|")}') AS has_tool_call, regexp_matches(text, '{sg.STRUCTURED}') AS has_structured_doc, CAST(len(regexp_extract_all(text, '{sg.FENCE}')) // 2 AS INT) AS code_block_count,
   CASE WHEN length(text) < 200 THEN 'short' WHEN length(text) < 1500 THEN 'medium' ELSE 'long' END AS length_class, length(text) AS length_chars"""
 
 
 @query("signals", f"SELECT {_FLAGS_SQL} FROM decorated")
 def signals(spark, sf):
-    found = {k: v for k, v in sg.flags(F.col("text")).items() if k != "has_tool_call"}  # its look-ahead has no SQL twin; tests cover it
+    found = sg.flags(F.col("text"))
     return T.decorated(spark, sf).select("doc_id", *[v.alias(k) for k, v in found.items()], sg.length_class(F.col("text")).alias("length_class"), F.length("text").alias("length_chars"))
 
 
@@ -38,7 +38,7 @@ def extract_references(spark, sf):
 
 @query("derive_salience", f"""f AS (SELECT *, len({_REFS_SQL}) AS n_refs FROM (SELECT text, {_FLAGS_SQL} FROM decorated))
     SELECT doc_id, round(least(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN has_traceback THEN 0.3 ELSE 0 END + CASE WHEN has_diff_markers THEN 0.2 ELSE 0 END + CASE WHEN has_decision_verbs THEN 0.15 ELSE 0 END
-      + CASE WHEN has_question THEN 0.05 ELSE 0 END + CASE WHEN n_refs >= 3 THEN 0.2 ELSE 0 END + CASE WHEN length_class = 'long' THEN 0.05 ELSE 0 END), 6) AS salience FROM f""")
+      + CASE WHEN has_question THEN 0.05 ELSE 0 END + CASE WHEN has_tool_call THEN 0.05 ELSE 0 END + CASE WHEN n_refs >= 3 THEN 0.2 ELSE 0 END + CASE WHEN length_class = 'long' THEN 0.05 ELSE 0 END), 6) AS salience FROM f""")
 def derive_salience(spark, sf):
     text = F.col("text")
     return T.decorated(spark, sf).select("doc_id", F.round(sg.salience(sg.flags(text), sg.references(text), sg.length_class(text)), 6).alias("salience"))
@@ -51,7 +51,8 @@ def custom_signals(spark, sf):
     return T.decorated(spark, sf).select("doc_id", *[v.alias(k) for k, v in values.items()], F.round(salience, 6).alias("salience"))
 
 
-@query("sentence_pieces")  # the boundary looks behind itself, which the SQL engine's patterns cannot
+@query("sentence_pieces", r"""p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])(\s+)([A-Z("''])', '\1\2' || chr(1) || '\3', 'g'), chr(1)), lambda p: p <> '') AS ps FROM documents)
+    SELECT doc_id, CAST(unnest(generate_series(0, len(ps) - 1)) AS INT) AS position, unnest(ps) AS piece FROM p""")
 def sentence_pieces(spark, sf):
     return T.raw(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentence_pieces(F.col("text"))).alias("position", "piece"))
 

@@ -92,7 +92,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("tool"), (F.col("value") / 1000).alias("seconds"), (F.col("event_type") != "error").alias("ok"))
 
 
-SUFFIXES = ("\nValueError: bad input", "\n--- a/src/app.py\n+++ b/src/app.py", "\nDone?\n- next `run_task.now` step", " see https://Example.com/a/b.html). We decided to use DataFrame and SparkSession", "\n# Title\n1. first\n```py\nx\n```\npath lib/core/util.rs", "")
+SUFFIXES = ("\nValueError: bad input", "\n--- a/src/app.py\n+++ b/src/app.py", "\nDone?\n- next `run_task.now` step", " see https://Example.com/a/b.html). We decided to use DataFrame and SparkSession", "\n# Title\n1. first\n```py\nx\n```\npath lib/core/util.rs", '\n{"name": "run", "arguments": {"x": 1}}', "")
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
