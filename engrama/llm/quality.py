@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import fit_logistic, fit_platt, grams, labelled_sample, mixed, prior_shift, sigmoid, word_hashes, words_of
+from .textmodel import fit_logistic, fit_platt, grams, labelled_sample, mixed, prior_shift, products, sigmoid, word_hashes, words_of
 
 BITS = 18
 MIN_WORDS = 10
@@ -100,14 +100,15 @@ def train(sample: list[tuple[str, int]], sizes: tuple[int, int]) -> Model | None
             rows.append(np.full(len(found), i, dtype=np.int32))
             cols.append(found)
             vals.append((factor * counts / (len(buckets) + STEADY)).astype(np.float32))
-    rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+    rows = np.concatenate(rows)
+    cols = np.concatenate(cols)
+    vals = np.concatenate(vals)
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held = np.zeros(len(y), dtype=bool)
     share = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * (~held)
-    fit = ~held[rows]
-    w, b = fit_logistic(rows[fit], cols[fit], vals[fit], y, 1 << BITS, share)
-    z = np.bincount(rows, weights=vals * w[cols], minlength=len(y)) + b
+    w, b = fit_logistic(rows, cols, vals, y, 1 << BITS, share)
+    z = products(rows, cols, vals, w, len(y)) + b
     judge = held if held.any() else ~held
     slope, offset = fit_platt(z[judge], y[judge])
     return Model(w.astype(np.float32), float(b), slope, offset + prior_shift(y[judge], sizes))

@@ -65,15 +65,30 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+#: Entries of a sparse matrix taken at a time: bounds what training holds beside the matrix.
+TRAIN_BLOCK = 1 << 20
+
+
+def products(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The sparse matrix times w, for n rows."""
+    out = np.zeros(n)
+    for at in range(0, len(rows), TRAIN_BLOCK):
+        part = slice(at, at + TRAIN_BLOCK)
+        out += np.bincount(rows[part], weights=vals[part] * w[cols[part]], minlength=n)
+    return out
+
+
 def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray, l2: float = 1e-4, rounds: int = 60, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """Sparse logistic regression by full-batch Adam: (weights, bias)."""
+    """Sparse logistic regression by full-batch Adam: (weights, bias). Rows of weight 0 take no part."""
     w, b = np.zeros(width), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     total = weight.sum()
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, weights=vals * w[cols], minlength=len(y)) + b
-        r = weight * (sigmoid(z) - y) / total
-        g, gb = np.bincount(cols, weights=vals * r[rows], minlength=width) + l2 * w, r.sum()
+        r = weight * (sigmoid(products(rows, cols, vals, w, len(y)) + b) - y) / total
+        g, gb = l2 * w, r.sum()
+        for at in range(0, len(rows), TRAIN_BLOCK):
+            part = slice(at, at + TRAIN_BLOCK)
+            g = g + np.bincount(cols[part], weights=vals[part] * r[rows[part]], minlength=width)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
