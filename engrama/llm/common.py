@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,12 @@ NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+#: Folders of local masters, emptied when this process ends.
+_LOCAL: set[str] = set()
+#: Tables that this process wrote and has not dropped, by path.
+_STORED: dict[str, Stored] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,9 +46,13 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"file:///tmp/engrama-shared-{spark.sparkContext.applicationId}"
+    path = f"/tmp/engrama-shared-{spark.sparkContext.applicationId}"
+    if path not in _LOCAL:
+        _LOCAL.add(path)
+        atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -53,12 +66,25 @@ class Stored:
     def __init__(self, df: DataFrame, tag: str):
         spark = df.sparkSession
         self.path = f"{shared_root(spark)}/engrama/{tag}-{uuid.uuid4().hex}"
+        if not _STORED:
+            atexit.register(_drop_all)
+        _STORED[self.path] = self
         df.write.parquet(self.path)
         self.spark, self.df = spark, spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STORED.pop(self.path, None)
+
+
+def _drop_all() -> None:
+    """At the end of the application nothing reads its tables any more."""
+    for stored in list(_STORED.values()):
+        try:
+            stored.drop()
+        except Exception:  # the JVM may be gone already; then the tables stay
+            return
 
 
 def gapless_rank(df: DataFrame, by: list[str], order: list[str], salts: int, out: str) -> DataFrame:
