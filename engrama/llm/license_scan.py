@@ -1,7 +1,7 @@
 """License scans: which licence families the paragraphs of documents state.
 
-Native: DataFrame functions only on the path over documents. A paragraph is a line. A
-multinomial logistic regression over sparse word 1- and 2-grams, one class for each family
+Native: DataFrame functions only on the path over documents. A paragraph is a line, or
+neighbouring lines over which a notice is wrapped (see `wrapped`). A multinomial logistic regression over sparse word 1- and 2-grams, one class for each family
 and one for unknown text, is fitted on the driver from two bounded sources: TEMPLATES with
 words dropped, added and cut (by a seeded generator), and SAMPLE_LINES lines of the corpus
 as unknown text. A temperature fitted on held-out examples calibrates its probabilities.
@@ -24,10 +24,10 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ROW_KEY, ascii_lower, keyed, split_words
+from .common import NOT_ALNUM, ROW_KEY, ascii_lower, keyed, materialize, split_words
 
 # Short notices of public licences.
 TEMPLATES = {
@@ -162,28 +162,80 @@ def paragraphs(docs: DataFrame, lines: list[str] | None = None) -> DataFrame:
     vocabulary, weights, biases = fit(examples(lines))
     names = [f"w{c}" for c in range(len(FAMILIES))]
     table = F.broadcast(spark.createDataFrame([(g, *map(float, row)) for g, row in zip(vocabulary, weights, strict=True)], "gram string, " + ", ".join(f"{n} double" for n in names)))
-    templates = [(f, i, sorted(gram_set(word_list(t)))) for f in FAMILIES[:-1] for i, t in enumerate(TEMPLATES[f])]
-    template = F.broadcast(spark.createDataFrame([(f, i, gs, len(gs)) for f, i, gs in templates], "family string, template int, grams array<string>, n int"))
+    templates = [(f, i, sorted(gram_set(word_list(t))), len(word_list(t))) for f in FAMILIES[:-1] for i, t in enumerate(TEMPLATES[f])]
+    template = F.broadcast(spark.createDataFrame([(f, i, gs, len(gs), ws) for f, i, gs, ws in templates], "family string, template int, expected array<string>, n int, n_words int"))
     key = ["doc_id", "text_key", "at"]
+    need = F.array(*[F.lit(w) for w in needed(lines)])
+
+    def judge(found: DataFrame, by: list[str]) -> DataFrame:
+        """(*by, grams, family, probability) of the rows that are surely of a family."""
+        scored = found.select(*by, "grams", F.explode("grams").alias("gram")).join(table, "gram").groupBy(*by).agg(F.first("grams").alias("grams"), *[F.sum(n).alias(n) for n in names])
+        z = [F.col(n) + F.lit(float(b)) for n, b in zip(names, biases, strict=True)]
+        top = F.greatest(*z)
+        family = F.coalesce(*[F.when(v == top, F.lit(f)) for v, f in zip(z, FAMILIES, strict=True)])
+        judged = scored.select(*by, "grams", family.alias("family"), (1.0 / sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))).alias("probability"))
+        return judged.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
+
     likely = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "l"))
         .select(*key, words(F.col("l")).alias("ws"))
-        .where(F.arrays_overlap("ws", F.array(*[F.lit(w) for w in needed(lines)])))
+        .where(F.arrays_overlap("ws", need))
         .select(*key, grams("ws").alias("grams"))
     )
-    scored = likely.select(*key, "grams", F.explode("grams").alias("gram")).join(table, "gram").groupBy(*key).agg(F.first("grams").alias("grams"), *[F.sum(n).alias(n) for n in names])
-    z = [F.col(n) + F.lit(float(b)) for n, b in zip(names, biases, strict=True)]
-    top = F.greatest(*z)
-    family = F.coalesce(*[F.when(v == top, F.lit(f)) for v, f in zip(z, FAMILIES, strict=True)])
-    judged = scored.select(*key, "grams", family.alias("family"), (1.0 / sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))).alias("probability"))
-    sure = judged.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
-    compared = sure.join(template.withColumnRenamed("grams", "expected"), "family")
+    compared = judge(likely, key).join(template, "family")
     match = F.size(F.array_intersect("grams", "expected")) / F.col("n")
-    return compared.groupBy(*key, "family", "probability").agg(F.max(match).alias("match")).where(F.col("match") >= CONFIRM)
+    single = compared.groupBy(*key, "family", "probability").agg(F.max(match).alias("match")).where(F.col("match") >= CONFIRM)
+    single = materialize(single, "license-lines")
+    return single.unionByName(wrapped(docs, single, need, F.array(*[F.lit(g) for g in vocabulary]), template, judge))
+
+
+def wrapped(docs: DataFrame, single: DataFrame, need: Column, vocabulary: Column, template: DataFrame, judge) -> DataFrame:
+    """(doc_id, text_key, at, family, probability, match) of each notice that is wrapped over lines; at is its first line.
+
+    A window of neighbouring lines, none without a word and no more lines than the template
+    has words, confirms the template if CONFIRM of its n-grams stand in it (2-grams also
+    across the line ends). The least such windows are classified like lines; those of a
+    family that overlap are one notice, and a notice with a line that is confirmed as of its
+    family counts as that line. Its match takes in the lines around the window.
+    """
+    key = ["doc_id", "text_key"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where(F.arrays_overlap(words(F.col("text")), need))
+    lines = texts.select(*key, F.filter(F.transform(F.split("text", "\n"), lambda l, i: F.struct(i.alias("at"), words(l).alias("ws"))), lambda x: F.size(x.ws) > 0).alias("lines"))
+    before = lambda x, i: F.get("lines", i - 1)
+    joint = lambda x, i: F.when(before(x, i).at == x.at - 1, F.concat(F.element_at(before(x, i).ws, -1), F.lit(" "), x.ws[0]))
+    rows = lines.select(*key, F.explode(F.transform("lines", lambda x, i: F.struct(x.at.alias("at"), (x.at - i).alias("run"), x.ws.alias("ws"), joint(x, i).alias("joint")))).alias("x")).select(*key, "x.*")
+    hit = F.struct(F.col("at"), F.col("at").alias("since"), F.array_intersect(grams("ws"), vocabulary).alias("grams"))
+    across = F.struct(F.col("at"), (F.col("at") - 1).alias("since"), F.array_intersect(F.array("joint"), vocabulary).alias("grams"))
+    hits = rows.select(*key, "run", F.explode(F.array(hit, across)).alias("h")).where(F.size("h.grams") > 0)
+    runs = hits.groupBy(*key, "run").agg(F.collect_list("h").alias("hits")).where(F.array_min("hits.since") < F.array_max("hits.at"))
+    runs = runs.withColumn("grams", F.array_distinct(F.flatten("hits.grams")))
+    least = F.ceil(F.col("n") * CONFIRM - 1e-9)
+    possible = runs.join(template, F.size(F.array_intersect("grams", "expected")) >= least)
+    # the first line at which the n-grams since the start are enough
+    possible = possible.withColumn("seen", F.filter(F.transform("hits", lambda h: F.struct(h.at.alias("at"), h.since.alias("since"), F.array_intersect(h.grams, F.col("expected")).alias("grams"))), lambda h: F.size(h.grams) > 0))
+    starts = possible.select(*key, "run", "family", "template", "expected", "n", "n_words", "seen", F.explode(F.array_distinct("seen.since")).alias("at"))
+    starts = starts.withColumn("near", F.filter("seen", lambda h: (h.since >= F.col("at")) & (h.at < F.col("at") + F.col("n_words"))))
+    held = lambda end: F.array_distinct(F.flatten(F.filter("near", lambda h: h.at <= end).grams))
+    starts = starts.withColumn("end", F.array_min(F.filter(F.array_distinct("near.at"), lambda e: F.size(held(e)) >= F.ceil(F.col("n") * CONFIRM - 1e-9))))
+    around = F.filter("seen", lambda h: (h.since > F.col("end") - F.col("n_words")) & (h.at < F.col("at") + F.col("n_words")))
+    starts = starts.where("end is not null").withColumn("match", F.size(F.array_distinct(F.flatten(around.grams))) / F.col("n"))
+    windows = starts.groupBy(*key, "run", "family", "template", "end").agg(F.max_by(F.struct("at", "match"), "at").alias("w")).select(*key, "run", F.col("family").alias("of"), "w.at", "end", "w.match")
+    windows = windows.where("at < end").groupBy(*key, "run", "of", "at", "end").agg(F.max("match").alias("match"))
+    by = [*key, "run", "of", "at", "end", "match"]
+    inside = windows.join(runs.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("run").alias("_run"), "hits"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("run") == F.col("_run")))
+    inside = inside.select(*by, F.array_distinct(F.flatten(F.filter("hits", lambda h: (h.since >= F.col("at")) & (h.at <= F.col("end"))).grams)).alias("grams"))
+    sure = judge(inside, by).where("family = of")
+    order = Window.partitionBy(*key, "family").orderBy("at", "end")
+    opens = F.when(F.col("at") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    notices = sure.withColumn("opens", opens).withColumn("notice", F.sum("opens").over(order)).groupBy(*key, "family", "notice")
+    notices = notices.agg(F.min("at").cast("int").alias("at"), F.max("end").alias("end"), F.max("probability").alias("probability"), F.max("match").alias("match"))
+    line = single.select(*[F.col(c).alias(f"_{c}") for c in [*key, "at", "family"]])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("family") == F.col("_family")) & F.col("_at").between(F.col("at"), F.col("end"))
+    return notices.join(line, same, "left_anti").select(*key, "at", "family", "probability", "match")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs (lines with a word), n_licensed, families (sorted, comma-joined), probability (of the surest), match (its best) of each row of docs."""
+    """doc_id, n_paragraphs (lines with a word), n_licensed, families (sorted, comma-joined), probability (of the surest), match (its best) of each row of docs; a wrapped notice adds one to n_licensed."""
     per_doc = keyed(paragraphs(docs)).groupBy(*ROW_KEY).agg(
         F.count(F.lit(1)).alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"), F.max("match").alias("match")
     )
