@@ -5,8 +5,10 @@ tag breaks). Menus, page headers, footers, sidebars, notices, adverts, forms, sc
 styles and reader comments are left out by their tag, role or class. Each block passes
 points for its length and commas to its ancestors, less with each level; an element's
 points are discounted by the share of its text that stands in links. The element with the
-most points is the container; siblings that score enough, or read like prose, join it.
-All blocks inside are kept, whole.
+most points is the container; if it lies in an article (or else main) element, all of that
+is kept. What else the enclosing main element (without article and main, the page) holds
+joins it, however few its points, unless it is link-dense. Outside an article or main, its
+siblings join if they score enough, read like prose, or are of that kind themselves.
 
 Defined cases: a null or empty page has an empty text; unclosed and crossed tags close as
 browsers close them, roughly; an unfinished tag at the end of a page is dropped; pages
@@ -58,6 +60,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 #: A block of fewer characters passes only its share of length, not the point for being there.
 SHORT = 25
+#: Beside the container, an element with so large a share of link text is no article text.
+DENSE = 0.5
 
 
 class Element:
@@ -225,22 +229,30 @@ def main_text(page: str | None) -> str:
     if not final:
         return "\n".join(t for _, t in kept)
     top = max(scored.values(), key=lambda e: final[id(e)])
-    chosen = {id(top)}
-    if top.parent is not None:
-        least = max(10.0, 0.2 * final[id(top)])
-        for s in top.parent.children:
-            long_prose = s.tag == "p" and ((s.chars > 80 and _density(s) < 0.25) or (0 < s.chars <= 80 and s.link_chars == 0))
-            if not s.out and (final.get(id(s), 0.0) >= least or long_prose):
-                chosen.add(id(s))
-
-    def inside(e: Element | None) -> bool:
-        while e is not None:
-            if id(e) in chosen:
-                return True
-            e = e.parent
-        return False
-
-    return "\n".join(t for b, t in kept if inside(b.at))
+    above = [top]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    outer = max((i for i, e in enumerate(above) if e.tag in ("article", "main")), default=None)
+    whole = max((i for i, e in enumerate(above) if e.tag == "article"), default=outer or 0)
+    open_to = len(above) - 1 if outer is None else outer  # up to here all goes in that is not link-dense
+    level_of = {id(e): i for i, e in enumerate(above)}
+    least = max(10.0, 0.2 * final[id(above[outer or 0])])
+
+    def belongs(b: Block, t: str) -> bool:
+        below, e = None, b.at
+        while id(e) not in level_of:
+            below, e = e, e.parent
+        level = level_of[id(e)]
+        if level <= whole:
+            return True
+        if level <= open_to:
+            return (min(1.0, b.link_chars / len(t)) if below is None else _density(below)) < DENSE
+        if level > open_to + 1 or below is None:
+            return False
+        long_prose = below.tag == "p" and ((below.chars > 80 and _density(below) < 0.25) or (0 < below.chars <= 80 and below.link_chars == 0))
+        return final.get(id(below), 0.0) >= least or long_prose or (below.tag in ("article", "main") and _density(below) < DENSE)
+
+    return "\n".join(t for b, t in kept if belongs(b, t))
 
 
 def extract(pages: DataFrame) -> DataFrame:
