@@ -1,11 +1,16 @@
 """PII surrogates: personal data and secrets give way to keyed stand-ins of the same type.
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, payment card numbers, tokens
-and other secrets, and names after a form of address. A surrogate is the entity under a
+and other secrets, names after a form of address, and all other mentions of the parts of
+such a name in the same document ("Dr. Anna Keller", then "Keller"). A surrogate is the entity under a
 keyed permutation of all strings of its own format: digits stay digits, vowels vowels,
 consonants consonants of the same script and case, octets octets, hexadecimal digits
 hexadecimal, and a card number with a valid check digit gets a valid one. The form of
-address and a name's last letter stay, so gender and inflection stay.
+address and the last letter of each part of a name stay, so gender and inflection stay.
+Names are permuted by part, so a part has one surrogate alone and in a full name.
+
+Not detected: names that no form of address of the list precedes anywhere in the document,
+and other spellings of a detected part (another case, "Kellers", initials, nicknames).
 
 Because it is a permutation, two entities of a type never share a surrogate and an entity
 has one surrogate in all documents, whatever the order, with nothing to look up: no
@@ -146,8 +151,30 @@ def once(kind: str, text: str, key: bytes) -> str:
         dot = domain.rfind(".")
         new = _by_classes(local, key, "local") + "@" + _by_classes(domain[:dot], key, "domain") + domain[dot:]
         return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(text, new, strict=True))
-    last = frozenset(m.end() - 1 for m in re.finditer(r"[^ ]+", text))
-    return _by_classes(text, key, kind, fixed=last)
+    return _by_parts(text, lambda part: _by_classes(part, key, kind, fixed=frozenset({len(part) - 1})))
+
+
+def parts(name: str) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a name, between spaces and hyphens, without a genitive's apostrophe."""
+    out = []
+    for m in re.finditer(r"[^ \-]+", name):
+        bare = re.sub(r"(?<=.)'s?$", "", m[0])
+        out.append((m.start(), m.start() + len(bare)))
+    return out
+
+
+def _by_parts(name: str, new) -> str:
+    out, at = [], 0
+    for a, b in parts(name):
+        out += [name[at:a], new(name[a:b])]
+        at = b
+    return "".join([*out, name[at:]])
+
+
+def _insert(taken: list[tuple[int, int, str]], start: int, end: int, kind: str) -> None:
+    at = bisect(taken, (start, end, ""))
+    if not (at and taken[at - 1][1] > start) and not (at < len(taken) and taken[at][0] < end):
+        taken.insert(at, (start, end, kind))
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -158,10 +185,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
             continue
         group = 1 if pattern.groups else 0
         for m in pattern.finditer(text):
-            start, end = m.span(group)
-            at = bisect(taken, (start, end, ""))
-            if not (at and taken[at - 1][1] > start) and not (at < len(taken) and taken[at][0] < end):
-                taken.insert(at, (start, end, kind))
+            _insert(taken, *m.span(group), kind)
+    known = {text[x + a : x + b] for x, y, kind in taken if kind == "name" for a, b in parts(text[x:y]) if b - a > 1}
+    if known:
+        part = "(?:" + "|".join(map(re.escape, sorted(known, key=lambda p: (-len(p), p)))) + ")"
+        for m in re.finditer(rf"(?<!\w){part}(?:[ \-]{part})*(?!\w)", text):
+            _insert(taken, *m.span(), "name")
     return taken
 
 
@@ -172,9 +201,11 @@ def same(kind: str, text: str) -> str:
 
 def surrogates(entities: list[tuple[str, str]], key: bytes) -> dict[tuple[str, str], str]:
     """The surrogate of each (kind, mention) of a document, checked against its entities."""
-    real = {same(kind, text) for kind, text in entities}
+    names = {text for kind, text in entities if kind == "name"}
+    single = {e for e in entities if e[0] != "name"} | {("name", text[a:b]) for text in names for a, b in parts(text)}
+    real = {same(kind, text) for kind, text in single}
     out, used = {}, {}
-    for kind, text in sorted(set(entities)):
+    for kind, text in sorted(single):
         new, steps = once(kind, text, key), 0
         while same(kind, new) in real or used.get((kind, same(kind, new)), same(kind, text)) != same(kind, text):
             new, steps = once(kind, new, key), steps + 1
@@ -182,7 +213,8 @@ def surrogates(entities: list[tuple[str, str]], key: bytes) -> dict[tuple[str, s
                 break
         used[kind, same(kind, new)] = same(kind, text)
         out[kind, text] = new
-    return out
+    whole = {("name", text): _by_parts(text, lambda part: out["name", part]) for text in names}
+    return {e: s for e, s in out.items() if e[0] != "name"} | whole
 
 
 def rewrite(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
