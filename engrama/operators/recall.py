@@ -7,6 +7,7 @@ collapse before the gate, and the gate cuts on raw distance whatever the rank or
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +21,28 @@ from engrama.operators import filters, graph
 
 EPS = 1e-9
 MAX_DISTANCE = 2.0
-#: A batch of queries is a stated set, checked to be no larger than this.
+#: So many queries are multiplied, or broadcast, at a time; a larger set goes in blocks.
 MAX_QUERIES = 20_000
 
 
 def knn(df: DataFrame, queries: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, distance, nth, *keep): the k nearest rows of each query, ties by id.
 
-    Two phases: each Arrow batch multiplies its vectors with the block of all queries and
-    keeps its own k nearest of each; those few meet in one ranking for each query. Rows
+    Two phases: each Arrow batch multiplies its vectors with a block of MAX_QUERIES queries
+    and keeps its own k nearest of each; those of all blocks meet in one ranking. Rows
     with a vector of another width, not finite, or zero are no neighbours.
     """
-    found = queries.select("query_id", "vector").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(found) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    asked = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
+    partial = _nearest(df, list(itertools.islice(asked, MAX_QUERIES)), k)
+    while block := list(itertools.islice(asked, MAX_QUERIES)):
+        partial = partial.unionByName(_nearest(df, block, k))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    top = partial.withColumn("nth", nth).where(F.col("nth") <= k)
+    return top.join(df.select("id", *keep), "id").select("query_id", "id", "distance", "nth", *keep) if keep else top.select("query_id", "id", "distance", "nth")
+
+
+def _nearest(df: DataFrame, found: list, k: int) -> DataFrame:
+    """(query_id, id, distance): the k nearest of each Arrow batch for each query of a block."""
     ids = np.array([r.query_id for r in found], dtype=np.int64)
     q = np.array([r.vector for r in found], dtype=np.float64) if found else np.zeros((0, 0))
     lengths = np.linalg.norm(q, axis=1)
@@ -55,18 +64,14 @@ def knn(df: DataFrame, queries: DataFrame, k: int, keep: tuple[str, ...] = ()) -
             order = np.lexsort((np.broadcast_to(at, d.shape), d), axis=1)[:, :k]
             yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": at[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
 
-    partial = df.select("id", "embedding").mapInPandas(run, "query_id long, id long, distance double")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    top = partial.withColumn("nth", nth).where(F.col("nth") <= k)
-    return top.join(df.select("id", *keep), "id").select("query_id", "id", "distance", "nth", *keep) if keep else top.select("query_id", "id", "distance", "nth")
+    return df.select("id", "embedding").mapInPandas(run, "query_id long, id long, distance double")
 
 
 def knn_in_session(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, nth) among rows of the query's session: the filter is part of the search."""
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
     asked = queries.select("query_id", vx.unit("vector").alias("_q"), "session_id")
-    pairs = df.select("id", vx.unit("embedding").alias("_x"), "session_id").join(F.broadcast(asked), "session_id")
+    asked = F.broadcast(asked) if queries.count() <= MAX_QUERIES else asked
+    pairs = df.select("id", vx.unit("embedding").alias("_x"), "session_id").join(asked, "session_id")
     d = pairs.select("query_id", "id", (1.0 - vx.dot("_x", "_q")).alias("distance")).where("distance is not null")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return d.withColumn("nth", nth).where(F.col("nth") <= k)
