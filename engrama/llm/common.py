@@ -87,23 +87,40 @@ def _drop_all() -> None:
             return
 
 
-def gapless_rank(df: DataFrame, by: list[str], order: list[str], salts: int, out: str) -> DataFrame:
-    """Adds `out`: 0, 1, 2, ... within each value of `by`, without one task for a whole group.
-
-    Rows are dealt by (by, salt), where salt hashes the `order` columns; each cell is
-    numbered on its own and moved up by the sizes of the cells before it. The cells are
-    counts only: (values of `by`) x salts rows, broadcast after that many rows at most.
+def gapless_start(df: DataFrame, by: list[str], order: list[str], salts: int, out: str) -> DataFrame:
+    """Adds `out`: how many rows come before, within each value of `by`, where a row of df stands for n equal ones.
+
+    df: distinct rows of the `by` and `order` columns, with n. Rows are dealt by (by, salt),
+    where salt hashes the `order` columns; each cell is summed up on its own and moved up by
+    the sizes of the cells before it, so no task holds a whole group, and equal rows, being
+    one row with a count, crowd no cell. The cells are counts only: (values of `by`) x salts
+    rows, broadcast after that many rows at most.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    cells = salted.groupBy(*by, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    w = _window(by, ["_salt"])
-    starts = cells.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_salt").alias("_cell"), (F.sum("_n").over(w) - F.col("_n")).alias("_start"))
-    numbered = salted.withColumn("_local", F.row_number().over(_window([*by, "_salt"], order)))
+    cells = salted.groupBy(*by, "_salt").agg(F.sum("n").alias("_n"))
+    starts = cells.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_salt").alias("_cell"), (F.sum("_n").over(_window(by, ["_salt"])) - F.col("_n")).alias("_start"))
+    within = salted.withColumn("_local", F.sum("n").over(_window([*by, "_salt"], order)) - F.col("n"))
     on = F.col("_salt") == F.col("_cell")
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    joined = numbered.join(F.broadcast(starts), on, "left")
-    return joined.withColumn(out, (F.col("_start") + F.col("_local") - 1).cast("long")).drop("_salt", "_cell", "_n", "_start", "_local", *[f"_by_{c}" for c in by])
+    joined = within.join(F.broadcast(starts), on, "left")
+    return joined.withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).drop("_salt", "_cell", "_start", "_local", *[f"_by_{c}" for c in by])
+
+
+#: Equal rows that are written out by one task at a time.
+COPIES_A_BLOCK = 10_000
+
+
+def spread(df: DataFrame, nth: str) -> DataFrame:
+    """n rows for each row of df, with nth moved on by 0, 1, ...; rows that stand for very many are dealt out in blocks."""
+    columns = [c for c in df.columns if c not in ("n", nth)]
+    at = lambda start, n: F.explode(F.sequence(start, start + n - 1)).alias(nth)
+    few = df.where(F.col("n") <= COPIES_A_BLOCK).select(*columns, at(F.col(nth), F.col("n")))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES_A_BLOCK))).alias("_block")
+    many = df.where(F.col("n") > COPIES_A_BLOCK).select(*columns, nth, "n", block).repartition(nth, "_block")
+    done = F.col("_block") * COPIES_A_BLOCK
+    many = many.select(*columns, at(F.col(nth) + done, F.least(F.col("n") - done, F.lit(COPIES_A_BLOCK))))
+    return few.unionByName(many)
 
 
 def _window(by: list[str], order: list[str]):
