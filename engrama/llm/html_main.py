@@ -1,25 +1,36 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a tree of elements and a list of blocks (runs of text that no block-level
-tag breaks). Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are left out by their tag, role or class. Each block passes
-points for its length and commas to its ancestors, less with each level; an element's
-points are discounted by the share of its text that stands in links. The element with the
-most points is the container; if it lies in an article (or else main) element, all of that
-is kept. What else the enclosing main element (without article and main, the page) holds
-joins it, however few its points, unless it is link-dense. Outside an article or main, its
-siblings join if they score enough, read like prose, or are of that kind themselves.
+A page becomes a tree of block-level elements and a list of blocks (runs of text that no
+block-level tag breaks). Menus, page footers, sidebars, scripts, styles, controls and
+hidden parts are left out by their tag, role or attribute. Classes and ids only make an
+element *suspect*, and only if a whole token says nothing else ("cookie-notice", but not
+"related-work" or "meta-analysis"): elements of the hard kinds (adverts, comments, notices,
+menus) go if they do not hold the main part of the page, those of the soft kinds go if
+they are no prose either. Headings are never judged by class or id, and ids count for
+containers only.
+
+Each block passes points for its length and commas to its ancestors, less by half with
+each level; an element's points are discounted by the share of its text that stands in
+links. The element with the most points is the container; if it lies in an article (or else
+main) element, all of that is kept, and what else the main element holds if it is not
+link-dense. Outside an article or main, the container's siblings join unless they are
+link-dense, and further out headings, prose and what scores enough.
+
+Elements, blocks and tags are handled in passes that look at each of them once: the parser
+keeps the open places of each tag, sums go from children to parents, so time is linear.
 
 Defined cases: a null or empty page has an empty text; unclosed and crossed tags close as
-browsers close them, roughly; an unfinished tag at the end of a page is dropped; pages
-without any container give what is left outside the left-out elements; equal rows get
-equal results; extra columns are ignored.
+browsers close them, roughly; tags are read as browsers read them (a quote in an unquoted
+value is part of it, an unfinished tag at the end of a page is dropped); pages without any
+container give what is left outside the left-out elements; equal rows get equal results;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,15 +43,26 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-LEFT_OUT = frozenset("head script style noscript template nav footer aside form button select textarea input option label iframe object embed svg canvas audio video map menu dialog title math search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("head title meta link style script base noscript template".split())
+LEFT_OUT = frozenset("head script style noscript template nav aside button select textarea input option label iframe object embed svg canvas audio video map menu dialog title search annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
-# Class and id words, between hyphens, underscores, spaces and case changes.
-ALWAYS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion comment comments commentlist disqus respond cookie cookies consent gdpr newsletter subscribe"
-    " subscription popup modal overlay share sharing social breadcrumb breadcrumbs pagination pager sidebar sidebars related recommended nav navbar navigation menu menus notice notices skip reply replies".split()
+# Class and id words. A token is of a kind if each of its words, between hyphens, underscores and case changes, is of the kind or PLAIN.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promoted promotion".split())
+HARD = ADVERTS | frozenset(
+    "comment comments commentlist disqus respond replies cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs"
+    " pagination pager notice notices footer".split()
 )
-UNLESS_MAIN = frozenset("footer header banner masthead toolbar widget widgets login signup search tags copyright legal alert hidden rail aside meta".split())
-MAIN = frozenset("article main content story post entry body text".split())
+SOFT = frozenset("share sharing social related recommended skip reply header banner masthead toolbar widget widgets login signup search tags copyright legal alert alerts hidden rail aside meta toc".split())
+MAIN = frozenset("article main content story post posts entry body text".split())
+PLAIN = MAIN | frozenset(
+    "site page top bottom left right primary secondary container wrapper wrap box block section area bar list item items inner outer global local blog link links button buttons icon icons form panel row col column group holder region"
+    " title head module component unit slot zone wide sticky fixed thread".split()
+)
+UNSEEN = frozenset("sr-only visually-hidden screen-reader-text".split())
+#: Elements whose class and id may make them suspect; of the second kind only by adverts' words, else they must be no prose.
+CONTAINERS = frozenset("div section ul ol dl table center fieldset details header figure td li hgroup".split())
+TEXTUAL = frozenset("p blockquote pre dd dt tr th tbody".split())
 CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 #: An opening tag ends these open elements, looked for up to the named fence.
 IMPLIED = {
@@ -52,24 +74,36 @@ IMPLIED = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
+FENCES = ("td", "th", "table")
+PASS_FENCES = frozenset("td th tr tbody thead tfoot table article main".split())
+WEIGHTS = dict.fromkeys(("article", "main"), 25.0) | dict.fromkeys(("div", "section"), 5.0) | dict.fromkeys(("pre", "td", "blockquote"), 3.0) | dict.fromkeys("ol ul dl li dd dt address th".split(), -3.0)
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z|(?=<))", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"\s(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
+_ATTRIBUTES = r"(?>[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|(?![\"'])[^\s>]*))?)*+"
+_TOKEN = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 #: A block of fewer characters passes only its share of length, not the point for being there.
 SHORT = 25
 #: Beside the container, an element with so large a share of link text is no article text.
 DENSE = 0.5
+#: Prose: so many characters, so many a block, and less than this share of them in links. A form is a wrapper of the page if it holds more.
+PROSE_CHARS, PROSE_BLOCK, PROSE_LINKS, FORM_CHARS = 80, 60, 0.25, 1000
+_COMMAS = re.compile("[,，、،]")
 
 
 class Element:
-    __slots__ = ("chars", "children", "link_chars", "out", "parent", "points", "tag", "weight")
+    __slots__ = ("blocks", "chars", "gone", "holds_main", "link_chars", "parent", "points", "shape", "suspect", "tag")
+
+    def __init__(self, tag: str, parent: Element | None, suspect: str, shape: str):
+        self.tag, self.parent, self.suspect, self.shape = tag, parent, suspect, shape
+        self.points, self.chars, self.link_chars, self.blocks, self.gone, self.holds_main = 0.0, 0, 0, 0, False, False
 
-    def __init__(self, tag: str, parent: Element | None, out: bool, weight: float):
-        self.tag, self.parent, self.out, self.weight = tag, parent, out, weight
-        self.points, self.chars, self.link_chars, self.children = 0.0, 0, 0, []
+    def density(self) -> float:
+        return min(1.0, self.link_chars / self.chars) if self.chars else 0.0
+
+    def prose(self, least: int = PROSE_CHARS) -> bool:
+        return self.chars >= least and self.chars >= PROSE_BLOCK * self.blocks and self.density() < PROSE_LINKS
 
 
 class Block:
@@ -79,50 +113,100 @@ class Block:
         self.at, self.parts, self.link_chars = at, [], 0
 
 
-def _left_out(tag: str, attributes: str, inside_main: bool) -> bool:
-    if tag in LEFT_OUT or (tag == "header" and not inside_main):
-        return True
-    if tag in ("html", "body", "article", "main") or len(attributes) < 4:
-        return False
-    words = set()
-    for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id"):
-            words.update(w.lower() for w in _WORD.findall(value))
-    return bool(words & ALWAYS) or bool(words & UNLESS_MAIN and not words & MAIN)
+def _said(token: str, inside_main: bool) -> str:
+    """hard, soft or nothing: what a class or id token says."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    noise = [w for w in words if w in HARD or w in SOFT]
+    if not noise or any(w not in HARD and w not in SOFT and w not in PLAIN and not w.isdigit() for w in words):
+        return ""
+    if any(w in HARD for w in noise):
+        return "advert" if any(w in ADVERTS for w in noise) else "hard"
+    if any(w in MAIN for w in words) or (inside_main and noise == ["header"]):
+        return ""
+    return "soft"
 
 
-def parse(page: str) -> tuple[Element, list[Block]]:
-    """The root element, and the blocks outside left-out elements, in page order."""
-    root = Element("#root", None, False, 0.0)
-    stack, blocks, block = [root], [], None
+def judge(tag: str, attributes: str, inside_main: bool, quoted: bool) -> tuple[bool, str, str]:
+    """(left out, suspect of, class) of an opening tag."""
+    if tag in LEFT_OUT or (tag == "header" and not inside_main) or (tag == "footer" and not quoted):
+        return True, "", ""
+    suspect, shape = "form" if tag == "form" else "", ""
+    if len(attributes) < 4 or tag in ("html", "body"):
+        return False, suspect, shape
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            return True, "", ""
+        if name == "role" and value.lower() in ROLES and tag not in ("main", "article"):
+            return True, "", ""
+        if name == "class":
+            shape = value
+        if name not in ("class", "id") or tag in HEADINGS or tag == "main" or (name == "id" and tag not in CONTAINERS):
+            continue
+        for token in value.split() if name == "class" else [value]:
+            said = _said(token, inside_main)
+            if token in UNSEEN or (said == "advert" and tag not in BLOCK):
+                return True, "", ""
+            if tag == "article":
+                said = "hard" if said == "hard" and {"comment", "comments"} & {w.lower() for w in _WORD.findall(token)} else ""
+            elif tag not in CONTAINERS:
+                said = {"advert": "advert", "hard": "soft", "soft": "soft"}.get(said, "") if tag in TEXTUAL else ""
+            if said and suspect not in ("advert", "hard"):
+                suspect = said
+    return False, suspect, shape
+
+
+def parse(page: str) -> tuple[list[Element], list[Block]]:
+    """The block-level elements, parents before children, and the blocks outside left-out elements, in page order."""
+    root = Element("#root", None, "", "")
+    elements, blocks, block = [root], [], None
+    # the open elements: tag ("" once an inline element is closed under others), nearest block-level element, left out
+    tags, holders, outs = ["#root"], [root], [False]
+    places: dict[str, list[int]] = defaultdict(list)
+    block_places: list[int] = [0]
     links = main = 0  # open elements of the kind
 
-    def pop() -> None:
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else -1
+
+    def pop_to(i: int) -> None:
         nonlocal links, main, block
-        e = stack.pop()
-        links -= e.tag == "a"
-        main -= e.tag in ("article", "main")
-        if e.tag in BLOCK or e.out:
-            block = None
+        while len(tags) > i:
+            tag = tags.pop()
+            holders.pop()
+            outs.pop()
+            if not tag:
+                continue
+            places[tag].pop()
+            links -= tag == "a"
+            main -= tag in ("article", "main")
+            if tag in BLOCK:
+                block_places.pop()
+                block = None
+
+    def close_inline(tag: str) -> None:
+        """Closes an inline element; blocks that were opened inside it stay open."""
+        nonlocal links
+        i = last(tag)
+        if i > block_places[-1]:
+            pop_to(i)
+        elif not outs[i]:
+            places[tag].pop()
+            tags[i] = ""
+            links -= tag == "a"
+        else:
+            pop_to(i)
 
     def text(raw: str) -> None:
         nonlocal block
-        top = stack[-1]
-        if top.out or not raw:
+        if outs[-1] or not raw:
             return
         if block is None:
             if raw.isspace():
                 return
-            holder = top
-            while holder.tag not in BLOCK and holder.parent is not None:
-                holder = holder.parent
-            block = Block(holder)
+            block = Block(holders[-1])
             blocks.append(block)
+        raw = _html.unescape(raw) if "&" in raw else raw
         block.parts.append(raw)
         if links:
             block.link_chars += len(raw.strip())
@@ -134,123 +218,127 @@ def parse(page: str) -> tuple[Element, list[Block]]:
             text(page[at:])
             break
         text(page[at : m.start()])
-        token, at = m[0], max(m.end(), m.start() + 1)
-        if token.startswith("<!") or token.startswith("<?"):
-            if token.startswith("<![CDATA["):
-                text(token[9:].removesuffix("]]>").replace("&", "&amp;"))
+        at = max(m.end(), m.start() + 1)
+        if m[1] is None:
+            if page.startswith("<![CDATA[", m.start()):
+                text(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        if not token.endswith(">"):
+        if not m[3]:
             continue
-        tag = _NAME.match(token)[1].lower()
-        if token[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "html", "body", "article", "main"):
-                    break
-            if tag in BLOCK:
-                block = None
+        tag = m[1].lower()
+        if page[m.start() + 1] == "/" and tag != "br":
+            i = last(tag)
+            if i < 0:
+                if tag == "p":
+                    block = None
+            elif tag not in ("html", "body") and (tag in PASS_FENCES or i > max(map(last, FENCES))):
+                if tag in BLOCK or tag in RAW:
+                    pop_to(i)
+                else:
+                    close_inline(tag)
             continue
         if tag == "br":
-            text(" ")
             if block is not None:
                 block.parts.append(" ")
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+        if tag not in IN_HEAD and last("head") >= 0:
+            pop_to(last("head"))
+        if tag in CLOSES_P and tags[block_places[-1]] == "p":
+            pop_to(block_places[-1])
+        if tag in HEADINGS and tags[-1] in HEADINGS:
+            pop_to(len(tags) - 1)
         if tag in IMPLIED:
             ends, fence = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    while len(stack) > i:
-                        pop()
-                    if tag != "tr":
-                        break
-                elif stack[i].tag in fence:
-                    break
+            while (i := max(map(last, ends))) > max(map(last, fence)):
+                pop_to(i)
+        if tag == "a" and last("a") >= 0:
+            close_inline("a")
         if tag in BLOCK:
             block = None
-        if tag in VOID:
-            continue
-        parent = stack[-1]
-        out = parent.out or _left_out(tag, token[len(tag) + 1 : -1], main > 0)
-        weight = 25.0 if tag in ("article", "main") else 5.0 if tag in ("div", "section") else 3.0 if tag in ("pre", "td", "blockquote") else -3.0 if tag in ("ol", "ul", "dl", "li", "dd", "dt", "address", "th") else 0.0
-        if token.endswith("/>") and tag in ("svg", "path", "script"):
+        if tag in VOID or (m[2].endswith("/") and tag in ("svg", "path", "script", "math")):
             continue
-        e = Element(tag, parent, out, weight)
+        out, suspect, shape = (True, "", "") if outs[-1] else judge(tag, m[2], main > 0, last("blockquote") >= 0)
+        holder = holders[-1]
         if tag in BLOCK:
-            parent.children.append(e)
-        stack.append(e)
+            if not out:
+                holder = Element(tag, holder, suspect, shape)
+                elements.append(holder)
+            block_places.append(len(tags))
+        places[tag].append(len(tags))
+        tags.append(tag)
+        holders.append(holder)
+        outs.append(out)
         links += tag == "a"
         main += tag in ("article", "main")
-        if out:
-            block = None
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = close.start() if close else end
-    return root, blocks
-
-
-def _clean(block: Block) -> str:
-    return " ".join(_html.unescape("".join(block.parts)).split())
-
-
-def _density(e: Element) -> float:
-    return min(1.0, e.link_chars / e.chars) if e.chars else 0.0
+    return elements, blocks
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root, blocks = parse(page)
-    kept = [(b, t) for b in blocks if (t := _clean(b))]
-    scored = {}
-    for b, t in kept:
-        points = min(len(t) / 100, 3.0) + t.count(",") + (1.0 if len(t) >= SHORT else 0.0)
-        points *= 1 - min(1.0, b.link_chars / len(t))
-        e, level = b.at, 0
-        while e is not None:
-            e.chars += len(t)
-            e.link_chars += b.link_chars
-            if level or e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                share = 1.0 if level <= 1 else 0.5 if level == 2 else 1 / (level * 3)
-                e.points += points * share
-                scored[id(e)] = e
-            e, level = e.parent, level + 1
-    final = {k: (e.points + e.weight) * (1 - _density(e)) for k, e in scored.items()}
-    if not final:
+    elements, blocks = parse(page)
+    found = [(b, t) for b in blocks if (t := " ".join("".join(b.parts).split()))]
+    for b, t in found:
+        points = min(len(t) / 100, 3.0) + len(_COMMAS.findall(t)) + (1.0 if len(t) >= SHORT else 0.0)
+        b.at.points += points * (1 - min(1.0, b.link_chars / len(t)))
+        b.at.chars += len(t)
+        b.at.link_chars += b.link_chars
+        b.at.blocks += 1
+    for e in reversed(elements):  # children before parents
+        over = e.parent
+        if over is None:
+            continue
+        comment = e.tag == "article" and e.suspect == "hard"
+        e.holds_main = e.holds_main or (e.tag in ("article", "main") and not comment and e.prose())
+        if e.suspect and (comment or not e.holds_main):
+            e.gone = e.suspect in ("hard", "advert") or not e.prose(FORM_CHARS if e.suspect == "form" else PROSE_CHARS)
+        if e.gone:
+            continue
+        textual = e.tag == "p" or e.tag in HEADINGS
+        over.points += e.points if textual else e.points / 2
+        over.chars += e.chars
+        over.link_chars += e.link_chars
+        over.blocks += e.blocks
+        over.holds_main = over.holds_main or e.holds_main
+    for e in elements[1:]:  # parents before children
+        e.gone = e.gone or e.parent.gone
+    kept = [(b, t) for b, t in found if not b.at.gone]
+    score = lambda e: (e.points + WEIGHTS.get(e.tag, 0.0)) * (1 - e.density())
+    scored = [e for e in elements if e.chars and not e.gone and e.tag != "p" and e.tag not in HEADINGS]
+    if not scored:
         return "\n".join(t for _, t in kept)
-    top = max(scored.values(), key=lambda e: final[id(e)])
+    top = max(scored, key=score)
     above = [top]
     while above[-1].parent is not None:
         above.append(above[-1].parent)
     outer = max((i for i, e in enumerate(above) if e.tag in ("article", "main")), default=None)
     whole = max((i for i, e in enumerate(above) if e.tag == "article"), default=outer or 0)
-    open_to = len(above) - 1 if outer is None else outer  # up to here all goes in that is not link-dense
-    level_of = {id(e): i for i, e in enumerate(above)}
-    least = max(10.0, 0.2 * final[id(above[outer or 0])])
+    open_to = max(whole, 1) if outer is None else outer  # up to here all goes in that is not link-dense
+    least = max(10.0, 0.2 * score(top))
+    # of each element: the level of the chain above the container that it hangs from, and its branch there
+    level_of = {id(e): (i, None) for i, e in enumerate(above)}
+    for e in elements[1:]:
+        if id(e) not in level_of:
+            level, branch = level_of[id(e.parent)]
+            level_of[id(e)] = level, branch or e
 
     def belongs(b: Block, t: str) -> bool:
-        below, e = None, b.at
-        while id(e) not in level_of:
-            below, e = e, e.parent
-        level = level_of[id(e)]
+        level, branch = level_of[id(b.at)]
         if level <= whole:
             return True
-        if level <= open_to:
-            return (min(1.0, b.link_chars / len(t)) if below is None else _density(below)) < DENSE
-        if level > open_to + 1 or below is None:
+        density = min(1.0, b.link_chars / len(t)) if branch is None else branch.density()
+        if density >= DENSE:
             return False
-        long_prose = below.tag == "p" and ((below.chars > 80 and _density(below) < 0.25) or (0 < below.chars <= 80 and below.link_chars == 0))
-        return final.get(id(below), 0.0) >= least or long_prose or (below.tag in ("article", "main") and _density(below) < DENSE)
+        if level <= open_to:
+            return True
+        if outer is not None:  # beside the article or main: only what is of its kind, or its title
+            return branch is not None and (branch.holds_main or branch.tag in ("h1", "h2"))
+        if branch is None:
+            return len(t) >= PROSE_CHARS and density < PROSE_LINKS
+        return branch.tag in HEADINGS or branch.prose() or score(branch) >= least or (branch.tag == top.tag and branch.shape == top.shape != "")
 
     return "\n".join(t for b, t in kept if belongs(b, t))
 
