@@ -238,6 +238,11 @@ def sample_lines(docs: DataFrame, n: int = SAMPLE_LINES) -> list[str]:
 
 def paragraphs(docs: DataFrame, lines: list[str] | None = None) -> DataFrame:
     """(doc_id, text_key, at, family, probability, match) of each confirmed licence paragraph; at counts lines from 0."""
+    return _paragraphs(docs, lines)[0]
+
+
+def _paragraphs(docs: DataFrame, lines: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """`paragraphs`, and (doc_id, text_key, n_paragraphs) of each row of docs."""
     spark = docs.sparkSession
     lines = sample_lines(docs) if lines is None else lines
     vocabulary, weights, biases = fit(examples(lines))
@@ -261,13 +266,20 @@ def paragraphs(docs: DataFrame, lines: list[str] | None = None) -> DataFrame:
         judged = scored.select(*by, family.alias("family"), (1.0 / mass).alias("probability"))
         return judged.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
 
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    worded = F.filter(F.transform(split, lambda l, i: F.struct(i.alias("at"), words(l).alias("ws"))), lambda x: F.size(x.ws) > 0)
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.size(F.filter(split, lambda l: l.rlike(A_WORD))).cast("long").alias("n_paragraphs"),
+        F.when(F.arrays_overlap(words(F.col("text")), need), worded).alias("lines"),
+    )
+    texts = materialize(texts, "license-texts")  # the lines of texts with one of the needed words, and a row for each text
+    found = texts.where(F.col("lines").isNotNull()).select("doc_id", "text_key", "lines")
     likely = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "l"))
-        .select(*key, words(F.col("l")).alias("ws"))
+        found.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.at", "x.ws")
         .withColumn("called", F.array_intersect("ws", need))
         .where(F.size("called") > 0)
         .select(*key, grams("ws").alias("grams"), F.explode("called").alias("word"))
-    )
+    )
     match = F.size(F.array_intersect("grams", "expected")) / F.col("n")
     alike = likely.join(template, "word").select(*key, "grams", F.col("family").alias("of"), match.alias("match")).where(F.col("match") >= CONFIRM)
     alike = materialize(alike, "license-alike")  # few rows: lines that hold most of a notice
@@ -275,21 +287,20 @@ def paragraphs(docs: DataFrame, lines: list[str] | None = None) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("at") == F.col("_at")) & (F.col("of") == F.col("family"))
     single = alike.join(sure, same).groupBy(*key, "family", "probability").agg(F.max("match").alias("match"))
     single = materialize(single, "license-lines")
-    return single.unionByName(wrapped(docs, single, need, F.array(*[F.lit(g) for g in vocabulary]), template, judge))
+    both = single.unionByName(wrapped(found, single, need, F.array(*[F.lit(g) for g in vocabulary]), template, judge))
+    return both, texts.select("doc_id", "text_key", "n_paragraphs")
 
 
-def wrapped(docs: DataFrame, single: DataFrame, need: Column, vocabulary: Column, template: DataFrame, judge) -> DataFrame:
+def wrapped(lines: DataFrame, single: DataFrame, need: Column, vocabulary: Column, template: DataFrame, judge) -> DataFrame:
     """(doc_id, text_key, at, family, probability, match) of each notice that is wrapped over lines; at is its first line.
 
     A window of neighbouring lines, none without a word and no more lines than the template
     has words, confirms the template if CONFIRM of its n-grams stand in it (2-grams also
     across the line ends). The least such windows, with what the lines around them still
-    hold of the template, are classified like lines; those of a family that overlap are one notice, and a notice with a line that is confirmed as of its
-    family counts as that line. Its match takes in the lines around the window.
+    hold of the template, are classified like lines; those of a family that overlap are one
+    notice, and a notice with a line that is confirmed as of its family counts as that line. Its match takes in the lines around the window.
     """
     key = ["doc_id", "text_key"]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where(F.arrays_overlap(words(F.col("text")), need))
-    lines = texts.select(*key, F.filter(F.transform(F.split("text", "\n"), lambda l, i: F.struct(i.alias("at"), words(l).alias("ws"))), lambda x: F.size(x.ws) > 0).alias("lines"))
     before = lambda x, i: F.get("lines", i - 1)
     joint = lambda x, i: F.when(before(x, i).at == x.at - 1, F.concat(F.element_at(before(x, i).ws, -1), F.lit(" "), x.ws[0]))
     rows = lines.select(*key, F.explode(F.transform("lines", lambda x, i: F.struct(x.at.alias("at"), (x.at - i).alias("run"), x.ws.alias("ws"), joint(x, i).alias("joint")))).alias("x")).select(*key, "x.*")
@@ -326,12 +337,9 @@ def wrapped(docs: DataFrame, single: DataFrame, need: Column, vocabulary: Column
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs (lines with a word), n_licensed, families (sorted, comma-joined), probability (of the surest), match (its best) of each row of docs; a wrapped notice adds one to n_licensed."""
-    per_doc = keyed(paragraphs(docs)).groupBy(*ROW_KEY).agg(
+    found, rows = _paragraphs(docs)
+    per_doc = keyed(found).groupBy(*ROW_KEY).agg(
         F.count(F.lit(1)).alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"), F.max("match").alias("match")
     )
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
-        F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l: l.rlike(A_WORD))).cast("long").alias("n_paragraphs"),
-    )
     joined = keyed(rows).join(per_doc, ROW_KEY, "left")
     return joined.select("doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).cast("long").alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), "probability", "match")
