@@ -1,13 +1,13 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = sigmoid(w . x - threshold_k) for k = 0, 1, 2 with one weight vector shared
-by the ordered thresholds. x holds log(1 + count) of hashed lower-cased words and of their
-beginnings (PREFIXES bytes), which inflected languages need. Labels only
-say toxic or not, so grades for the fit come from the labelled sample itself: words whose
-smoothed odds are MARKER_ODDS times higher in toxic documents are markers, and a toxic
-document is of grade 1, 2 or 3 by its marker occurrences (GRADE_AT). Weights are kept
-sparse by an L1 proximal step. The sample is bounded (textmodel.SAMPLE_PER_CLASS a class);
-every document is scored over its whole text.
+by the ordered thresholds, fitted by the likelihood of each row's grade, which is the
+difference of neighbouring probabilities. x holds log(1 + count) of hashed lower-cased
+words and of their beginnings (PREFIXES bytes), which inflected languages need. Labels only
+say toxic or not, so the grades of toxic rows for the fit are the thirds of their
+out-of-fold scores: FOLDS regressions of one threshold each score the toxic rows that they
+have not seen. Weights are kept sparse by an L1 proximal step. The sample is bounded
+(textmodel.SAMPLE_PER_CLASS a class); every document is scored over its whole text.
 
 Defined cases: a null or empty text has no features (severity is the base rate's); equal
 rows get equal results; without labelled rows of both classes there is no model, severity
@@ -17,7 +17,6 @@ is null and nothing is toxic; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -27,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import labelled_sample, sigmoid
+from .textmodel import labelled_sample, products, sigmoid
 
 BITS = 20
 GRADES = 3
-GRADE_AT = (1, 2, 4)
-MARKER_ODDS, MARKER_SHARE = 8.0, 0.01
-L1, ROUNDS, RATE = 2e-4, 150, 0.1
+FOLDS = 3
+L1, ROUNDS, RATE = 4e-4, 200, 0.1
 #: Documents whose P(grade > 0) is this or more are toxic.
 TOXIC = 0.5
 PREFIXES = (5, 7)
@@ -56,58 +54,84 @@ def buckets(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words)) & np.uint32((1 << BITS) - 1)
 
 
-def grades(sample: list[tuple[str, int]]) -> np.ndarray:
-    """0 for clean documents, 1 to GRADES for toxic ones, by their marker occurrences."""
-    texts = [Counter(tokens(t)) for t, _ in sample]
-    y = np.array([label for _, label in sample])
-    seen = [Counter(w for t, label in zip(texts, y, strict=True) if label == c for w in t) for c in (0, 1)]
-    n0, n1 = max(1, (y == 0).sum()), max(1, (y == 1).sum())
-    odds = lambda k, n: (k + 0.5) / (n - k + 0.5)
-    markers = {w for w, k in seen[1].items() if k >= MARKER_SHARE * n1 and odds(k, n1) >= MARKER_ODDS * odds(seen[0][w], n0)}
-    out = np.zeros(len(sample), dtype=int)
-    for i, t in enumerate(texts):
-        if y[i]:
-            n = sum(t[w] for w in markers if w in t)
-            out[i] = max(1, sum(n >= at for at in GRADE_AT))
-    return out
-
-
-def fit(sample: list[tuple[str, int]], sizes: tuple[int, int]) -> Model | None:
-    y = grades(sample)
-    if len({bool(g) for g in y}) < 2:
-        return None
+def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, values) of the features of texts, and the bucket that each column stands for."""
     rows, cols, vals = [], [], []
-    for i, (text, _) in enumerate(sample):
+    for i, text in enumerate(texts):
         found, counts = np.unique(buckets(tokens(text)), return_counts=True)
         rows.append(np.full(len(found), i, dtype=np.int32))
         cols.append(found.astype(np.int64))
         vals.append(np.log1p(counts))
-    rows, vals = np.concatenate(rows), np.concatenate(vals)
-    known, cols = np.unique(np.concatenate(cols), return_inverse=True)
-    w, first, gaps = np.zeros(len(known)), 2.0, np.zeros(GRADES - 1)
-    share = np.where(y > 0, sizes[1] / max(1, (y > 0).sum()), sizes[0] / max(1, (y == 0).sum()))
-    share = share / share.sum()
-    above = (y[:, None] > np.arange(GRADES)[None, :]).astype(float)
-    p = np.concatenate([w, [first], gaps])
+    known, columns = np.unique(np.concatenate(cols), return_inverse=True)
+    return np.concatenate(rows), columns, np.concatenate(vals), known
+
+
+def ordered(first: float, gaps: np.ndarray) -> np.ndarray:
+    """Ascending thresholds: the first, and the logarithms of the gaps."""
+    return first + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(gaps, -5, 5)))])
+
+
+def likelihood(z: np.ndarray, y: np.ndarray, first: float, gaps: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the weighted log-likelihood of the grades y, and its gradients by z and by (first, *gaps).
+
+    A row's probability is P(grade > y - 1) - P(grade > y), with 1 below the first
+    threshold and 0 above the last.
+    """
+    above = sigmoid(z[:, None] - ordered(first, gaps)[None, :])
+    above = np.concatenate([np.ones((len(z), 1)), above, np.zeros((len(z), 1))], axis=1)
+    at = np.arange(len(z))
+    low, high = above[at, y], above[at, y + 1]
+    p = np.maximum(low - high, 1e-12)
+    by_z = share * (low + high - 1)  # of the logistic link
+    slope = above * (1 - above)
+    by_threshold = np.zeros((len(z), above.shape[1]))
+    by_threshold[at, y] += share * slope[at, y] / p
+    by_threshold[at, y + 1] -= share * slope[at, y + 1] / p
+    down = by_threshold[:, 1:-1].sum(axis=0)
+    steps = np.exp(np.clip(gaps, -5, 5))
+    return float(-(share * np.log(p)).sum()), by_z, np.concatenate([[down.sum()], [down[k + 1 :].sum() * steps[k] for k in range(len(gaps))]])
+
+
+def descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, share: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of least loss with an L1 penalty: Adam with a proximal step. Rows of share 0 take no part."""
+    top = int(y.max())
+    p = np.concatenate([np.zeros(width), [2.0], np.zeros(top - 1)])
     m, v = np.zeros(len(p)), np.zeros(len(p))
     for t in range(1, ROUNDS + 1):
-        w, first, gaps = p[: len(known)], p[len(known)], p[len(known) + 1 :]
-        steps = np.exp(np.clip(gaps, -5, 5))
-        thresholds = first + np.concatenate([[0.0], np.cumsum(steps)])
-        z = np.bincount(rows, weights=vals * w[cols], minlength=len(y))
-        r = share[:, None] * (sigmoid(z[:, None] - thresholds[None, :]) - above) / GRADES  # each cumulative link is a logistic loss
-        gw = np.bincount(cols, weights=vals * r.sum(axis=1)[rows], minlength=len(known))
-        down = -r.sum(axis=0)
-        g = np.concatenate([gw, [down.sum()], [down[k + 1 :].sum() * steps[k] for k in range(GRADES - 1)]])
+        _, by_z, by_cuts = likelihood(products(rows, cols, vals, p[:width], len(y)), y, p[width], p[width + 1 :], share)
+        g = np.concatenate([np.bincount(cols, weights=vals * by_z[rows], minlength=width), by_cuts])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         scale = RATE / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         p = p - scale * m / (1 - 0.9**t)
-        cut = np.minimum(L1 * scale[: len(known)], RATE)
-        p[: len(known)] = np.sign(p[: len(known)]) * np.maximum(np.abs(p[: len(known)]) - cut, 0)
+        cut = np.minimum(L1 * scale[:width], RATE)
+        p[:width] = np.sign(p[:width]) * np.maximum(np.abs(p[:width]) - cut, 0)
+    return p[:width], ordered(p[width], p[width + 1 :])
+
+
+def grades(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, toxic: np.ndarray, share: np.ndarray, width: int) -> np.ndarray:
+    """0 for clean rows, 1 to GRADES for toxic ones: the thirds of their out-of-fold scores, ties to the lower grade."""
+    fold = np.zeros(len(toxic), dtype=int)
+    for c in (0, 1):
+        fold[toxic == c] = np.arange((toxic == c).sum()) % FOLDS
+    z = np.zeros(len(toxic))
+    for k in range(FOLDS):
+        w, _ = descend(rows, cols, vals, toxic, share * (fold != k), width)
+        z[fold == k] = products(rows, cols, vals, w, len(toxic))[fold == k]
+    cuts = np.quantile(z[toxic == 1], [(k + 1) / GRADES for k in range(GRADES - 1)])
+    return np.where(toxic == 1, 1 + (z[:, None] > cuts[None, :]).sum(axis=1), 0)
+
+
+def fit(sample: list[tuple[str, int]], sizes: tuple[int, int]) -> Model | None:
+    toxic = np.array([label for _, label in sample], dtype=int)
+    if len(set(toxic.tolist())) < 2:
+        return None
+    rows, cols, vals, known = matrix([text for text, _ in sample])
+    share = np.where(toxic > 0, sizes[1] / max(1, (toxic > 0).sum()), sizes[0] / max(1, (toxic == 0).sum()))
+    share = share / share.sum()
+    w, thresholds = descend(rows, cols, vals, grades(rows, cols, vals, toxic, share, len(known)), share, len(known))
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[known] = p[: len(known)]
-    steps = np.exp(np.clip(p[len(known) + 1 :], -5, 5))
-    return Model(weights, p[len(known)] + np.concatenate([[0.0], np.cumsum(steps)]))
+    weights[known] = w
+    return Model(weights, thresholds)
 
 
 def probabilities(text: str | None, model: Model) -> np.ndarray:
