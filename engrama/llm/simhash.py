@@ -2,18 +2,22 @@
 
 A fingerprint has 8 positional bytes. Two fingerprints within 2 bits differ in 2 bytes at
 most, so they share 6 positional bytes or more (the guaranteed minimum). The inverted
-index posts each distinct fingerprint under its positional bytes, taken as four groups of
-two and posted by two groups at a time: of 4 groups, 2 at least hold no differing byte, so
-every link meets in some list, and a list is as selective as 32 bits. Posting single bytes
-would make lists of 1/256 of all fingerprints, and pairs in the square of the corpus.
-
-A list of up to LIST_CAP fingerprints yields its pairs. Each pair's shared positional
-bytes are tallied, pairs under the guaranteed minimum go, and the rest are verified by
-their differing bits. A longer list (a large group of near copies) is not paired off:
-each member is posted again under itself and its 32 one-bit changes in the bytes that the
-list does not fix. Members that meet there are within 2 bits of each other, members within
-2 bits always meet, and each meeting has 33 members at most; it links them to its least.
-So no link between classes is lost and no group's pairs are spelt out.
+index posts each distinct fingerprint under its positional bytes, four at a time: under
+the 14 quadruples of positions of a Steiner system, in which each three positions lie in
+one quadruple. Of those, 3 avoid any two positions, 7 any one, and 1 at most any three. So
+a pair's shared positional bytes can be tallied by the lists that it meets in: 3 meetings
+are 6 shared bytes, 7 are 7, and pairs with fewer than 3 share 5 bytes at most and go. The
+rest are verified by their differing bits. A list is as selective as 32 bits; posting
+single bytes would make lists of 1/256 of all fingerprints, and pairs in the square of the
+corpus.
+
+A list of up to LIST_CAP fingerprints yields its pairs. A longer list (a large group of
+near copies) is not paired off: each member is posted again under itself and its 32
+one-bit changes in the bytes that the list does not fix. Members that meet there are within
+2 bits of each other, members within 2 bits always meet, and each meeting has 33 members
+at most; it links them to its least. A linked pair meets in 3 lists or more; if one of them
+is long, it is linked there, else all its meetings are tallied. So no link between classes
+is lost and no group's pairs are spelt out.
 
 Defined cases: a text without words (also null) has fingerprint zero and links like any
 other; equal rows share a class; a null doc_id gets a class but never names one, unless
@@ -23,6 +27,9 @@ all its class is null; extra columns are ignored by `fingerprints`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -79,24 +86,22 @@ def _byte(fp: Column, k: int) -> Column:
     return F.shiftright(fp, 8 * (7 - k)).bitwiseAND(F.lit(0xFF))
 
 
-def _group(fp: Column, g: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * (3 - g)).bitwiseAND(F.lit(0xFFFF))
-
-
-_COMBOS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+#: Quadruples of byte positions: the planes of the eight points 000 to 111.
+PLANES = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
+#: Lists that a pair which differs in two bytes meets in, the guaranteed minimum.
+MIN_LISTS = min(sum(not {x, y} & set(q) for q in PLANES) for x, y in combinations(range(8), 2))
 
 
 def postings(fps: DataFrame) -> DataFrame:
-    """(list, fp): each fingerprint under its six pairs of byte groups. fps: distinct fp."""
-    fp = F.col("fp")
-    keys = [F.lit(c << 32) + _group(fp, a) * (1 << 16) + _group(fp, b) for c, (a, b) in enumerate(_COMBOS)]
+    """(list, fp): each fingerprint under the quadruples of its positional bytes. fps: distinct fp."""
+    keys = [F.lit(c << 32) + reduce(add, (_byte(F.col("fp"), k) * (1 << 8 * (3 - i)) for i, k in enumerate(q))) for c, q in enumerate(PLANES)]
     return fps.select(F.explode(F.array(*keys)).alias("list"), "fp")
 
 
-def shared_bytes(x: Column, y: Column) -> Column:
-    """How many positional bytes two fingerprints share."""
-    differs = x.bitwiseXOR(y)
-    return sum(((_byte(differs, k) == 0).cast("int") for k in range(1, 8)), (_byte(differs, 0) == 0).cast("int"))
+def tallied(short: DataFrame) -> DataFrame:
+    """(a, b, n): the pairs a < b that meet in lists (list, fps) and in how many."""
+    pairs = short.select("fps", F.posexplode("fps").alias("at", "a")).select("a", F.explode(F.slice("fps", F.col("at") + 2, F.size("fps"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = LIST_CAP) -> DataFrame:
@@ -110,13 +115,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = LIST_CAP) -> Data
     lists = Stored(postings(fps).groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-lists").df
     posted = materialize(postings(fps).join(lists, "list"), "simhash-postings")
     few = posted.where(F.col("n") <= cap).groupBy("list").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    pairs = (
-        few.select("fps", F.posexplode("fps").alias("at", "a"))
-        .select("a", F.explode(F.slice("fps", F.col("at") + 2, F.size("fps"))).alias("b"))
-        .where((shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
-    )
+    pairs = tallied(few).where((F.col("n") >= MIN_LISTS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
     combo = F.shiftrightunsigned("list", 32)
-    free = F.element_at(F.array(*[F.array(*[F.lit(b) for g in range(4) if g not in pair for b in range(16 * (3 - g), 16 * (3 - g) + 16)]) for pair in _COMBOS]), (combo + 1).cast("int"))
+    bits = lambda q: F.array(*[F.lit(8 * (7 - k) + i) for k in range(8) if k not in q for i in range(8)])
+    free = F.element_at(F.array(*[bits(q) for q in PLANES]), (combo + 1).cast("int"))
     flips = F.transform(free, lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
     meetings = (
         posted.where(F.col("n") > cap)
