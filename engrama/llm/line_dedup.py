@@ -1,14 +1,17 @@
 """Line dedup: lines that stand on many distinct sites are boilerplate and go.
 
-Native: DataFrame functions only. A line is known by the hash of its trimmed text and its
-length. HyperLogLog sketches of the sites and of the texts that hold it merge by
+Native: DataFrame functions only. A line is known by two independent 64-bit hashes of its
+trimmed text and its length. HyperLogLog sketches of the sites and of the texts that hold it merge by
 aggregation (combined before the shuffle, so a line in a third of all rows is no hot key).
 A line whose estimates are clear of the threshold is decided by them; lines near it get
 exact distinct counts. Counting texts as well as sites leaves exact copies of one document
 to the near-duplicate operator: a line that only one text holds is no boilerplate.
 
-Defined cases: a null text stays null; a null source counts as a site of its own; lines of
-fewer than MIN_WORDS words stay; equal rows get equal results; a document all of whose
+Lines of fewer than MIN_WORDS words are shared by chance more easily, so they must stand
+SHORT_FACTOR times as wide.
+
+Defined cases: a null text stays null; a null source counts as a site of its own; lines
+without a word stay; equal rows get equal results; a document all of whose
 lines go keeps an empty text; columns other than text stay as they are.
 """
 
@@ -22,6 +25,7 @@ from .common import ASCII_SPACE, ROW_KEY, keyed, materialize, packed
 #: A line on so many distinct sites, in so many distinct texts, is boilerplate.
 MIN_SITES = 5
 MIN_WORDS = 3
+SHORT_FACTOR = 2
 #: log2 of a sketch's registers; three standard errors around the threshold are counted exactly.
 LG_K = 12
 BAND = 3 * 1.04 / (1 << (LG_K // 2))
@@ -33,51 +37,56 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _keys(line: Column) -> list[Column]:
+KEY = ["line", "line2", "len", "short"]
+
+
+def _keys(line: Column, min_words: int) -> list[Column]:
+    """By what a line is known, and whether it is short."""
     bare = F.trim(line)
-    return [F.xxhash64(bare).alias("line"), F.length(bare).alias("len")]
+    short = F.size(F.split(bare, ASCII_SPACE)) < min_words
+    return [F.xxhash64(bare).alias("line"), F.xxhash64(F.lit(1), bare).alias("line2"), F.length(bare).alias("len"), short.alias("short")]
 
 
-def _eligible(line: Column, min_words: int) -> Column:
-    return F.size(F.split(F.trim(line), ASCII_SPACE)) >= min_words
+def _has_word(line: Column) -> Column:
+    return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(site, text_key, line, len): a row for each eligible line."""
+    """(site, text_key, *KEY): a row for each line with a word."""
     rows = docs.select(F.coalesce("source", F.lit("")).alias("site"), F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("l"))
-    return rows.where(_eligible(F.col("l"), min_words)).select("site", "text_key", *_keys(F.col("l")))
+    return rows.where(_has_word(F.col("l"))).select("site", "text_key", *_keys(F.col("l"), min_words))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(line, len) of each boilerplate line."""
+    """KEY of each boilerplate line."""
     lines = line_table(docs, min_words)
-    spread = lines.groupBy("line", "len").agg(
+    spread = lines.groupBy(*KEY).agg(
         F.hll_sketch_agg("site", F.lit(LG_K)).alias("sites"), F.hll_sketch_agg("text_key", F.lit(LG_K)).alias("texts"), F.count(F.lit(1)).alias("n")
     )
-    spread = spread.where(F.col("n") >= min_sites).select("line", "len", F.hll_sketch_estimate("sites").alias("sites"), F.hll_sketch_estimate("texts").alias("texts"))
-    margin = max(1.0, BAND * min_sites)
-    low, high = min_sites - margin, min_sites + margin
-    spread = materialize(spread.where((F.col("sites") >= low) & (F.col("texts") >= low)), "line-spread")
-    sure = (F.col("sites") > high) & (F.col("texts") > high)
-    near = spread.where(~sure).select("line", "len")
+    need = F.when(F.col("short"), min_sites * SHORT_FACTOR).otherwise(min_sites)
+    spread = spread.where(F.col("n") >= need).select(*KEY, F.hll_sketch_estimate("sites").alias("sites"), F.hll_sketch_estimate("texts").alias("texts"))
+    margin = F.greatest(F.lit(1.0), need * BAND)
+    spread = materialize(spread.where((F.col("sites") >= need - margin) & (F.col("texts") >= need - margin)), "line-spread")
+    sure = (F.col("sites") > need + margin) & (F.col("texts") > need + margin)
+    near = spread.where(~sure).select(*KEY)
     near = F.broadcast(near) if near.count() <= BROADCAST_LINES else near
-    counted = _exact(lines.join(near, ["line", "len"])).where((F.col("s") >= min_sites) & (F.col("t") >= min_sites)).select("line", "len")
-    return materialize(spread.where(sure).select("line", "len").unionByName(counted), "boilerplate")
+    counted = _exact(lines.join(near, KEY)).where((F.col("s") >= need) & (F.col("t") >= need)).select(*KEY)
+    return materialize(spread.where(sure).select(*KEY).unionByName(counted), "boilerplate")
 
 
 def _exact(lines: DataFrame) -> DataFrame:
-    """(line, len, s, t): exact distinct sites and texts, each pair reduced before it is counted."""
-    sites = lines.select("line", "len", F.struct(F.lit(0).alias("kind"), F.xxhash64("site").alias("v")).alias("x"))
-    texts = lines.select("line", "len", F.struct(F.lit(1).alias("kind"), F.col("text_key").alias("v")).alias("x"))
+    """(*KEY, s, t): exact distinct sites and texts, each pair reduced before it is counted."""
+    sites = lines.select(*KEY, F.struct(F.lit(0).alias("kind"), F.xxhash64("site").alias("v")).alias("x"))
+    texts = lines.select(*KEY, F.struct(F.lit(1).alias("kind"), F.col("text_key").alias("v")).alias("x"))
     both = sites.unionByName(texts).distinct()
-    return both.groupBy("line", "len").agg(F.count(F.when(F.col("x.kind") == 0, 1)).alias("s"), F.count(F.when(F.col("x.kind") == 1, 1)).alias("t"))
+    return both.groupBy(*KEY).agg(F.count(F.when(F.col("x.kind") == 0, 1)).alias("s"), F.count(F.when(F.col("x.kind") == 1, 1)).alias("t"))
 
 
 def removals(docs: DataFrame, known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, gone): positions (from 0) of the boilerplate lines of documents that have any."""
     table = F.broadcast(known) if known.count() <= BROADCAST_LINES else known
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(_lines(F.col("text"))).alias("at", "l"))
-    hits = rows.where(_eligible(F.col("l"), min_words)).select("doc_id", "text_key", "at", *_keys(F.col("l"))).join(table, ["line", "len"])
+    hits = rows.where(_has_word(F.col("l"))).select("doc_id", "text_key", "at", *_keys(F.col("l"), min_words)).join(table, KEY)
     return hits.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("gone"))
 
 
@@ -85,9 +94,10 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORD
     """docs with boilerplate lines taken out of text, and the columns n_lines and n_removed (renamed if docs has them)."""
     known = boilerplate(docs, min_sites, min_words)
     gone = keyed(materialize(removals(docs, known, min_words), "line-removals")).select(*ROW_KEY, "gone")
-    rows = keyed(packed(docs)).select("row", "text", *ROW_KEY).join(gone, ROW_KEY, "left")
-    lines = _lines(F.col("text"))
-    left = F.array_join(F.filter(lines, lambda l, i: ~F.array_contains("gone", i)), "\n")
+    lines = F.col("lines")
+    rows = keyed(packed(docs)).select("row", "text", *ROW_KEY).join(gone, ROW_KEY, "left").withColumn("lines", _lines(F.col("text")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")  # by a hash set: linear
+    left = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     free = lambda name: name if name not in docs.columns else free(f"line_{name}")
     return rows.select(

@@ -13,7 +13,7 @@ _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'
 
 
 def oracle_sql() -> dict[str, str]:
-    n, sites, words = decontam.WINDOW, line_dedup.MIN_SITES, line_dedup.MIN_WORDS
+    n, sites, words, wide = decontam.WINDOW, line_dedup.MIN_SITES, line_dedup.MIN_WORDS, line_dedup.MIN_SITES * line_dedup.SHORT_FACTOR
     return {
         "op1_decontamination": f"""
             WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -35,14 +35,14 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": f"""
             WITH l AS (
                 SELECT doc_id, source, text, pos, line, trim(line, ' ') AS bare,
-                    len(regexp_split_to_array(trim(line, ' '), '[\\x20\\x09-\\x0D]+')) >= {words} AS fit
+                    len(regexp_split_to_array(trim(line, ' '), '[\\x20\\x09-\\x0D]+')) >= {words} AS fit, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS worded
                 FROM (
                     SELECT doc_id, source, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line
                     FROM documents
                 )
             ),
-            known AS (SELECT bare FROM l WHERE fit GROUP BY bare HAVING count(DISTINCT coalesce(source, '')) >= {sites} AND count(DISTINCT text) >= {sites}),
-            marked AS (SELECT *, fit AND bare IN (SELECT bare FROM known) AS gone FROM l)
+            known AS (SELECT bare FROM l WHERE worded GROUP BY bare, fit HAVING least(count(DISTINCT coalesce(source, '')), count(DISTINCT text)) >= CASE WHEN fit THEN {sites} ELSE {wide} END),
+            marked AS (SELECT *, worded AND bare IN (SELECT bare FROM known) AS gone FROM l)
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
                 coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
             FROM marked GROUP BY doc_id""",
