@@ -8,14 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on, per class, at most.
-SAMPLE_PER_CLASS = 1200
+#: Labelled rows that a model is fitted on, per class, at most; of these none longer than
+#: SAMPLE_CHARS code points, and no more of them than make SAMPLE_TOTAL code points.
+SAMPLE_PER_CLASS, SAMPLE_CHARS, SAMPLE_TOTAL = 1200, 50_000, 12_000_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[tuple[str, int]], tuple[int, int]]:
     """Up to per_class (text, 0/1) rows of each class, in an order fixed by hashing ids; and the sizes of the classes 0 and 1.
 
-    A document labelled both ways, or without a label, an id or a text, is left out.
+    A document labelled both ways, or without a label, an id or a text, is left out. Of
+    several texts of one id the least counts; they are reduced to it in the cluster.
     """
     clear = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).alias("y"), F.max(column).alias("y2")).where("y = y2 and y in (0, 1)")
     picked = None
@@ -28,12 +30,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     if not ids:
         return [], sizes
     chosen = docs.sparkSession.createDataFrame(ids, "_id long, y int")
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
-    rows = found.select("doc_id", "text", "y").collect()
-    first = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        first.setdefault(r.doc_id, (r.text, int(r.y)))
-    return [first[k] for k in sorted(first, key=lambda k: crc32(str(k).encode()))], sizes
+    found = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = found.groupBy("_id", "y").agg(F.min("text").alias("text")).collect()  # 2 x per_class texts at most
+    out, total = [], 0
+    for r in sorted(rows, key=lambda r: (crc32(str(r["_id"]).encode()), r["_id"])):
+        total += len(r.text)
+        if total <= SAMPLE_TOTAL:
+            out.append((r.text, int(r.y)))
+    return out, sizes
 
 
 def words_of(text: str | None) -> list[bytes]:
