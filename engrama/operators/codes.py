@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from engrama.config import DEFAULT, Config
 from engrama.functions import vectors as vx
+from engrama.operators.nearest import nearest
 from engrama.operators.store import next_ids
 
 #: Re-embedding tolerances: self-search and drift distance, and rows that are embedded anew.
@@ -71,6 +73,9 @@ def with_support(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         out = []
         w: np.ndarray | None = None
         for v in series:
+            if v is None or not len(v):
+                out.append(None)
+                continue
             x = np.asarray(v, dtype=np.float32)
             if w is None or w.shape[1] != len(x):
                 w = projection(len(x), cfg)
@@ -126,26 +131,38 @@ def completion_score(df: DataFrame, queries: DataFrame, beta: float = DEFAULT.co
 
 
 def _softmax_mean(df: DataFrame, state: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all rows x: the shift m, sum exp(beta (x.q - m)) and its weighted sum of x, for each query row of state."""
-    dim = state.shape[1]
+    """Over all rows x of the queries' width: the shift m, sum exp(beta (x.q - m)) and its weighted sum of x, for each query row of state.
+
+    A task folds its batches into one row a query; these are merged by an aggregation, so the driver gets one row a query.
+    """
+    n, dim = state.shape
+
+    def fold(a: tuple, b: tuple) -> tuple:
+        m = np.maximum(a[0], b[0])
+        with np.errstate(invalid="ignore"):
+            fa, fb = np.where(np.isfinite(a[0]), np.exp(beta * (a[0] - m)), 0.0), np.where(np.isfinite(b[0]), np.exp(beta * (b[0] - m)), 0.0)
+        return m, a[1] * fa + b[1] * fb, a[2] * fa[:, None] + b[2] * fb[:, None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = np.full(n, -np.inf), np.zeros(n), np.zeros((n, dim))
         for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"] if len(v) == dim])
+            rows = [v for v in pdf["embedding"] if v is not None and len(v) == dim and np.isfinite(v).all()]
+            for at in range(0, len(rows), 4096):
+                x = np.array(rows[at : at + 4096], dtype=np.float64)
                 s = x @ state.T
                 m = s.max(axis=0)
                 w = np.exp(beta * (s - m))
-                yield pd.DataFrame({"q": np.arange(len(state)), "m": m, "w": w.sum(axis=0), "x": list(w.T @ x)})
-
-    parts = df.select("embedding").mapInPandas(run, "q int, m double, w double, x array<double>").toPandas()  # one row for each query and Arrow batch
-    m = np.full(len(state), -np.inf)
-    for q, v in zip(parts["q"], parts["m"], strict=True):
-        m[q] = max(m[q], v)
-    w, total = np.zeros(len(state)), np.zeros_like(state)
-    for q, pm, pw, px in parts.itertuples(index=False):
-        w[q] += pw * np.exp(beta * (pm - m[q]))
-        total[q] += np.asarray(px) * np.exp(beta * (pm - m[q]))
+                done = fold(done, (m, w.sum(axis=0), w.T @ x))
+        if np.isfinite(done[0]).any():
+            yield pd.DataFrame({"q": np.arange(n), "m": done[0], "w": done[1], "x": list(done[2])})
+
+    parts = df.select("embedding").mapInPandas(run, "q int, m double, w double, x array<double>")
+    top = parts.groupBy("q").agg(F.max("m").alias("top"))
+    scaled = parts.join(F.broadcast(top), "q").withColumn("f", F.exp(F.lit(beta) * (F.col("m") - F.col("top"))))  # a row a query
+    sums = scaled.groupBy("q").agg(F.first("top").alias("m"), F.sum(F.col("w") * F.col("f")).alias("w"), *[F.sum(F.get("x", F.lit(i)) * F.col("f")).alias(f"x{i}") for i in range(dim)])
+    m, w, total = np.full(n, -np.inf), np.zeros(n), np.zeros((n, dim))
+    for r in sums.collect():
+        m[r.q], w[r.q], total[r.q] = r.m, r.w, [r[f"x{i}"] for i in range(dim)]
     return m, w, total
 
 
@@ -157,12 +174,14 @@ def completion_step(df: DataFrame, queries: DataFrame, beta: float = DEFAULT.com
 def complete(df: DataFrame, queries: DataFrame, iters: int, beta: float = DEFAULT.completion_beta, anchor: float = DEFAULT.completion_anchor, least_gain: float = 1e-3) -> DataFrame:
     """(query_id, vector) after up to iters steps: a query stops when its score stands still or its vector vanishes.
 
-    queries is a stated set; its vectors are on the driver, the rows stay in the cluster.
+    queries is a stated set of one width; its vectors are on the driver, the rows stay in the
+    cluster. Null vectors, other widths and values that are not finite are passed over.
     """
     rows = queries.select("query_id", "vector").orderBy("query_id").collect()
     if not rows:
         return queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    start = np.array([r.vector for r in rows], dtype=np.float64)
+    dim = max(len(r.vector or ()) for r in rows)
+    start = np.array([r.vector if r.vector is not None and len(r.vector) == dim else [0.0] * dim for r in rows], dtype=np.float64)
     state, live, last = start.copy(), np.ones(len(rows), dtype=bool), np.full(len(rows), np.nan)
     for _ in range(iters):
         if not live.any():
@@ -170,11 +189,56 @@ def complete(df: DataFrame, queries: DataFrame, iters: int, beta: float = DEFAUL
         m, w, total = _softmax_mean(df, state, beta)
         if not (w > 0).any():
             break
-        score = m + np.log(w) / beta
+        live &= w > 0
+        score = m + np.log(np.maximum(w, 1e-300)) / beta
         live &= ~(np.abs(score - last) < least_gain)
         last = score
-        new = (1 - anchor) * start + anchor * total / w[:, None]
+        new = (1 - anchor) * start + anchor * total / np.maximum(w, 1e-300)[:, None]
         length = np.linalg.norm(new, axis=1)
         live &= length > vx.TINY
         state[live] = new[live] / length[live, None]
     return df.sparkSession.createDataFrame([(r.query_id, v.tolist()) for r, v in zip(rows, state, strict=True)], "query_id long, vector array<double>")
+
+
+def complete_nearest(stores: list[DataFrame], queries: DataFrame, iters: int, k: int, beta: float = DEFAULT.completion_beta, anchor: float = DEFAULT.completion_anchor, least_gain: float = 1e-3) -> DataFrame:
+    """queries(query_id, vector[, document]) with `vector` refined over up to iters steps by the k nearest rows of each store.
+
+    A step weighs the unit vectors x of those rows by softmax(beta x.q) and moves on to
+    normalise((1 - anchor) q0 + anchor (mean - offset)), where offset leads from the query's
+    encoding of its text to the document's (`document`, if given, of the same width and
+    finite). A query stops when its score stands still, when its vector vanishes, or when
+    nothing is near; a vector that is null, zero or not finite stays as it is.
+    """
+    if beta <= 0 or not 0 < anchor <= 1 or k <= 0 or least_gain < 0:
+        raise ValueError("beta and k are above 0, anchor is in (0, 1], least_gain is not negative")
+    state = queries.withColumn("_q", F.when(vx.norm("vector") < float("inf"), vx.unit("vector")))
+    offset = vx.space_offset("document", "vector") if "document" in queries.columns else F.lit(None).cast("array<double>")
+    state = state.select("query_id", F.col("_q").alias("q0"), F.col("_q").alias("q"), offset.alias("offset"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("live"))
+    rows = [r.asDict() for r in state.collect()]  # a stated query set
+    schema = "query_id long, q0 array<double>, q array<double>, offset array<double>"
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        q0, q, off = np.array(pdf["q0"].iloc[0]), np.array(pdf["q"].iloc[0]), pdf["offset"].iloc[0]
+        x = np.array(pdf["x"].tolist())
+        s = x @ q
+        w = np.exp(beta * (s - s.max()))
+        mean = w @ x / w.sum() - (np.array(off) if off is not None else 0)
+        new = (1 - anchor) * q0 + anchor * mean
+        n = np.linalg.norm(new)
+        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "q": [(new / n).tolist() if n >= vx.TINY else None], "score": [s.max() + np.log(w.sum()) / beta]})
+
+    for _ in range(iters):
+        live = [r for r in rows if r["live"] and r["q"] is not None]
+        if not live:
+            break
+        asked = queries.sparkSession.createDataFrame([tuple(r[c] for c in ("query_id", "q0", "q", "offset")) for r in live], schema)
+        near = [nearest(df, asked.select("query_id", F.col("q").alias("vector")), k).select("query_id", "id").join(df.select("id", vx.unit("embedding").alias("x")), "id") for df in stores]
+        found = {r.query_id: r for r in asked.join(reduce(DataFrame.union, near).drop("id"), "query_id").groupBy("query_id").applyInPandas(step, "query_id long, q array<double>, score double").collect()}
+        for r in live:
+            new = found.get(r["query_id"])
+            r["live"] = new is not None and new.q is not None
+            if r["live"]:
+                r["live"] = r["score"] is None or abs(new.score - r["score"]) >= least_gain
+                r["q"], r["score"] = list(new.q), new.score
+    refined = queries.sparkSession.createDataFrame([(r["query_id"], r["q"]) for r in rows], "query_id long, _refined array<double>")
+    return queries.join(refined, "query_id").withColumn("vector", F.coalesce("_refined", F.col("vector").cast("array<double>"))).drop("_refined")

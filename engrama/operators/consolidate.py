@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrama.config import DEFAULT, Config
 from engrama.functions import signals as sg
 from engrama.functions import text as tx
-from engrama.functions import vectors as vx
 from engrama.operators import codes
 from engrama.operators import lifecycle as lc
+from engrama.operators.nearest import nearest
+from engrama.operators.store import next_ids
 
 CANDIDATES = "id long, gist string, embedding array<double>, hits int, age int, sessions array<string>, epochs array<long>"
 
@@ -113,39 +115,36 @@ def consolidate(candidates: DataFrame, semantic: DataFrame, buffer: DataFrame, e
     return Pass(spark.createDataFrame(decisions, decided), absorbed, spark.createDataFrame(after, CANDIDATES))
 
 
-def _earlier(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of a record and an earlier one of its session."""
-    prior = df.select("session_id", F.col("id").alias("match"), *[F.col(c).alias(f"_{c}") for c in columns])
-    return df.select("session_id", "id", *columns).join(prior, "session_id").where("match < id")
+def _earlier(df: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance, nth): of each record of asked its k nearest earlier ones in its session, among df."""
+    return nearest(df, asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), "session_id"), k, within="session_id", earlier=True)
 
 
-def _units(df: DataFrame) -> DataFrame:
-    return df.withColumn("unit", vx.unit("embedding"))
+def _long(df: DataFrame, cfg: Config) -> DataFrame:
+    return df.where(F.length(F.trim("content")) >= cfg.min_dedup_chars)
 
 
-def dedup_cosine(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(id, match, distance): records within dedup_distance of an earlier one of their session; short ones never."""
-    long = df.where(F.length(F.trim("content")) >= cfg.min_dedup_chars).select("id")
-    d = _earlier(_units(df), ["unit"]).select("id", F.struct((1.0 - vx.dot("unit", "_unit")).alias("d"), "match").alias("x")).join(long, "id", "left_semi")
-    best = d.where("x.d is not null").groupBy("id").agg(F.min("x").alias("b"))
-    return best.select("id", F.col("b.match").alias("match"), F.col("b.d").alias("distance")).where(F.col("distance") <= cfg.dedup_distance)
+def dedup_cosine(df: DataFrame, cfg: Config = DEFAULT, asked: DataFrame | None = None) -> DataFrame:
+    """(id, match, distance): records within dedup_distance of an earlier one of their session; short ones never. asked: the records that may go, if not all of df."""
+    near = _earlier(df, _long(df if asked is None else asked, cfg), 1)
+    return near.where(F.col("distance") <= cfg.dedup_distance).select(F.col("query_id").alias("id"), F.col("id").alias("match"), "distance")
 
 
-def dedup_jaccard(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(id, match, jaccard): of the nearest code_candidates earlier records of the session the one whose sparse code overlaps most, if enough."""
-    d = _earlier(_units(df.where(F.length(F.trim("content")) >= cfg.min_dedup_chars)), ["unit", "dg_support"])
-    d = d.select("id", "match", (1.0 - vx.dot("unit", "_unit")).alias("d"), codes.jaccard(F.col("dg_support"), F.col("_dg_support")).alias("j"))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("d", "match"))
-    near = d.withColumn("r", nth).where(F.col("r") <= cfg.code_candidates)
-    best = near.groupBy("id").agg(F.min(F.struct((-F.col("j")).alias("j"), "r", "match")).alias("b"))
+def dedup_jaccard(df: DataFrame, cfg: Config = DEFAULT, asked: DataFrame | None = None) -> DataFrame:
+    """(id, match, jaccard): of the nearest code_candidates earlier records of the session the one whose sparse code overlaps most, if enough. asked: as in dedup_cosine."""
+    asked, df = _long(df if asked is None else asked, cfg), _long(df, cfg)
+    near = _earlier(df, asked, cfg.code_candidates).select(F.col("query_id").alias("id"), F.col("id").alias("match"), F.col("nth").alias("r"))
+    codes_of = near.join(asked.select("id", "dg_support"), "id").join(df.select(F.col("id").alias("match"), F.col("dg_support").alias("_dg_support")), "match")
+    best = codes_of.select("id", "match", "r", codes.jaccard(F.col("dg_support"), F.col("_dg_support")).alias("j")).groupBy("id").agg(F.min(F.struct((-F.col("j")).alias("j"), "r", "match")).alias("b"))
     return best.select("id", F.col("b.match").alias("match"), F.round(-F.col("b.j"), 6).alias("jaccard")).where(F.col("jaccard") >= cfg.code_jaccard)
 
 
-def surprise(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """df with more salience where the nearest earlier record of the session is far; none is no surprise."""
-    near = _earlier(_units(df), ["unit"]).groupBy("id").agg(F.min(1.0 - vx.dot("unit", "_unit")).alias("_d"))
+def surprise(df: DataFrame, cfg: Config = DEFAULT, asked: DataFrame | None = None) -> DataFrame:
+    """asked (or df) with more salience where the nearest earlier record of the session is far; none is no surprise."""
+    asked = df if asked is None else asked
+    near = _earlier(df, asked, 1).select(F.col("query_id").alias("id"), F.col("distance").alias("_d"))
     boosted = F.when(F.col("_d") >= cfg.surprise_floor, F.least(F.lit(1.0), F.col("salience") + cfg.surprise_boost)).otherwise(F.col("salience"))
-    return df.join(near, "id", "left").withColumn("salience", boosted).drop("_d")
+    return asked.join(near, "id", "left").withColumn("salience", boosted).drop("_d")
 
 
 def supersede(df: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,24 +154,23 @@ def supersede(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.withColumn("_g", group).join(targets, "_g", "left_anti").drop("_g")
 
 
-def encode(new: DataFrame, existing: DataFrame, loader, now: float, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(inserts, bumps) for new(content, session_id, tags, salience): signals, embedding, dedup, surprise, segments.
+def encode(new: DataFrame, existing: DataFrame, loader, now: float, cfg: Config = DEFAULT, prefix: str = "", hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
+    """(inserts, bumps) for new(content, session_id, tags, salience and what else is to stay): signals, embedding, dedup, surprise, segments.
 
-    salience null is derived from the signals. bumps: (id, t) of records that a new one repeats.
+    salience null is derived from the signals. bumps: (id, t, *the columns of new) of records
+    that a new one repeats. Only the new rows are looked up; hold keeps a batch of writes that is read several times.
     """
     text = F.col("content")
     found = sg.flags(text)
     refs, length = sg.references(text), sg.length_class(text)
     rows = new.withColumns({**found, "refs": refs, "length_class": length, "salience": F.coalesce("salience", sg.salience(found, refs, length, cfg.salience_base))})
-    rows = codes.with_support(codes.embed(rows, "content", loader), cfg)
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
-    rows = rows.withColumn("id", F.lit(top) + F.row_number().over(Window.orderBy("session_id", "content")))  # a batch of writes
-    rows = rows.persist()
+    rows = codes.with_support(codes.embed(rows, "content", loader, prefix), cfg)
+    rows = hold(next_ids(existing.select("id"), rows, ["session_id", "content"]))
     old = codes.with_support(existing.select("id", "session_id", "content", "embedding", "salience"), cfg)
     every = old.unionByName(rows.select(old.columns))
-    repeats = dedup_jaccard(every, cfg).where(F.col("id") > top)
-    bumps = repeats.select(F.col("match").alias("id"), F.lit(float(now)).alias("t"))
-    kept = surprise(every, cfg).select("id", "salience").join(rows.drop("salience"), "id").join(repeats.select("id"), "id", "left_anti")
+    repeats = hold(dedup_jaccard(every, cfg, rows))
+    bumps = repeats.select("id", "match").join(rows.select("id", *new.columns), "id").select(F.col("match").alias("id"), F.lit(float(now)).alias("t"), *new.columns)
+    kept = surprise(every, cfg, rows.select(old.columns)).select("id", "salience").join(rows.drop("salience"), "id").join(repeats.select("id"), "id", "left_anti")
     parts = tx.segments(kept, "id", "content", cfg.segment_max_chars, cfg.segment_max_items)
     sizes = parts.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("segment_count"))
     inserts = kept.drop("content").join(parts.withColumnRenamed("segment", "content"), "id").join(sizes, "id").withColumnRenamed("position", "position_in_episode")

@@ -7,74 +7,27 @@ collapse before the gate, and the gate cuts on raw distance whatever the rank or
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.config import DEFAULT, Config
 from engrama.functions import vectors as vx
 from engrama.operators import filters, graph
+from engrama.operators.nearest import nearest
 
 EPS = 1e-9
 MAX_DISTANCE = 2.0
-#: So many queries are multiplied, or broadcast, at a time; a larger set goes in blocks.
-MAX_QUERIES = 20_000
 
 
 def knn(df: DataFrame, queries: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, id, distance, nth, *keep): the k nearest rows of each query, ties by id.
-
-    Two phases: each Arrow batch multiplies its vectors with a block of MAX_QUERIES queries
-    and keeps its own k nearest of each; those of all blocks meet in one ranking. Rows
-    with a vector of another width, not finite, or zero are no neighbours.
-    """
-    asked = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    partial = _nearest(df, list(itertools.islice(asked, MAX_QUERIES)), k)
-    while block := list(itertools.islice(asked, MAX_QUERIES)):
-        partial = partial.unionByName(_nearest(df, block, k))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    top = partial.withColumn("nth", nth).where(F.col("nth") <= k)
+    """(query_id, id, distance, nth, *keep): the k nearest rows of each query, ties by id."""
+    top = nearest(df, queries, k)
     return top.join(df.select("id", *keep), "id").select("query_id", "id", "distance", "nth", *keep) if keep else top.select("query_id", "id", "distance", "nth")
 
 
-def _nearest(df: DataFrame, found: list, k: int) -> DataFrame:
-    """(query_id, id, distance): the k nearest of each Arrow batch for each query of a block."""
-    ids = np.array([r.query_id for r in found], dtype=np.int64)
-    q = np.array([r.vector for r in found], dtype=np.float64) if found else np.zeros((0, 0))
-    lengths = np.linalg.norm(q, axis=1)
-    usable = np.isfinite(lengths) & (lengths > 0)
-    ids, q = ids[usable], q[usable] / lengths[usable, None]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf["embedding"]]]
-            if not len(ids) or not len(pdf):
-                continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(x, axis=1)
-            good = np.isfinite(n) & (n > 0)
-            x, at = x[good] / n[good, None], pdf["id"].to_numpy()[good]
-            if not len(x):
-                continue
-            d = 1 - q @ x.T
-            order = np.lexsort((np.broadcast_to(at, d.shape), d), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": at[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
-
-    return df.select("id", "embedding").mapInPandas(run, "query_id long, id long, distance double")
-
-
 def knn_in_session(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, nth) among rows of the query's session: the filter is part of the search."""
-    asked = queries.select("query_id", vx.unit("vector").alias("_q"), "session_id")
-    asked = F.broadcast(asked) if queries.count() <= MAX_QUERIES else asked
-    pairs = df.select("id", vx.unit("embedding").alias("_x"), "session_id").join(asked, "session_id")
-    d = pairs.select("query_id", "id", (1.0 - vx.dot("_x", "_q")).alias("distance")).where("distance is not null")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return d.withColumn("nth", nth).where(F.col("nth") <= k)
+    return nearest(df, queries, k, within="session_id")
 
 
 def fetch_k(k: int, narrowing: bool) -> int:
@@ -83,14 +36,12 @@ def fetch_k(k: int, narrowing: bool) -> int:
 
 def hybrid(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Both legs, semantic first: (query_id, id, source, distance, leg_order, nth) and what filters and ranks need."""
-    keep = ("content", "scope", "session_id", "tags", "created_at")
+    keep = ["content", "scope", "session_id", "tags", "created_at"]
     none = F.lit(None)
     legs = []
     for order, (source, df) in enumerate((("semantic", semantic), ("episodic", episodic))):
-        hits = knn(df, queries, k, keep).withColumn("source", F.lit(source)).withColumn("leg_order", F.lit(order))
-        if source == "episodic":
-            hits = hits.join(df.select("id", "episode_group_id"), "id")
-        else:
+        hits = knn(df, queries, k, (*keep, *(["episode_group_id"] if source == "episodic" else []))).withColumn("source", F.lit(source)).withColumn("leg_order", F.lit(order))
+        if source == "semantic":
             hits = hits.withColumn("episode_group_id", none.cast("long"))
         legs.append(hits)
     return legs[0].unionByName(legs[1]).persist()  # queries x k rows, read by each later stage
@@ -215,11 +166,16 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
-def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure: DataFrame, edges: DataFrame, references: DataFrame, omega: float, k: int = 4, cfg: Config = DEFAULT, scope: bool = True) -> DataFrame:
-    """query_id, position, id, source, distance, score, rank_key of the k best hits of each query. references: (query_id, source, reference)."""
+def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure: DataFrame, edges: DataFrame, references: DataFrame, omega: float, k: int = 4, cfg: Config = DEFAULT, scope: bool = True, tags: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, position, id, source, distance, score, rank_key of the k best hits of each query. references: (query_id, source, reference).
+
+    tags: what episodic rows must all have; like the scope it binds after the cut to the nearest.
+    """
     if k <= 0:
         return hybrid(episodic, semantic, queries, 1).where("false").selectExpr("query_id", "0 as position", "id", "source", "distance", "0D as score", "0D as rank_key")
-    hits = hybrid(episodic, semantic, queries, fetch_k(k, scope or cfg.gate))
+    hits = hybrid(episodic, semantic, queries, fetch_k(k, scope or cfg.gate or bool(tags)))
+    if tags:
+        hits = hits.where((F.col("source") != "episodic") | filters.has_tags(F.array(*[F.lit(t) for t in tags])))
     if scope:
         asked = queries.select("query_id", F.col("session_id").alias("_asking"))
         hits = hits.join(asked, "query_id").where(filters.visible(F.col("_asking"))).drop("_asking")
