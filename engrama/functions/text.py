@@ -27,6 +27,12 @@ def task_prefix(model: Column, side: int) -> Column:
     return out.otherwise("")
 
 
+def prefixes(model: str) -> tuple[str, str]:
+    """`task_prefix` of a model's name for documents and for queries."""
+    bare = model.lower().translate({ord(c): None for c in "-_./"})
+    return next((tuple(found) for marker, found in TASK_PREFIXES if marker in bare), ("", ""))
+
+
 def preview(text: Column, n: int = 140) -> Column:
     """White space collapsed, cut to n characters and an ellipsis."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -79,6 +79,24 @@ def bump(episodic: DataFrame, bumps: DataFrame, cap: int = DEFAULT.access_histor
     }).drop("_t")
 
 
+def drift(episodic: DataFrame, cues: DataFrame, now: float, cfg: Config = DEFAULT) -> DataFrame:
+    """Reconsolidation of records by cues(id, score, cue): each moves a little toward its cue.
+
+    A locked record and a score under drift_min_score change nothing; past the window after
+    the last touch only the clock is set; at drift_max the record locks.
+    """
+    j = episodic.join(cues.select("id", "score", "cue"), "id", "left")
+    last, total = F.coalesce("last_reconsolidated_at", F.lit(0.0)), F.coalesce("drift_total", F.lit(0.0))
+    touched = F.col("score").isNotNull() & ~F.coalesce("drift_locked", F.lit(False)) & (F.col("score") >= cfg.drift_min_score)
+    moves = touched & ~((last > 0) & (F.lit(float(now)) - last > cfg.drift_window_seconds))
+    step = F.lit(cfg.drift_alpha) * F.col("score")
+    return j.withColumns({
+        "embedding": F.when(moves & F.col("cue").isNotNull(), vx.blend("embedding", "cue", step).cast("array<float>")).otherwise(F.col("embedding")),
+        "drift_total": F.when(moves, total + step).otherwise(F.col("drift_total")), "drift_locked": F.when(moves & (total + step >= cfg.drift_max), True).otherwise(F.col("drift_locked")),
+        "last_reconsolidated_at": F.when(touched, float(now)).otherwise(F.col("last_reconsolidated_at")),
+    }).select(*episodic.columns)
+
+
 # consolidation
 
 

@@ -11,23 +11,31 @@ from pyspark.sql import functions as F
 from engrama.config import DEFAULT, Config
 
 
+#: Events with seq in one range of this width are numbered together.
+RANGE = 1 << 16
+
+
 def state(log: DataFrame) -> DataFrame:
     """Per event: novel encodes since the last consolidate, events since the last dream, the previous event's time, and when each last ran.
 
-    A log has one writer and one order, so its windows run over the whole (bounded) log;
-    log_capacity bounds what a reader takes in.
+    Running sums within ranges of seq, which is unique, moved up by what the ranges before
+    hold: a row for each range of RANGE events is all that one task sees of the whole log.
     """
-    w = Window.orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    runs = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).over(upto)
-    out = log.withColumns({"_c": runs("consolidate"), "_d": runs("dream"), "prev_ts": F.lag("ts").over(w)})
+    within = Window.partitionBy("_r").orderBy("seq")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
     novel = F.when((F.col("kind") == "encode") & ~F.coalesce("deduped", F.lit(False)), 1).otherwise(0)
-    since = lambda g: Window.partitionBy(g).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({
-        "novel": F.sum(novel).over(since("_c")), "since_dream": F.sum(F.when(F.col("kind") == "dream", 0).otherwise(1)).over(since("_d")),
-        "last_consolidate": F.last(F.when(F.col("kind") == "consolidate", F.col("ts")), True).over(upto), "last_dream": F.last(F.when(F.col("kind") == "dream", F.col("ts")), True).over(upto),
+    at = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    local = log.withColumn("_r", F.floor(F.col("seq") / RANGE)).withColumns({"_n": F.sum(novel).over(upto), "_e": F.sum(F.when(F.col("kind") == "dream", 0).otherwise(1)).over(upto), "_prev": F.lag("ts").over(within)})
+    local = local.withColumns({name: F.last(at(kind, c), True).over(upto) for name, kind, c in (("_nc", "consolidate", "_n"), ("_tc", "consolidate", "ts"), ("_ed", "dream", "_e"), ("_td", "dream", "ts"))})
+    ends = local.groupBy("_r").agg(F.max("_n").alias("_n"), F.max("_e").alias("_e"), F.max_by("ts", "seq").alias("_ts"), *[F.max_by(c, "seq").alias(c) for c in ("_nc", "_tc", "_ed", "_td")])
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ends = ends.withColumns({"N": F.coalesce(F.sum("_n").over(before), F.lit(0)), "E": F.coalesce(F.sum("_e").over(before), F.lit(0))})
+    carried = ends.select("_r", "N", "E", F.last("_ts").over(before).alias("T"), *[F.last(x, True).over(before).alias(name) for name, x in (("NC", F.col("_nc") + F.col("N")), ("TC", F.col("_tc")), ("ED", F.col("_ed") + F.col("E")), ("TD", F.col("_td")))])
+    out = local.join(F.broadcast(carried), "_r").withColumns({
+        "novel": F.col("_n") + F.col("N") - F.coalesce(F.col("_nc") + F.col("N"), "NC", F.lit(0)), "since_dream": F.col("_e") + F.col("E") - F.coalesce(F.col("_ed") + F.col("E"), "ED", F.lit(0)),
+        "prev_ts": F.coalesce("_prev", "T"), "last_consolidate": F.coalesce("_tc", "TC"), "last_dream": F.coalesce("_td", "TD"),
     })
-    return out.drop("_c", "_d")
+    return out.select(*log.columns, "novel", "since_dream", "prev_ts", "last_consolidate", "last_dream")
 
 
 def triggers(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

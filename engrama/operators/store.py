@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,40 +98,93 @@ def event_log_tail(log: DataFrame, capacity: int) -> DataFrame:
     return log.where(F.col("seq") >= (last or 0) - capacity + 1)
 
 
+class Conflict(RuntimeError):
+    """Another writer committed in between."""
+
+
 class Store:
-    """Named tables as Parquet snapshots: root/name/v=N, the newest of which is current."""
+    """Named tables as Parquet snapshots under root/name/, and numbered commits that say which snapshots are current.
+
+    A commit first writes its tables, each into a folder of its own, and then one manifest,
+    root/_commits/N.json, by a rename that fails if N is there. So a commit of several
+    tables shows whole or not at all, and of two writers that began at the same commit one
+    gets a Conflict; what a failed writer left is never read and goes with `vacuum`.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._known: dict[int, dict[str, str]] = {}
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _path(self, rest: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rest}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rest}" if rest else self.root)
+
+    def commits(self) -> list[int]:
+        fs, path = self._fs(), self._path("_commits")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def latest(self) -> int:
+        """The last commit, 0 before the first."""
+        return max(self.commits(), default=0)
+
+    def _manifest(self, commit: int) -> dict[str, str]:
+        """table -> folder, as of a commit."""
+        if commit and commit not in self._known:
+            stream = self._fs().open(self._path(f"_commits/{commit}.json"))
+            try:
+                self._known[commit] = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        return self._known.get(commit, {})
 
     def versions(self, name: str) -> list[int]:
-        """Committed versions: those whose writing ended."""
-        fs, path = self._fs(), self._path(name)
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(self._path(f"{name}/{n}/_SUCCESS")))
+        """The commits that changed a table and can still be read."""
+        fs = self._fs()
+        mine = [(c, self._manifest(c).get(name, "")) for c in self.commits()]
+        return [c for c, folder in mine if folder.startswith(f"v={c}-") and fs.exists(self._path(f"{name}/{folder}"))]
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        known = self.versions(name)
-        if not known:
+        """A table as of a commit; by default the last."""
+        folder = self._manifest(self.latest() if version is None else version).get(name)
+        if folder is None:
             raise KeyError(f"no table {name} in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v={known[-1] if version is None else version}")
+        return self.spark.read.parquet(f"{self.root}/{name}/{folder}")
 
     def commit(self, name: str, df: DataFrame) -> int:
-        """Writes the next version; a table's single writer calls it."""
-        known = self.versions(name)
-        version = known[-1] + 1 if known else 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        return version
+        return self.commit_all({name: df})
+
+    def commit_all(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+        """Writes tables as one commit after `base`, the commit that they were made from; by default the last."""
+        base = self.latest() if base is None else base
+        if self.latest() != base:
+            raise Conflict(f"commit {base} of {self.root} is no longer the last")
+        number, mine = base + 1, uuid.uuid4().hex
+        manifest = dict(self._manifest(base))
+        for name, df in tables.items():
+            manifest[name] = f"v={number}-{mine}"
+            df.write.parquet(f"{self.root}/{name}/{manifest[name]}")
+        fs, draft = self._fs(), self._path(f"_commits/draft-{mine}")
+        out = fs.create(draft, False)
+        out.writeBytes(json.dumps(manifest))
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri() if "://" in self.root else jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(self.spark._jsc.hadoopConfiguration()), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(context.makeQualified(draft), context.makeQualified(self._path(f"_commits/{number}.json")), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as failed:
+            fs.delete(draft, False)
+            if number in self.commits():
+                raise Conflict(f"commit {number} of {self.root} is another writer's") from failed
+            raise
+        return number
 
     def vacuum(self, name: str, keep: int = 2) -> None:
-        for v in self.versions(name)[:-keep]:
-            self._fs().delete(self._path(f"{name}/v={v}"), True)
+        """Drops a table's folders but for those of its last `keep` versions; call it while nobody writes."""
+        kept = {self._manifest(c).get(name) for c in self.versions(name)[-keep:]} | {self._manifest(self.latest()).get(name)}
+        fs, path = self._fs(), self._path(name)
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            if status.getPath().getName() not in kept:
+                fs.delete(status.getPath(), True)

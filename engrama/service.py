@@ -1,17 +1,20 @@
 """The memory service: the tools over a store of snapshot tables, each for a batch of requests.
 
-Reads never write. Writes commit new snapshots through the store's single writer, and
-every write adds to the interaction log.
+Reads never write. A write reads its tables as of one commit and ends in one commit of all
+that it changed and of the interaction log; a write that another one overtook raises
+`Conflict` and leaves nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrama.config import DEFAULT, Config
+from engrama.functions import text as tx
 from engrama.functions import vectors as vx
 from engrama.operators import codes, consolidate, filters, lifecycle
 from engrama.operators import graph as gr
@@ -32,77 +35,141 @@ TABLES = {"episodic": EPISODIC, "semantic": SEMANTIC, "edges": EDGES, "interacti
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, root: str, loader: Callable, cfg: Config = DEFAULT):
-        """loader() gives an embedder, list of texts -> matrix; it runs once for each worker's stream of batches."""
+    def __init__(self, spark: SparkSession, root: str, loader: Callable, cfg: Config = DEFAULT, model: str = ""):
+        """loader() gives an embedder, list of texts -> matrix; it runs once for each worker's stream of batches.
+
+        model: the embedder's name, by which texts of documents and of queries get their prefixes.
+        """
         self.spark, self.store, self.loader, self.cfg = spark, Store(spark, root), loader, cfg
+        self.document_prefix, self.query_prefix = tx.prefixes(model)
+        self._base: int | None = None
+        self._changed: dict[str, DataFrame] = {}
+        self._held: list[DataFrame] = []
 
     def table(self, name: str) -> DataFrame:
-        return self.store.read(name) if self.store.versions(name) else self.spark.createDataFrame([], TABLES[name])
+        commit = self.store.latest() if self._base is None else self._base
+        try:
+            return self.store.read(name, commit) if commit else self.spark.createDataFrame([], TABLES[name])
+        except KeyError:
+            return self.spark.createDataFrame([], TABLES[name])
+
+    @contextmanager
+    def _write(self) -> Iterator[None]:
+        """All that is set inside becomes one commit; inside, tables are read as of its beginning."""
+        self._base, self._changed = self.store.latest(), {}
+        try:
+            yield
+            if self._changed:
+                self.store.commit_all(self._changed, self._base)
+        finally:
+            self._base, self._changed = None, {}
+            self.release()
 
     def _commit(self, name: str, df: DataFrame) -> None:
         wanted = self.spark.createDataFrame([], TABLES[name])
-        self.store.commit(name, wanted.unionByName(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted.schema if f.name in df.columns]), allowMissingColumns=True))
+        df = wanted.unionByName(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted.schema if f.name in df.columns]), allowMissingColumns=True)
+        if self._base is None:
+            self.store.commit(name, df)
+        else:
+            self._changed[name] = df
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        """Keeps what is read several times, until `release`."""
+        self._held.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Lets go of what reads and writes have kept; writes do so by themselves."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def _log(self, kind: str, now: float, events: DataFrame | None = None) -> None:
         log = self.table("interaction_log")
         last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m
         new = events if events is not None else self.spark.createDataFrame([(None, None)], "session_id string, deduped boolean")
-        new = new.withColumn("seq", F.monotonically_increasing_id()).orderBy("seq").limit(self.cfg.log_capacity)
-        rows = [(last + i + 1, float(now), kind, r.session_id, r.deduped) for i, r in enumerate(new.collect())]  # log_capacity at most
+        rows = [(last + i + 1, float(now), kind, r.session_id, r.deduped) for i, r in enumerate(new.limit(self.cfg.log_capacity).collect())]  # log_capacity at most
         self._commit("interaction_log", event_log_tail(log.unionByName(self.spark.createDataFrame(rows, LOG)), self.cfg.log_capacity))
 
     def _embedded(self, texts: DataFrame) -> DataFrame:
-        return codes.embed(texts, "query", self.loader).withColumnRenamed("embedding", "vector")
+        return codes.embed(texts, "query", self.loader, self.query_prefix).withColumnRenamed("embedding", "vector")
 
     # writes
 
     def store_episodes(self, new: DataFrame, now: float) -> dict[str, int]:
-        """new: content, session_id, tags, salience (null: derived). Repeats bump what they repeat."""
+        """new: content, session_id, tags, salience (null: derived) and, if wanted, supersedes. Repeats bump what they repeat.
+
+        supersedes: an episode that goes, with its whole group and edges, once the new one
+        is stored, unless the new one repeats that very group.
+        """
         checked = new.withColumns({"k": F.lit(1), "_error": F.lit(None).cast("string")})
         bad = checked.withColumn("_error", filters.input_error(checked, self.cfg)).where("_error is not null").select("_error").first()
         if bad:
             raise ValueError(bad[0])
-        old = self.table("episodic")
-        inserts, bumps = consolidate.encode(new, old, self.loader, now, self.cfg)
-        grouped = inserts.withColumn("episode_group_id", F.when(F.col("segment_count") > 1, F.col("id")))
-        fresh = grouped.where("position_in_episode = 0").withColumn("scope", F.lit("session"))
-        more = next_ids(fresh.select("id"), grouped.where("position_in_episode > 0").withColumn("scope", F.lit("session")).withColumn("dg_support", F.lit(None).cast("array<int>")), ["episode_group_id", "position_in_episode"])
-        base = lifecycle.bump(old, bumps, self.cfg.access_history_cap)
-        added = fresh.unionByName(more.select(fresh.columns)).withColumns({"last_accessed": F.lit(float(now)), "access_history": F.array(F.lit(float(now)))})
-        counts = {"stored": inserts.count(), "repeated": bumps.count()}
-        base = base.select(*[c for c in base.columns]).unionByName(added.select(*[F.col(c) if c in added.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in base.columns]))
-        self._commit("episodic", base)
-        self._log("encode", now, new.select("session_id", F.lit(False).alias("deduped")))
+        new = new if "supersedes" in new.columns else new.withColumn("supersedes", F.lit(None).cast("long"))
+        with self._write():
+            old = self.table("episodic")
+            self._check_superseded(new, old)
+            inserts, bumps = consolidate.encode(new, old, self.loader, now, self.cfg, self.document_prefix, self._hold)
+            inserts, bumps = self._hold(inserts), self._hold(bumps)
+            grouped = inserts.withColumn("episode_group_id", F.when(F.col("segment_count") > 1, F.col("id")))
+            fresh = grouped.where("position_in_episode = 0").withColumn("scope", F.lit("session"))
+            more = next_ids(old.select("id").unionByName(fresh.select("id")), grouped.where("position_in_episode > 0").withColumn("scope", F.lit("session")).withColumn("dg_support", F.lit(None).cast("array<int>")), ["episode_group_id", "position_in_episode"])
+            base = lifecycle.bump(old, bumps.select("id", "t"), self.cfg.access_history_cap)
+            added = fresh.unionByName(more.select(fresh.columns)).withColumns({"last_accessed": F.lit(float(now)), "access_history": F.array(F.lit(float(now)))})
+            base = base.unionByName(added.select(*[F.col(c) if c in added.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in base.columns]))
+            group = F.coalesce("episode_group_id", "id")
+            into = fresh.select("supersedes", group.alias("new_group")).unionByName(bumps.select("id", "supersedes").join(old.select("id", group.alias("new_group")), "id").select("supersedes", "new_group"))
+            into = self._hold(into.where("supersedes is not null").select(F.col("supersedes").alias("target"), "new_group"))
+            counts = {"stored": inserts.count(), "repeated": bumps.count(), "superseded": into.count()}
+            if counts["superseded"]:
+                left = consolidate.supersede(base, into)
+                gone = base.select("id").join(left.select("id"), "id", "left_anti")
+                base, edges = left, delete_cascade(base, self.table("edges"), gone)[1]
+                self._commit("edges", edges)
+            self._commit("episodic", base)
+            log = fresh.select("session_id", F.lit(False).alias("deduped")).unionByName(bumps.select("session_id", F.lit(True).alias("deduped")))
+            self._log("encode", now, log)
         return counts
 
+    def _check_superseded(self, new: DataFrame, old: DataFrame) -> None:
+        asked = new.where("supersedes is not null").select(F.col("supersedes").cast("long").alias("id"))
+        bad = asked.where("id < 0").unionByName(asked.join(old.select("id"), "id", "left_anti")).first()
+        if bad:
+            raise ValueError(f"supersedes {bad.id}: no such record")
+
     def store_semantic(self, new: DataFrame, now: float) -> int:
-        """new: content, kind, tags, confidence, scope, session_id."""
+        """new: content, kind, tags, confidence, scope, session_id and, if wanted, supersedes: a fact that the new one takes the place of."""
         error = new.select(filters.scope_error(F.col("scope"), F.col("session_id")).alias("e")).where("e is not null").first()
         if error:
             raise ValueError(error.e)
-        old = self.table("semantic")
-        tags = F.array_sort(F.array_distinct(F.filter("tags", lambda t: t != "")))
-        rows = codes.embed(new, "content", self.loader).withColumns({
-            "scope": filters.resolve_scope(F.col("scope"), F.col("session_id")), "tags": tags, "authored": F.lit(True), "kind": F.coalesce("kind", F.lit("fact")), "confidence": F.coalesce("confidence", F.lit(1.0)),
-            "created_at": F.lit(float(now)), "updated_at": F.lit(float(now)), "source_episode_ids": F.array().cast("array<long>"), "last_accessed": F.lit(None).cast("double"),
-        })
-        numbered = next_ids(old.select("id"), rows, ["content"])
-        n = numbered.count()
-        self._commit("semantic", old.unionByName(numbered.select(old.columns)))
-        self._log("store_semantic", now)
+        new = new if "supersedes" in new.columns else new.withColumn("supersedes", F.lit(None).cast("long"))
+        with self._write():
+            old = self.table("semantic")
+            self._check_superseded(new, old)
+            tags = F.array_sort(F.array_distinct(F.filter("tags", lambda t: t != "")))
+            rows = codes.embed(new, "content", self.loader, self.document_prefix).withColumns({
+                "scope": filters.resolve_scope(F.col("scope"), F.col("session_id")), "tags": tags, "authored": F.lit(True), "kind": F.coalesce("kind", F.lit("fact")), "confidence": F.coalesce("confidence", F.lit(1.0)),
+                "created_at": F.lit(float(now)), "updated_at": F.lit(float(now)), "source_episode_ids": F.array().cast("array<long>"), "last_accessed": F.lit(None).cast("double"),
+            })
+            numbered = self._hold(next_ids(old.select("id"), rows, ["content"]))
+            n = numbered.count()
+            kept = old.join(numbered.select(F.col("supersedes").alias("id")), "id", "left_anti")
+            self._commit("semantic", kept.select(old.columns).unionByName(numbered.select(old.columns)))
+            self._log("store_semantic", now)
         return n
 
     def remove_episodes(self, ids: list[int], dry_run: bool = True) -> list[int]:
         """The ids of the whole groups that go; edges go with them."""
-        e = self.table("episodic")
-        group = F.coalesce("episode_group_id", "id")
-        groups = by_ids(e, ids).select(group.alias("g")).distinct()
-        gone = e.withColumn("g", group).join(groups, "g", "left_semi").select("id")
-        found = sorted(r.id for r in gone.collect())  # of the ids asked for
-        if not dry_run and found:
-            docs, edges = delete_cascade(e, self.table("edges"), gone)
-            self._commit("episodic", docs)
-            self._commit("edges", edges)
+        with self._write():
+            e = self.table("episodic")
+            group = F.coalesce("episode_group_id", "id")
+            groups = by_ids(e, ids).select(group.alias("g")).distinct()
+            gone = e.withColumn("g", group).join(groups, "g", "left_semi").select("id")
+            found = sorted(r.id for r in gone.collect())  # of the ids asked for
+            if not dry_run and found:
+                docs, edges = delete_cascade(e, self.table("edges"), gone)
+                self._commit("episodic", docs)
+                self._commit("edges", edges)
         return found
 
     def remove_semantic(self, ids: list[int]) -> None:
@@ -111,53 +178,57 @@ class Memory:
         self._commit("semantic", s.where(~F.col("id").isin([int(i) for i in ids])))
 
     def forget(self, now: float, floor: float = DEFAULT.strength_floor, dry_run: bool = True) -> dict[str, int]:
-        e, s = self.table("episodic"), self.table("semantic")
-        gone = lifecycle.forgettable(e, now, floor, self.cfg).select("id")
-        cold = lifecycle.cold_schemas(s, now, self.cfg.schema_unused_seconds).select("id")
-        counts = {"episodes": gone.count(), "schemas": cold.count()}
-        if not dry_run:
-            docs, edges = delete_cascade(e, self.table("edges"), gone)
-            self._commit("episodic", docs)
-            self._commit("edges", edges)
-            self._commit("semantic", s.join(cold, "id", "left_anti"))
-            self._log("forget", now)
+        with self._write():
+            e, s = self.table("episodic"), self.table("semantic")
+            gone = lifecycle.forgettable(e, now, floor, self.cfg).select("id")
+            cold = lifecycle.cold_schemas(s, now, self.cfg.schema_unused_seconds).select("id")
+            counts = {"episodes": gone.count(), "schemas": cold.count()}
+            if not dry_run:
+                docs, edges = delete_cascade(e, self.table("edges"), gone)
+                self._commit("episodic", docs)
+                self._commit("edges", edges)
+                self._commit("semantic", s.join(cold, "id", "left_anti"))
+                self._log("forget", now)
         return counts
 
     def consolidate(self, now: float, epoch: int, session_id: str | None = None) -> dict[str, int]:
         """A pass: ages candidates, absorbs, clusters, promotes; episodes point at their schema."""
-        e, s = self.table("episodic"), self.table("semantic")
-        ready = filters.eligible(filters.unconsolidated(e, session_id), now, self.cfg)
-        done = consolidate.consolidate(ready, s, self.table("schema_candidates"), epoch, now, self.cfg)
-        merged = done.absorbed.select("id", "schema").unionByName(done.decisions.where("decision = 'merge'").select(F.explode("sources").alias("id"), F.col("target").alias("schema"))).persist()
-        schemas = lifecycle.merge_into_schema(s, merged, now, self.cfg)
-        new = done.decisions.where("decision in ('promote', 'fast_promote')").select("gist", "sources").persist()
-        members = new.select("gist", F.explode("sources").alias("id")).join(e.select("id", "session_id", "tags"), "id")
-        winner = lifecycle.plurality(members, "gist", "session_id")
-        tags = members.select("gist", F.explode_outer("tags").alias("t")).groupBy("gist").agg(F.array_sort(F.collect_set("t")).alias("tags"))
-        rows = codes.embed(new.join(winner, "gist").join(tags, "gist").withColumnRenamed("gist", "content"), "content", self.loader)
-        rows = rows.withColumns({
-            "source_episode_ids": F.col("sources"), "confidence": lifecycle.confidence(F.size("sources"), self.cfg.confidence_full_at), "session_id": F.col("winner"), "scope": F.when(F.col("winner").isNull(), "global").otherwise("session"),
-            "created_at": F.lit(float(now)), "updated_at": F.lit(float(now)), "last_accessed": F.lit(float(now)), "authored": F.lit(False), "kind": F.lit(None).cast("string"),
-        })
-        added = next_ids(s.select("id"), rows, ["content"]).persist()
-        into = merged.union(added.select(F.explode("source_episode_ids").alias("id"), F.col("id").alias("schema"))).groupBy("id").agg(F.min("schema").alias("_into"))
-        episodes = e.join(into, "id", "left").withColumn("consolidated_into", F.coalesce("_into", "consolidated_into")).drop("_into")
-        counts = {"absorbed": done.absorbed.count(), "merged": done.decisions.where("decision = 'merge'").count(), "promoted": added.count(), "parked": done.decisions.where("decision = 'park'").count()}
-        self._commit("semantic", schemas.unionByName(added.select(schemas.columns)))
-        self._commit("episodic", episodes)
-        self._commit("schema_candidates", done.candidates)
-        self._log("consolidate", now)
+        with self._write():
+            e, s = self.table("episodic"), self.table("semantic")
+            ready = filters.eligible(filters.unconsolidated(e, session_id), now, self.cfg)
+            done = consolidate.consolidate(ready, s, self.table("schema_candidates"), epoch, now, self.cfg)
+            merged = self._hold(done.absorbed.select("id", "schema").unionByName(done.decisions.where("decision = 'merge'").select(F.explode("sources").alias("id"), F.col("target").alias("schema"))))
+            schemas = lifecycle.merge_into_schema(s, merged, now, self.cfg)
+            new = self._hold(done.decisions.where("decision in ('promote', 'fast_promote')").select("gist", "sources"))
+            members = new.select("gist", F.explode("sources").alias("id")).join(e.select("id", "session_id", "tags"), "id")
+            winner = lifecycle.plurality(members, "gist", "session_id")
+            tags = members.select("gist", F.explode_outer("tags").alias("t")).groupBy("gist").agg(F.array_sort(F.collect_set("t")).alias("tags"))
+            rows = codes.embed(new.join(winner, "gist").join(tags, "gist").withColumnRenamed("gist", "content"), "content", self.loader, self.document_prefix)
+            rows = rows.withColumns({
+                "source_episode_ids": F.col("sources"), "confidence": lifecycle.confidence(F.size("sources"), self.cfg.confidence_full_at), "session_id": F.col("winner"), "scope": F.when(F.col("winner").isNull(), "global").otherwise("session"),
+                "created_at": F.lit(float(now)), "updated_at": F.lit(float(now)), "last_accessed": F.lit(float(now)), "authored": F.lit(False), "kind": F.lit(None).cast("string"),
+            })
+            added = self._hold(next_ids(s.select("id"), rows, ["content"]))
+            into = merged.union(added.select(F.explode("source_episode_ids").alias("id"), F.col("id").alias("schema"))).groupBy("id").agg(F.min("schema").alias("_into"))
+            episodes = e.join(into, "id", "left").withColumn("consolidated_into", F.coalesce("_into", "consolidated_into")).drop("_into")
+            counts = {"absorbed": done.absorbed.count(), "merged": done.decisions.where("decision = 'merge'").count(), "promoted": added.count(), "parked": done.decisions.where("decision = 'park'").count()}
+            self._commit("semantic", schemas.unionByName(added.select(schemas.columns)))
+            self._commit("episodic", episodes)
+            self._commit("schema_candidates", done.candidates)
+            self._log("consolidate", now)
         return counts
 
     def dream(self, now: float) -> dict[str, int]:
         """Decay of edges, then rehearsal of the strongest records of each session."""
-        edges = self.table("edges")
-        decayed = gr.ltd(edges, now, self.cfg).persist()
-        kept = decayed.where("not pruned").drop("pruned")
-        replayed = lifecycle.replay_edges(self.table("episodic"), now, self.cfg).persist()
-        self._commit("edges", self._reinforced(edges.where("kind = 'sr'").unionByName(kept.select(edges.columns)), replayed.select(F.col("anchor").alias("src_id"), F.col("target").alias("dst_id"), "score"), now))
-        self._log("dream", now)
-        return {"pruned": decayed.where("pruned").count(), "replayed": replayed.count()}
+        with self._write():
+            edges = self.table("edges")
+            decayed = self._hold(gr.ltd(edges, now, self.cfg))
+            kept = decayed.where("not pruned").drop("pruned")
+            replayed = self._hold(lifecycle.replay_edges(self.table("episodic"), now, self.cfg))
+            counts = {"pruned": decayed.where("pruned").count(), "replayed": replayed.count()}
+            self._commit("edges", self._reinforced(edges.where("kind = 'sr'").unionByName(kept.select(edges.columns)), replayed.select(F.col("anchor").alias("src_id"), F.col("target").alias("dst_id"), "score"), now))
+            self._log("dream", now)
+        return counts
 
     def _reinforced(self, edges: DataFrame, touches: DataFrame, now: float) -> DataFrame:
         """edges after one touch of each (src_id, dst_id, score)."""
@@ -172,39 +243,56 @@ class Memory:
 
     # reads
 
-    def recall(self, queries: DataFrame, k: int = 4, scope: bool = True, reinforce_at: float | None = None) -> DataFrame:
-        """queries: query_id, query, session_id. With reinforce_at the hits' records and edges are strengthened."""
-        q = self._embedded(queries).persist()
+    def recall(self, queries: DataFrame, k: int = 4, scope: bool = True, reinforce_at: float | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
+        """queries: query_id, query, session_id. tags: what episodic hits must all have. With reinforce_at the hits' records and edges are strengthened.
+
+        With cfg.completion_iters the query vectors are first completed by their neighbours
+        in both stores.
+        """
+        q = self._hold(self._completed(self._embedded(queries), k))
         e, s, edges = self.table("episodic"), self.table("semantic"), self.table("edges")
         sr = edges.where("kind = 'sr'")
         total = sr.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("t")).first().t
         closure = gr.power_series(sr.selectExpr("src_id as src", "dst_id as dst", "hits"), self.cfg.sr_gamma, 2)
         of = lambda name, df: codes.background_reference(df, q, self.cfg).withColumn("source", F.lit(name))
         references = of("episodic", e).unionByName(of("semantic", s))
-        hits = rc.recall(e, s, q, closure, edges, references, gr.omega(int(total), e.count(), self.cfg), k, self.cfg, scope).persist()
-        if reinforce_at is not None:
-            self._reinforce(hits, reinforce_at)
+        hits = self._hold(rc.recall(e, s, q, closure, edges, references, gr.omega(int(total), e.count(), self.cfg), k, self.cfg, scope, tuple(tags)))
         text = e.select("id", "content").withColumn("source", F.lit("episodic")).unionByName(s.select("id", "content").withColumn("source", F.lit("semantic")))
-        return filters.snippet(hits.join(text, ["id", "source"]), self.cfg.snippet_chars)
-
-    def _reinforce(self, hits: DataFrame, now: float) -> None:
-        """Bumps returned records; ties the nearest to the others, by co-access and by score."""
-        ep = hits.where("source = 'episodic'").persist()
-        bumped = lifecycle.bump(self.table("episodic"), ep.select("id", F.lit(float(now)).alias("t")), self.cfg.access_history_cap)
-        anchor = ep.groupBy("query_id").agg(F.min_by("id", F.struct("distance", "position")).alias("anchor"))
-        pairs = ep.join(anchor, "query_id").where("id <> anchor").select(F.col("anchor").alias("src_id"), F.col("id").alias("dst_id"), vx.score("distance").alias("score"))
-        edges = self._reinforced(self.table("edges"), pairs.groupBy("src_id", "dst_id").agg(F.max("score").alias("score")), now)
-        seen = pairs.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("_n"))
-        sr = edges.where("kind = 'sr'").join(seen, ["src_id", "dst_id"], "full")
-        z = lambda c: F.coalesce(c, F.lit(0))
-        sr = sr.select(F.lit("sr").alias("kind"), "src_id", "dst_id", F.lit(0.0).alias("weight"), F.lit(0.0).alias("bonus"), (z("hits") + z("_n")).alias("hits"), F.lit(float(now)).alias("last_touch"))
-        self._commit("edges", edges.where("kind <> 'sr'").unionByName(sr.select(edges.columns)))
-        self._commit("episodic", bumped)
-        self._log("recall", now)
+        found = filters.snippet(hits.join(text, ["id", "source"]), self.cfg.snippet_chars)
+        if reinforce_at is not None:
+            rows, schema = found.collect(), found.schema  # queries x k rows
+            self._reinforce(hits, q, reinforce_at)
+            found = self.spark.createDataFrame(rows, schema)
+        return found
+
+    def _completed(self, q: DataFrame, k: int) -> DataFrame:
+        if self.cfg.completion_iters <= 0:
+            return q
+        if self.document_prefix != self.query_prefix:
+            q = codes.embed(q, "query", self.loader, self.document_prefix).withColumnRenamed("embedding", "document")
+        stores = [self.table("episodic"), self.table("semantic")]
+        return codes.complete_nearest(stores, self._hold(q), self.cfg.completion_iters, max(k, 8), self.cfg.completion_beta, self.cfg.completion_anchor).drop("document")
+
+    def _reinforce(self, hits: DataFrame, queries: DataFrame, now: float) -> None:
+        """Bumps returned records; ties the nearest to the others, by co-access and by score; draws the nearest toward its query."""
+        with self._write():
+            ep = hits.where("source = 'episodic'")
+            bumped = lifecycle.bump(self.table("episodic"), ep.select("id", F.lit(float(now)).alias("t")), self.cfg.access_history_cap)
+            anchor = ep.groupBy("query_id").agg(F.min_by(F.struct("id", "distance"), F.struct("distance", "position")).alias("a")).select("query_id", F.col("a.id").alias("anchor"), F.col("a.distance").alias("_near"))
+            pairs = ep.join(anchor, "query_id").where("id <> anchor").select(F.col("anchor").alias("src_id"), F.col("id").alias("dst_id"), vx.score("distance").alias("score"))
+            edges = self._reinforced(self.table("edges"), pairs.groupBy("src_id", "dst_id").agg(F.max("score").alias("score")), now)
+            seen = pairs.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("_n"))
+            sr = edges.where("kind = 'sr'").join(seen, ["src_id", "dst_id"], "full")
+            z = lambda c: F.coalesce(c, F.lit(0))
+            sr = sr.select(F.lit("sr").alias("kind"), "src_id", "dst_id", F.lit(0.0).alias("weight"), F.lit(0.0).alias("bonus"), (z("hits") + z("_n")).alias("hits"), F.lit(float(now)).alias("last_touch"))
+            cues = anchor.join(queries.select("query_id", "vector"), "query_id").groupBy(F.col("anchor").alias("id")).agg(F.max(vx.score("_near")).alias("score"), F.min_by("vector", "_near").alias("cue"))
+            self._commit("edges", edges.where("kind <> 'sr'").unionByName(sr.select(edges.columns)))
+            self._commit("episodic", lifecycle.drift(bumped, cues, now, self.cfg))
+            self._log("recall", now)
 
     def recall_semantic(self, queries: DataFrame, k: int = 8, kind: str | None = None) -> DataFrame:
         """Facts and schemas; queries without any fall back to a few episodes."""
-        q = self._embedded(queries).persist()
+        q = self._hold(self._embedded(queries))
         s, e = self.table("semantic"), self.table("episodic")
         hits = rc.recall_semantic(s, q, codes.background_reference(s, q, self.cfg), k, kind, self.cfg)
         if not self.cfg.semantic_fallback:
