@@ -31,7 +31,7 @@ from .textmodel import labelled_sample, products, sigmoid
 BITS = 20
 GRADES = 3
 FOLDS = 3
-L1, ROUNDS, RATE = 4e-4, 200, 0.1
+L1, ROUNDS, RATE = 2e-4, 120, 0.1
 #: Documents whose P(grade > 0) is this or more are toxic.
 TOXIC = 0.5
 PREFIXES = (5, 7)
