@@ -69,17 +69,17 @@ def sr_omega(spark, sf):
     return spark.createDataFrame([(round(gr.omega(total, T.episodic(spark, sf).count(), Config(sr_cold_start_ratio=20.0)), 6),)], "omega double")
 
 
-@query("sr_boost", "c AS (SELECT src_id, dst_id, hits::DOUBLE / sum(hits) OVER (PARTITION BY src_id) AS m FROM edges WHERE kind = 'sr') SELECT e.id, round(coalesce(c.m, 0), 6) AS m FROM episodic e LEFT JOIN c ON c.src_id = 4 AND c.dst_id = e.id")
+@query("sr_boost", "c AS (SELECT src_id, dst_id, hits::DOUBLE / sum(hits) OVER (PARTITION BY src_id) AS m FROM edges WHERE kind = 'sr') SELECT c.src_id AS anchor, e.id, round(c.m, 6) AS m FROM episodic e JOIN c ON c.dst_id = e.id")
 def sr_boost(spark, sf):
     e = T.edges(spark, sf).where("kind = 'sr'")
-    c = e.select("src_id", F.col("dst_id").alias("id"), (F.col("hits") / F.sum("hits").over(Window.partitionBy("src_id"))).alias("m")).where("src_id = 4")
-    return T.episodic(spark, sf).select("id").join(c, "id", "left").select("id", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("m"))
+    c = e.select(F.col("src_id").alias("anchor"), F.col("dst_id").alias("id"), (F.col("hits") / F.sum("hits").over(Window.partitionBy("src_id"))).alias("m"))
+    return T.episodic(spark, sf).select("id").join(c, "id").select("anchor", "id", _r("m"))
 
 
-@query("plasticity_boost", "SELECT e.id, round(coalesce(sum(CASE WHEN kind = 'sr' THEN hits / 100.0::DOUBLE ELSE weight + bonus END), 0), 6) AS boost FROM episodic e LEFT JOIN edges g ON g.dst_id = e.id AND g.src_id % 7 = 3 GROUP BY e.id")
+@query("plasticity_boost", "SELECT g.src_id AS anchor, e.id, round(sum(CASE WHEN kind = 'sr' THEN hits / 100.0::DOUBLE ELSE weight + bonus END), 6) AS boost FROM episodic e JOIN edges g ON g.dst_id = e.id GROUP BY 1, 2")
 def plasticity_boost(spark, sf):
-    g = T.edges(spark, sf).where("src_id % 7 = 3").select(F.col("dst_id").alias("id"), F.when(F.col("kind") == "sr", F.col("hits") / 100).otherwise(F.col("weight") + F.col("bonus")).alias("b"))
-    return T.episodic(spark, sf).select("id").join(g.groupBy("id").agg(F.sum("b").alias("b")), "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("boost"))
+    g = T.edges(spark, sf).select(F.col("src_id").alias("anchor"), F.col("dst_id").alias("id"), F.when(F.col("kind") == "sr", F.col("hits") / 100).otherwise(F.col("weight") + F.col("bonus")).alias("b"))
+    return T.episodic(spark, sf).select("id").join(g.groupBy("anchor", "id").agg(F.sum("b").alias("boost")), "id").select("anchor", "id", _r("boost"))
 
 
 @query("plasticity_fold", """ev AS (SELECT *, row_number() OVER (PARTITION BY src_id, dst_id ORDER BY t, seq) AS n FROM reinforcements WHERE src_id <> dst_id),
@@ -129,9 +129,9 @@ def spreading(spark, sf):
 _ADJ = "adj AS (SELECT src_id AS id, dst_id AS nb FROM edges UNION SELECT dst_id, src_id FROM edges)"
 
 
-@query("adjacent", f"{_ADJ} SELECT id, nb AS neighbour FROM adj WHERE id IN (2, 8, 77, 140)")
+@query("adjacent", f"{_ADJ} SELECT id, nb AS neighbour FROM adj")
 def adjacent(spark, sf):
-    return gr.adjacency(T.edges(spark, sf)).where("id in (2, 8, 77, 140)")
+    return gr.adjacency(T.edges(spark, sf))
 
 
 @query("focus_neighborhood", f"""{_ADJ}, l1 AS (SELECT nb AS id FROM (SELECT nb, min(id) AS parent FROM adj WHERE id IN (8, 15) AND nb NOT IN (8, 15) GROUP BY nb ORDER BY parent, nb LIMIT 38)),
@@ -153,10 +153,10 @@ def global_sr(spark, sf):
     return gr.global_view(T.edges(spark, sf), 200).select("src_id", "dst_id", "hits")
 
 
-@query("graph_sr_edges", "c AS (SELECT src_id, dst_id, sum(hits)::DOUBLE / sum(sum(hits)) OVER (PARTITION BY src_id) AS m FROM edges WHERE kind = 'sr' AND dst_id % 2 = 0 GROUP BY 1, 2) SELECT e.src_id, e.dst_id, e.hits, round(coalesce(c.m, 0), 6) AS m FROM edges e LEFT JOIN c USING (src_id, dst_id) WHERE e.kind = 'sr'")
+@query("graph_sr_edges", "c AS (SELECT src_id, dst_id, sum(hits)::DOUBLE / sum(sum(hits)) OVER (PARTITION BY src_id) AS m FROM edges WHERE kind = 'sr' GROUP BY 1, 2) SELECT e.src_id, e.dst_id, e.hits, round(coalesce(c.m, 0), 6) AS m FROM edges e LEFT JOIN c USING (src_id, dst_id) WHERE e.kind = 'sr'")
 def graph_sr_edges(spark, sf):
     e = T.edges(spark, sf).where("kind = 'sr'")
-    c = gr.power_series(e.where("dst_id % 2 = 0").selectExpr("src_id as src", "dst_id as dst", "hits"), depth=1).selectExpr("src as src_id", "dst as dst_id", "m")
+    c = gr.power_series(e.selectExpr("src_id as src", "dst_id as dst", "hits"), depth=1).selectExpr("src as src_id", "dst as dst_id", "m")
     return e.join(c, ["src_id", "dst_id"], "left").select("src_id", "dst_id", "hits", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("m"))
 
 
