@@ -33,13 +33,18 @@ RESERVED = frozenset(
 )
 
 
+#: In front of a pattern: words, digits, spaces and cases of all scripts, and \\n alone ends a line.
+ALL_SCRIPTS = "(?Ud)"
+
+
 def flags(text: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     # a plain substring test that each match must pass spares most texts the pattern
     raised = t.contains("Error:") | t.contains("Exception:") | t.contains("panic") | t.contains("Traceback")
+    has = lambda pattern: t.rlike(ALL_SCRIPTS + pattern)
     return {
-        "has_diff_markers": t.rlike(DIFF), "has_traceback": raised & t.rlike(TRACEBACK), "has_decision_verbs": t.rlike(DECISION), "has_tool_call": (t.contains('"') | F.lower(t).contains("tool")) & t.rlike(TOOL_CALL),
-        "has_question": t.contains("?") & t.rlike(QUESTION), "has_structured_doc": t.rlike(STRUCTURED), "code_block_count": F.when(t.contains("```"), F.floor(F.regexp_count(t, F.lit(FENCE)) / 2).cast("int")).otherwise(0),
+        "has_diff_markers": has(DIFF), "has_traceback": raised & has(TRACEBACK), "has_decision_verbs": has(DECISION), "has_tool_call": (t.contains('"') | F.lower(t).contains("tool")) & has(TOOL_CALL),
+        "has_question": t.contains("?") & has(QUESTION), "has_structured_doc": has(STRUCTURED), "code_block_count": F.when(t.contains("```"), F.floor(F.regexp_count(t, F.lit(ALL_SCRIPTS + FENCE)) / 2).cast("int")).otherwise(0),
     }
 
 
@@ -52,11 +57,11 @@ def references(text: Column) -> Column:
     """Sorted distinct file paths, back-ticked and CamelCase names, URLs and issues; MAX_REFERENCES at most."""
     t = F.coalesce(text, F.lit(""))
     # each pattern runs only where a cheaper test, which every match passes, holds
-    every = lambda pattern, may, group=0: F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+    every = lambda pattern, may, group=0: F.when(may, F.regexp_extract_all(t, F.lit(ALL_SCRIPTS + pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
     paths = F.transform(every(FILE_PATH, t.rlike(rf"\.(?:{EXTENSIONS})\b")), lambda p: F.regexp_replace(p, "^[ab]/", ""))
     camel = F.filter(every(CAMEL, t.rlike("[a-z][A-Z]"), 1), lambda c: ~c.isin(*NOISE))
     urls = F.transform(every(URL, t.contains("://")), lambda u: F.rtrim(u, F.lit(URL_TAIL)))
-    found = F.array_union(F.array_union(F.array_union(F.array_union(paths, every(BACKTICK, t.contains("`"), 1)), camel), urls), every(ISSUE, t.rlike("[#-][0-9]")))
+    found = F.array_union(F.array_union(F.array_union(F.array_union(paths, every(BACKTICK, t.contains("`"), 1)), camel), urls), every(ISSUE, t.rlike(ALL_SCRIPTS + r"[#-]\d")))
     return F.slice(F.array_sort(found), 1, MAX_REFERENCES)
 
 
