@@ -33,6 +33,22 @@ def prefixes(model: str) -> tuple[str, str]:
     return next((tuple(found) for marker, found in TASK_PREFIXES if marker in bare), ("", ""))
 
 
+def basename(path: Column) -> Column:
+    """What stands after the last slash."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+# The 32-bit FNV-1a hash, and how many hues there are.
+_FNV_START, _FNV_PRIME, HUES = 2166136261, 16777619, 8
+
+
+def session_hue(session: Column) -> Column:
+    """The hue of a session, 0 to HUES - 1: the FNV-1a hash of its UTF-16 units."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(session, "UTF-16BE")), F.lit("(.{4})")), lambda u: F.conv(u, 16, 10).cast("long"))
+    step = lambda h, u: (h.bitwiseXOR(u) * F.lit(_FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.pmod(F.aggregate(units, F.lit(_FNV_START).cast("long"), step), F.lit(HUES)).cast("int")
+
+
 def preview(text: Column, n: int = 140) -> Column:
     """White space collapsed, cut to n characters and an ellipsis."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -45,18 +45,23 @@ def embed(df: DataFrame, column: str, loader: Callable, prefix: str = "", batch:
         for series in batches:
             texts = [prefix + (t or "") for t in series]
             texts = [t[:char_cap] for t in texts] if char_cap else texts
-            rows = [model(texts[i : i + batch]) for i in range(0, len(texts), batch)]
-            yield pd.Series(list(np.concatenate(rows))) if rows else pd.Series([], dtype=object)
+            rows = []
+            for i in range(0, len(texts), batch):
+                part = np.asarray(model(texts[i : i + batch]))
+                if part.ndim != 2 or len(part) != len(texts[i : i + batch]) or (rows and len(part[0]) != len(rows[0])):
+                    raise ValueError(f"the embedder returned an array of shape {part.shape} for {len(texts[i : i + batch])} texts")
+                rows += list(part)
+            yield pd.Series(rows, dtype=object)
 
     return df.withColumn("embedding", run(column))
 
 
-def verify_embeddings(df: DataFrame, column: str, loader: Callable, dim: int) -> DataFrame:
+def verify_embeddings(df: DataFrame, column: str, loader: Callable, dim: int, prefix: str = "") -> DataFrame:
     """One row of checks: rows, rows of a wrong width or not finite or zero, and the largest drift of re-embedded rows."""
-    bad = (F.size("embedding") != dim) | F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))) | (vx.norm("embedding") == 0)
+    bad = F.col("embedding").isNull() | (F.size("embedding") != dim) | F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))) | (vx.norm("embedding") == 0)
     checks = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("n_bad"))
     sample = df.orderBy("id").limit(VERIFY_ROWS).withColumnRenamed("embedding", "stored")
-    drift = embed(sample, column, loader).agg(F.round(F.coalesce(F.max(vx.cosine_distance("stored", "embedding")), F.lit(0.0)), 5).alias("max_drift"))
+    drift = embed(sample, column, loader, prefix).agg(F.round(F.coalesce(F.max(vx.cosine_distance("stored", "embedding")), F.lit(0.0)), 5).alias("max_drift"))
     return checks.join(drift).withColumn("ok", (F.col("n_bad") == 0) & (F.col("max_drift") <= DRIFT_TOLERANCE))
 
 

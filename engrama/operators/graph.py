@@ -235,3 +235,8 @@ def drift_fold(touches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return folded.select("ep_id", F.col("s.total").alias("drift_total"), F.col("s.locked").alias("drift_locked"), F.col("s.last").alias("last"))
 
 
+
+
+def hull_communities(nodes: DataFrame, least: int = 3) -> DataFrame:
+    """(community, n, centre) of nodes(community, x): the communities that have a hull, those of `least` nodes or more, with the mean x that orders them."""
+    return nodes.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("centre")).where(F.col("n") >= least)

@@ -170,3 +170,13 @@ def format_duration(spark, sf):
 def split_scalar_list(spark, sf):
     s = F.expr("case doc_id % 4 when 0 then concat('[\"', lang, '\", \"', source, '\"]') when 1 then concat(lang, ' , ', source, ',') when 2 then concat(' ', lang, '  ', source) else '' end")
     return T.raw(spark, sf, "documents").select("doc_id", tx.split_scalar_list(s).alias("parts"))
+
+
+@query("session_hue", "SELECT DISTINCT session_id, CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(session_id, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, u: (xor(h, u) * 16777619) % 4294967296) % 8 AS INT) AS hue FROM interaction_log WHERE session_id IS NOT NULL")
+def session_hue(spark, sf):
+    return T.interaction_log(spark, sf).where("session_id is not null").select("session_id", tx.session_hue(F.col("session_id")).alias("hue")).distinct()
+
+
+@query("redacted_path", "SELECT page_id, string_split(url, '/')[-1] AS name FROM pages")
+def redacted_path(spark, sf):
+    return T.raw(spark, sf, "pages").select("page_id", tx.basename(F.col("url")).alias("name"))

@@ -142,3 +142,9 @@ def normalize_graph(spark, sf):
     usable = lambda c: F.when(rc.finite(c), F.col(c)).otherwise(0.0)
     out = raw.where("dst_id is not null").withColumns({"weight": usable("weight"), "bonus": usable("bonus")})
     return out.select("src_id", "dst_id", "weight", "bonus", F.round(F.col("weight") + F.col("bonus"), 6).alias("strength"))
+
+
+@query("hull_communities", "SELECT session_id AS community, count(*) AS n, round(avg(salience), 6) AS centre FROM episodic GROUP BY 1 HAVING count(*) >= 3")
+def hull_communities(spark, sf):
+    nodes = T.episodic(spark, sf).select(F.col("session_id").alias("community"), F.col("salience").alias("x"))
+    return gr.hull_communities(nodes).select("community", "n", F.round("centre", 6).alias("centre"))

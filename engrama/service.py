@@ -241,6 +241,22 @@ class Memory:
         )
         return edges.where("kind <> 'plasticity'").unionByName(merged.select(edges.columns))
 
+    def reembed(self, loader: Callable, dim: int, model: str = "") -> dict[str, int]:
+        """Embeds all contents anew for another embedder, ids unchanged, and checks the result; one commit, or none if a check fails."""
+        document, query = tx.prefixes(model)
+        counts = {}
+        with self._write():
+            for name in ("episodic", "semantic"):
+                old = self.table(name)
+                new = self._hold(codes.embed(old.drop("embedding"), "content", loader, document))
+                checks = codes.verify_embeddings(new, "content", loader, dim, document).first()
+                counts[name] = checks.n
+                if checks.n and not (checks.ok and checks.n == old.count()):
+                    raise ValueError(f"{name}: {checks.n_bad} of {checks.n} vectors are not of {dim} finite values, or drift by {checks.max_drift}")
+                self._commit(name, codes.with_support(new, self.cfg) if name == "episodic" else new)
+        self.loader, self.document_prefix, self.query_prefix = loader, document, query
+        return counts
+
     # reads
 
     def recall(self, queries: DataFrame, k: int = 4, scope: bool = True, reinforce_at: float | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
