@@ -95,13 +95,14 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORD
     known = boilerplate(docs, min_sites, min_words)
     gone = keyed(materialize(removals(docs, known, min_words), "line-removals")).select(*ROW_KEY, "gone")
     lines = F.col("lines")
-    rows = keyed(packed(docs)).select("row", "text", *ROW_KEY).join(gone, ROW_KEY, "left").withColumn("lines", _lines(F.col("text")))
+    rows = keyed(packed(docs)).select("row", *ROW_KEY).join(gone, ROW_KEY, "left")  # the text travels once, in row
+    rows = rows.select("row", "gone", F.col("row").getField("text").alias("text")).withColumn("lines", F.when(F.col("gone").isNotNull(), _lines(F.col("text"))))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")  # by a hash set: linear
     left = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     free = lambda name: name if name not in docs.columns else free(f"line_{name}")
     return rows.select(
         F.col("row").withField("text", text).alias("row"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     ).select("row.*", F.col("n_lines").alias(free("n_lines")), F.col("n_removed").alias(free("n_removed")))
