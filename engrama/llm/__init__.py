@@ -1,4 +1,4 @@
-"""Training-data operators: decontamination, extraction, privacy, quality, dedup, sharding, packing.
+"""Training-data operators: decontamination, extraction, privacy, quality, dedup, sharding, packing, infilling, search.
 
 Functions that executors run are pickled by value, so a cluster needs no copy of
 this package on its workers.
