@@ -92,6 +92,14 @@ def with_support(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return df.withColumn("dg_support", run("embedding"))
 
 
+def with_missing_support(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """df with dg_support, which is worked out only where it is not stored."""
+    if "dg_support" not in df.columns:
+        return with_support(df, cfg)
+    lacks = with_support(df.where("dg_support is null").drop("dg_support"), cfg)
+    return df.where("dg_support is not null").unionByName(lacks)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """1 for two empty sets, 0 for one."""
     union = F.size(F.array_union(a, b))

@@ -14,7 +14,7 @@ from engrama.functions import signals as sg
 from engrama.functions import text as tx
 from engrama.operators import codes
 from engrama.operators import lifecycle as lc
-from engrama.operators.nearest import nearest
+from engrama.operators.nearest import in_grid
 from engrama.operators.store import next_ids
 
 CANDIDATES = "id long, gist string, embedding array<double>, hits int, age int, sessions array<string>, epochs array<long>"
@@ -117,7 +117,7 @@ def consolidate(candidates: DataFrame, semantic: DataFrame, buffer: DataFrame, e
 
 def _earlier(df: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, nth): of each record of asked its k nearest earlier ones in its session, among df."""
-    return nearest(df, asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), "session_id"), k, within="session_id", earlier=True)
+    return in_grid(df, asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), "session_id"), k, within="session_id", earlier=True)
 
 
 def _long(df: DataFrame, cfg: Config) -> DataFrame:
@@ -166,7 +166,7 @@ def encode(new: DataFrame, existing: DataFrame, loader, now: float, cfg: Config
     rows = new.withColumns({**found, "refs": refs, "length_class": length, "salience": F.coalesce("salience", sg.salience(found, refs, length, cfg.salience_base))})
     rows = codes.with_support(codes.embed(rows, "content", loader, prefix), cfg)
     rows = hold(next_ids(existing.select("id"), rows, ["session_id", "content"]))
-    old = codes.with_support(existing.select("id", "session_id", "content", "embedding", "salience"), cfg)
+    old = codes.with_missing_support(existing.select("id", "session_id", "content", "embedding", "salience", *[c for c in existing.columns if c == "dg_support"]), cfg)
     every = old.unionByName(rows.select(old.columns))
     repeats = hold(dedup_jaccard(every, cfg, rows))
     bumps = repeats.select("id", "match").join(rows.select("id", *new.columns), "id").select(F.col("match").alias("id"), F.lit(float(now)).alias("t"), *new.columns)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
+from math import ceil
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.config import DEFAULT, Config
+from engrama.operators.ordered import value_at
+from engrama.operators.shared import cut
 
 DAY = 86_400.0
 
@@ -21,17 +25,21 @@ def omega(total_edges: int, episodes: int, cfg: Config = DEFAULT) -> float:
 # co-access
 
 
-def window_pairs(accesses: DataFrame, window: float) -> DataFrame:
+def window_pairs(accesses: DataFrame, window: float, hub: int | None = None) -> DataFrame:
     """(prior, cur, seq): earlier accesses of other records at most `window` seconds before each access.
 
     An interval join by time buckets: each prior access is posted in its own bucket and the
-    next, so each access meets the buckets that can hold its window, and no others.
+    next, so each access meets the buckets that can hold its window, and no others. The
+    accesses of a bucket with more than HUB are dealt out in parts, each of which meets all
+    the prior ones, so a burst is not one task.
     """
     bucket = F.floor(F.col("t") / window)
-    cur = accesses.select(F.col("seq").alias("seq"), F.col("ep_id").alias("cur"), F.col("t").alias("t"), bucket.alias("bucket"))
-    prior = accesses.select(F.col("seq").alias("seq0"), F.col("ep_id").alias("prior"), F.col("t").alias("t0"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    parts = accesses.groupBy(bucket.alias("bucket")).agg(F.ceil(F.count(F.lit(1)) / (hub or HUB)).cast("int").alias("parts")).where("parts > 1")
+    one = F.coalesce("parts", F.lit(1))
+    cur = accesses.select(F.col("seq").alias("seq"), F.col("ep_id").alias("cur"), F.col("t").alias("t"), bucket.alias("bucket")).join(parts, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("seq"), one).cast("int")).drop("parts")
+    prior = accesses.select(F.col("seq").alias("seq0"), F.col("ep_id").alias("prior"), F.col("t").alias("t0"), F.explode(F.array(bucket, bucket + 1)).alias("bucket")).join(parts, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
     close = (F.col("seq0") < F.col("seq")) & (F.col("t0") >= F.col("t") - window) & (F.col("t0") <= F.col("t")) & (F.col("prior") != F.col("cur"))
-    return cur.join(prior, "bucket").where(close).select("prior", "cur", "seq")
+    return cur.join(prior, ["bucket", "part"]).where(close).select("prior", "cur", "seq")
 
 
 def tally(accesses: DataFrame, window: float = DEFAULT.sr_window_seconds) -> DataFrame:
@@ -51,46 +59,107 @@ def evict(tallies: DataFrame, gone: DataFrame) -> DataFrame:
     return tallies.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
-def _td(events: list[tuple[int, int]], alpha: float, gamma: float) -> dict[int, dict[int, float]]:
-    m: dict[int, dict[int, float]] = {}
-    for i, j in events:
-        row, ahead = m.setdefault(i, {}), dict(m.get(j, {}))
-        for k in row:
-            row[k] *= 1 - alpha
-        for k, v in ahead.items():
-            row[k] = row.get(k, 0.0) + alpha * gamma * v
-        row[j] = row.get(j, 0.0) + alpha
-    return m
-
-
-def td_closure(pairs: DataFrame, order: list[str], alpha: float = DEFAULT.sr_alpha, gamma: float = DEFAULT.sr_gamma, sweeps: int = 1, group: str | None = None) -> DataFrame:
+#: Events of a chunk that one task folds.
+TD_CHUNK = 1 << 14
+#: Edges out of a node, or accesses of a time bucket, that one task joins at most, about.
+HUB = 4096
+#: A chunk's effect on the closure: row i becomes the sum of v times old row k (kind 'row') and of v at column k (kind 'col').
+EFFECT = "chunk long, i long, kind string, k long, v double"
+
+
+def _fold(batches: Iterator[pd.DataFrame], alpha: float, gamma: float) -> Iterator[pd.DataFrame]:
+    """The effect of a chunk's ordered events: the update rule, run on rows that are not known yet."""
+    rows: dict[int, dict[tuple[str, int], float]] = {}
+    chunk = TaskContext.get().partitionId()
+    for pdf in batches:
+        for i, j in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+            row = rows.setdefault(i, {("row", i): 1.0})
+            ahead = dict(rows[j]) if j in rows else {("row", j): 1.0}
+            for k in row:
+                row[k] *= 1 - alpha
+            for k, v in ahead.items():
+                row[k] = row.get(k, 0.0) + alpha * gamma * v
+            row["col", j] = row.get(("col", j), 0.0) + alpha
+    if rows:
+        flat = [(chunk, i, kind, k, v) for i, row in rows.items() for (kind, k), v in row.items()]
+        yield pd.DataFrame(flat, columns=["chunk", "i", "kind", "k", "v"])
+
+
+def _joined_effects(effects: DataFrame) -> DataFrame:
+    """Effects of neighbouring chunks 2c, 2c + 1 as one of chunk c: the later one's rows stand for what the earlier one made of them."""
+    half = F.floor(F.col("chunk") / 2).alias("chunk")
+    early = effects.where("chunk % 2 = 0").select(half, "i", "kind", "k", "v")
+    late = effects.where("chunk % 2 = 1").select(half, "i", "kind", "k", "v")
+    made = early.select("chunk", F.col("i").alias("k"), F.col("kind").alias("_kind"), F.col("k").alias("_k"), F.col("v").alias("_v"))
+    through = late.where("kind = 'row'").join(made, ["chunk", "k"], "left")  # a row that the earlier chunk did not write stays itself
+    through = through.select("chunk", "i", F.coalesce("_kind", "kind").alias("kind"), F.coalesce("_k", "k").alias("k"), (F.col("v") * F.coalesce("_v", F.lit(1.0))).alias("v"))
+    summed = through.unionByName(late.where("kind = 'col'")).groupBy("chunk", "i", "kind", "k").agg(F.sum("v").alias("v"))
+    left = early.join(late.select("chunk", "i").distinct(), ["chunk", "i"], "left_anti")
+    out = summed.unionByName(left.select(summed.columns))
+    return out.where("chunk > 0 or kind = 'col'")  # before the first chunk all rows are empty
+
+
+def td_closure(pairs: DataFrame, order: list[str], alpha: float = DEFAULT.sr_alpha, gamma: float = DEFAULT.sr_gamma, sweeps: int = 1, chunk: int | None = None) -> DataFrame:
     """(src, dst, m): the discounted closure learned edge by edge, in the given order.
 
-    Each step reads what earlier steps wrote, so the fold is sequential by definition: a
-    graph's edges meet in one task. `group` names a column of independent graphs, which
-    fold in parallel; power_series is the parallel alternative with its own semantics.
+    Each step reads what earlier steps wrote, yet every step is linear in the rows: so the
+    effect of any run of events is a sparse linear map, which does not depend on the state
+    that it meets. The events are cut into chunks of their order; each task folds a chunk's
+    map, and neighbouring maps are composed by joins, half as many after each round, until
+    one is left, applied to no rows at all. That is the fold in its order, up to rounding:
+    chunks fold side by side, chains of any length cost no rounds, no task holds the graph.
+    """
+    n = pairs.count()
+    if not n or sweeps < 1:
+        return pairs.sparkSession.createDataFrame([], "src long, dst long, m double")
+    chunks = ceil(n / (chunk or TD_CHUNK))
+    dealt = pairs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), *[F.col(c).alias(f"_at{x}") for x, c in enumerate(order)])
+    at = [F.col(f"_at{x}") for x in range(len(order))]
+    ranged = dealt.repartitionByRange(chunks, *at).sortWithinPartitions(*at) if chunks > 1 else dealt.coalesce(1).sortWithinPartitions(*at)
+    effects = cut(ranged.select("src", "dst").mapInPandas(lambda batches: _fold(batches, alpha, gamma), EFFECT))
+    count = chunks * sweeps
+    if sweeps > 1:
+        effects = effects.withColumn("chunk", F.explode(F.sequence(F.col("chunk"), F.col("chunk") + (sweeps - 1) * chunks, F.lit(chunks).cast("long"))))
+    effects = effects.where("chunk > 0 or kind = 'col'")
+    while count > 1:
+        effects, count = cut(_joined_effects(effects)), ceil(count / 2)
+    return effects.where("kind = 'col'").select(F.col("i").alias("src"), F.col("k").alias("dst"), F.col("v").alias("m"))
+
+
+def _steps(t: DataFrame, frontier: DataFrame, hub: int) -> DataFrame:
+    """frontier(start, node, p) one step along t(src, dst, p), summed by (start, node); a hub's edges are dealt out in parts."""
+    parts = t.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts"))
+    cut_t = t.join(parts, "src").select(F.col("src").alias("node"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), F.col("dst").alias("to"), F.col("p").alias("q"))
+    sent = frontier.join(parts.withColumnRenamed("src", "node"), "node").select("start", "node", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return sent.join(cut_t, ["node", "part"]).groupBy("start", F.col("to").alias("node")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
+
+
+def power_series(edges: DataFrame, gamma: float = DEFAULT.sr_gamma, depth: int = 3, anchors: DataFrame | None = None, hub: int | None = None) -> DataFrame:
+    """(src, dst, m): the sum over k up to depth of gamma^(k-1) T^k, for T with rows that sum to 1.
+
+    anchors(id): the only src that are wanted. Then it starts at them, and each step reads
+    and normalises the edges out of the nodes that it has come to, no others.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        events = list(zip(pdf["src"], pdf["dst"], strict=True)) * sweeps
-        return pd.DataFrame([(i, j, v) for i, row in _td(events, alpha, gamma).items() for j, v in row.items()], columns=["src", "dst", "m"])
-
-    keyed = pairs.withColumn("_g", F.col(group) if group else F.lit(0))
-    return keyed.groupBy("_g").applyInPandas(run, "src long, dst long, m double")
-
-
-def power_series(edges: DataFrame, gamma: float = DEFAULT.sr_gamma, depth: int = 3) -> DataFrame:
-    """(src, dst, m): the sum over k up to depth of gamma^(k-1) T^k, for T with rows that sum to 1."""
     t = edges.groupBy("src", "dst").agg(F.sum("hits").alias("h"))
-    rows = t.groupBy("src").agg(F.sum("h").alias("s"))
-    t = t.join(rows, "src").select("src", "dst", (F.col("h") / F.col("s")).alias("p"))
-    power, out = t, t.select("src", "dst", F.col("p").alias("m"))
-    step = t.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("p").alias("q"))
+
+    def normal(t: DataFrame) -> DataFrame:
+        return t.join(t.groupBy("src").agg(F.sum("h").alias("s")), "src").select("src", "dst", (F.col("h") / F.col("s")).alias("p"))
+
+    if anchors is None:
+        whole = normal(t)
+        of = lambda nodes: whole
+        frontier = whole.select(F.col("src").alias("start"), F.col("dst").alias("node"), "p")
+    else:
+        of = lambda nodes: normal(edges.join(nodes, "src", "left_semi").groupBy("src", "dst").agg(F.sum("hits").alias("h")))
+        first = of(anchors.select(F.col("id").alias("src")).distinct())
+        frontier = first.select(F.col("src").alias("start"), F.col("dst").alias("node"), "p")
+    out = frontier.withColumnRenamed("p", "m")
     for k in range(1, depth):
-        power = power.join(step, F.col("dst") == F.col("mid")).groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
-        out = out.union(power.select("src", "dst", (F.col("p") * gamma**k).alias("m")))
-    return out.groupBy("src", "dst").agg(F.sum("m").alias("m"))
+        if k > 1:
+            frontier = cut(frontier)  # read by the next step in three places
+        frontier = _steps(of(frontier.select(F.col("node").alias("src")).distinct()), frontier, hub or HUB)
+        out = out.union(frontier.select("start", "node", (F.col("p") * gamma**k).alias("m")))
+    return out.groupBy(F.col("start").alias("src"), F.col("node").alias("dst")).agg(F.sum("m").alias("m"))
 
 
 # plasticity
@@ -211,13 +280,7 @@ def bridges(scores: DataFrame) -> DataFrame:
     """Nodes at or over the score at place floor(0.75 n) of the ascending non-zero scores."""
     s = scores.where("score > 0")
     n = s.count()
-    if not n:
-        return s
-    # scores are grouped before they are ranked, so the one ordered pass sees distinct values only
-    counts = s.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.select("score", F.sum("c").over(Window.orderBy("score")).alias("upto"))
-    cut = upto.where(F.col("upto") > int(0.75 * n)).agg(F.min("score").alias("cut"))
-    return s.join(F.broadcast(cut)).where(F.col("score") >= F.col("cut")).drop("cut")
+    return s.where(F.col("score") >= value_at(s, "score", int(0.75 * n), n)) if n else s
 
 
 def drift_fold(touches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.config import DEFAULT, Config
 from engrama.functions import text as tx
 from engrama.functions import vectors as vx
-from engrama.operators.nearest import ROW_TILE, usable
-
-#: Schema vectors that each task takes as one block, at most.
-SCHEMA_BYTES = 64 << 20
+from engrama.operators.nearest import in_grid
 
 
 def access_times(history: str = "access_history", created: str = "created_at", last: str = "last_accessed", count: str = "retrieval_count") -> Column:
@@ -108,44 +100,11 @@ def cap_candidates(df: DataFrame, cap: int = DEFAULT.max_candidates) -> DataFram
 def nearest_schema(candidates: DataFrame, semantic: DataFrame) -> DataFrame:
     """(id, schema, d1, d2): each candidate's nearest schema and the distance of the second; d2 = d1 with one schema.
 
-    Schemas come to each task in blocks of SCHEMA_BYTES of vectors, and every Arrow batch of
-    candidates is multiplied with a block; of each block only the two nearest go on.
+    Both sides may be large, so their blocks meet in a grid, and two rows a candidate leave a cell.
     """
-    known = semantic.where(F.size("embedding") > 0).select("id", F.col("embedding").cast("array<double>").alias("vector")).orderBy("id").toLocalIterator()
-    parts, block, size = [], [], 0
-    for r in known:
-        block.append(r)
-        size += 8 * len(r.vector)
-        if size > SCHEMA_BYTES:
-            parts.append(_two_nearest(candidates, block))
-            block, size = [], 0
-    if block or not parts:
-        parts.append(_two_nearest(candidates, block))
-    if len(parts) == 1:
-        return parts[0].select("id", "schema", "d1", F.coalesce("d2", "d1").alias("d2"))
-    each = reduce(DataFrame.unionByName, parts).select("id", F.explode(F.array(F.struct(F.col("d1").alias("d"), "schema"), F.struct(F.col("d2").alias("d"), F.lit(None).cast("long").alias("schema")))).alias("x"))
-    least = each.where("x.d is not null").groupBy("id").agg(F.min(F.when(F.col("x.schema").isNotNull(), F.col("x"))).alias("a"), F.slice(F.array_sort(F.collect_list("x.d")), 1, 2).alias("two"))  # two a block
-    return least.select("id", F.col("a.schema").alias("schema"), F.col("a.d").alias("d1"), F.coalesce(F.get("two", F.lit(1)), "a.d").alias("d2"))
-
-
-def _two_nearest(candidates: DataFrame, block: list) -> DataFrame:
-    """(id, schema, d1, d2) over a block of schemas; d2 is null after a block of one."""
-    at, units = usable([r.vector for r in block])
-    schema_ids = {w: np.array([block[i].id for i in mine], dtype=np.int64) for w, mine in at.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            places, rows = usable(pdf["embedding"].tolist())
-            for w in rows.keys() & units.keys():
-                for a in range(0, len(rows[w]), ROW_TILE):
-                    d = 1 - rows[w][a : a + ROW_TILE] @ units[w].T
-                    first = d.argmin(axis=1)
-                    d1 = d[np.arange(len(d)), first]
-                    d2 = np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else np.full(len(d), np.nan)
-                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[places[w][a : a + ROW_TILE]], "schema": schema_ids[w][first], "d1": d1, "d2": d2})
-
-    found = candidates.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(run, "id long, schema long, d1 double, d2 double")
-    return found.withColumn("d2", F.when(~F.isnan("d2"), F.col("d2")))
+    near = in_grid(semantic.select("id", "embedding"), candidates.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 2)
+    at = lambda n, c: F.max(F.when(F.col("nth") == n, F.col(c)))
+    return near.groupBy(F.col("query_id").alias("id")).agg(at(1, "id").alias("schema"), at(1, "distance").alias("d1"), F.coalesce(at(2, "distance"), at(1, "distance")).alias("d2"))
 
 
 def replay_score(strength: Column, d1: Column, d2: Column, beta: float = DEFAULT.schema_margin_beta) -> Column:

@@ -7,6 +7,8 @@ collapse before the gate, and the gate cuts on raw distance whatever the rank or
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,10 +168,11 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
-def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure: DataFrame, edges: DataFrame, references: DataFrame, omega: float, k: int = 4, cfg: Config = DEFAULT, scope: bool = True, tags: tuple[str, ...] = ()) -> DataFrame:
+def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure: DataFrame | Callable[[DataFrame], DataFrame], edges: DataFrame, references: DataFrame, omega: float, k: int = 4, cfg: Config = DEFAULT, scope: bool = True, tags: tuple[str, ...] = ()) -> DataFrame:
     """query_id, position, id, source, distance, score, rank_key of the k best hits of each query. references: (query_id, source, reference).
 
     tags: what episodic rows must all have; like the scope it binds after the cut to the nearest.
+    closure: (src, dst, m), or what gives it for the anchors (id) of the queries, which is all that is looked at.
     """
     if k <= 0:
         return hybrid(episodic, semantic, queries, 1).where("false").selectExpr("query_id", "0 as position", "id", "source", "distance", "0D as score", "0D as rank_key")
@@ -179,7 +182,9 @@ def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure
     if scope:
         asked = queries.select("query_id", F.col("session_id").alias("_asking"))
         hits = hits.join(asked, "query_id").where(filters.visible(F.col("_asking"))).drop("_asking")
-    spread = graph.spreading(edges, anchors(hits).select("anchor").distinct(), cfg.spread_hops, cfg)
+    known = anchors(hits).select("anchor").distinct()
+    closure = closure(known.withColumnRenamed("anchor", "id")) if callable(closure) else closure
+    spread = graph.spreading(edges, known, cfg.spread_hops, cfg)
     ranked = collapse(rank(hits, queries, closure, spread, omega, cfg))
     gated = gate(ranked.join(references, ["query_id", "source"], "left"), True, cfg)
     published = F.when(finite("distance"), F.col("distance")).otherwise(MAX_DISTANCE)

@@ -57,6 +57,15 @@ def sr_power_series(spark, sf):
     return gr.power_series(e).select("src", "dst", _r("m"))
 
 
+@query("sr_anchor_closure", """t AS (SELECT src_id AS src, dst_id AS dst, sum(hits)::DOUBLE / sum(sum(hits)) OVER (PARTITION BY src_id) AS p FROM edges WHERE kind = 'sr' GROUP BY 1, 2), a AS (SELECT vec_id + 1 AS id FROM embeddings WHERE vec_id % 100 = 0),
+    t1 AS (SELECT * FROM t WHERE src IN (SELECT id FROM a)), t2 AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM t1 a JOIN t b ON a.dst = b.src GROUP BY 1, 2), t3 AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM t2 a JOIN t b ON a.dst = b.src GROUP BY 1, 2)
+    SELECT src, dst, round(sum(m), 6) AS m FROM (SELECT src, dst, p AS m FROM t1 UNION ALL SELECT src, dst, 0.7::DOUBLE * p FROM t2 UNION ALL SELECT src, dst, 0.7::DOUBLE * 0.7::DOUBLE * p FROM t3) GROUP BY src, dst""")
+def sr_anchor_closure(spark, sf):
+    e = T.edges(spark, sf).where("kind = 'sr'").selectExpr("src_id as src", "dst_id as dst", "hits")
+    anchors = T.raw(spark, sf, "embeddings").where("vec_id % 100 = 0").selectExpr("vec_id + 1 as id")
+    return gr.power_series(e, depth=3, anchors=anchors).select("src", "dst", _r("m"))
+
+
 @query("sr_evict", f"{_PAIRS.format(w=60)} SELECT src, dst, count(*) AS hits FROM pairs WHERE src % 10 <> 3 AND dst % 10 <> 3 GROUP BY src, dst")
 def sr_evict(spark, sf):
     gone = T.accesses(spark, sf).where("ep_id % 10 = 3").selectExpr("ep_id as id").distinct()

@@ -269,7 +269,7 @@ class Memory:
         e, s, edges = self.table("episodic"), self.table("semantic"), self.table("edges")
         sr = edges.where("kind = 'sr'")
         total = sr.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("t")).first().t
-        closure = gr.power_series(sr.selectExpr("src_id as src", "dst_id as dst", "hits"), self.cfg.sr_gamma, 2)
+        closure = lambda anchors: gr.power_series(sr.selectExpr("src_id as src", "dst_id as dst", "hits"), self.cfg.sr_gamma, 2, anchors)
         of = lambda name, df: codes.background_reference(df, q, self.cfg).withColumn("source", F.lit(name))
         references = of("episodic", e).unionByName(of("semantic", s))
         hits = self._hold(rc.recall(e, s, q, closure, edges, references, gr.omega(int(total), e.count(), self.cfg), k, self.cfg, scope, tuple(tags)))
