@@ -18,6 +18,7 @@ class Config:
     max_recall_k: int = 1000
     max_session_id_chars: int = 1024
     snippet_chars: int = 600
+    embed_char_cap: int = 0
     # misses
     miss_report: bool = True
     semantic_fallback: bool = True

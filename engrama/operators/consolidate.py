@@ -164,7 +164,7 @@ def encode(new: DataFrame, existing: DataFrame, loader, now: float, cfg: Config
     found = sg.flags(text)
     refs, length = sg.references(text), sg.length_class(text)
     rows = new.withColumns({**found, "refs": refs, "length_class": length, "salience": F.coalesce("salience", sg.salience(found, refs, length, cfg.salience_base))})
-    rows = codes.with_support(codes.embed(rows, "content", loader, prefix), cfg)
+    rows = codes.with_support(codes.embed(rows, "content", loader, prefix, char_cap=cfg.embed_char_cap), cfg)
     rows = hold(next_ids(existing.select("id"), rows, ["session_id", "content"]))
     old = codes.with_missing_support(existing.select("id", "session_id", "content", "embedding", "salience", *[c for c in existing.columns if c == "dg_support"]), cfg)
     every = old.unionByName(rows.select(old.columns))

@@ -36,13 +36,18 @@ def fetch_k(k: int, narrowing: bool) -> int:
     return max(4 * k, 32) if narrowing else k
 
 
-def hybrid(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Both legs, semantic first: (query_id, id, source, distance, leg_order, nth) and what filters and ranks need."""
+def hybrid(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, k: int, search: Callable[[str, DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Both legs, semantic first: (query_id, id, source, distance, leg_order, nth) and what filters and ranks need.
+
+    search(source, df, queries, k) gives (query_id, id, distance, nth), if not the exact search.
+    """
     keep = ["content", "scope", "session_id", "tags", "created_at"]
     none = F.lit(None)
     legs = []
     for order, (source, df) in enumerate((("semantic", semantic), ("episodic", episodic))):
-        hits = knn(df, queries, k, (*keep, *(["episode_group_id"] if source == "episodic" else []))).withColumn("source", F.lit(source)).withColumn("leg_order", F.lit(order))
+        wanted = (*keep, *(["episode_group_id"] if source == "episodic" else []))
+        hits = search(source, df, queries, k).join(df.select("id", *wanted), "id") if search else knn(df, queries, k, wanted)
+        hits = hits.withColumn("source", F.lit(source)).withColumn("leg_order", F.lit(order))
         if source == "semantic":
             hits = hits.withColumn("episode_group_id", none.cast("long"))
         legs.append(hits)
@@ -168,20 +173,22 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
-def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure: DataFrame | Callable[[DataFrame], DataFrame], edges: DataFrame, references: DataFrame, omega: float, k: int = 4, cfg: Config = DEFAULT, scope: bool = True, tags: tuple[str, ...] = ()) -> DataFrame:
+def recall(episodic: DataFrame, semantic: DataFrame, queries: DataFrame, closure: DataFrame | Callable[[DataFrame], DataFrame], edges: DataFrame, references: DataFrame, omega: float, k: int = 4, cfg: Config = DEFAULT, scope: bool | None = True, tags: tuple[str, ...] = (), search: Callable | None = None) -> DataFrame:
     """query_id, position, id, source, distance, score, rank_key of the k best hits of each query. references: (query_id, source, reference).
 
     tags: what episodic rows must all have; like the scope it binds after the cut to the nearest.
+    scope: True filters all queries by what their session may see, None those with a session, False none.
     closure: (src, dst, m), or what gives it for the anchors (id) of the queries, which is all that is looked at.
     """
     if k <= 0:
-        return hybrid(episodic, semantic, queries, 1).where("false").selectExpr("query_id", "0 as position", "id", "source", "distance", "0D as score", "0D as rank_key")
-    hits = hybrid(episodic, semantic, queries, fetch_k(k, scope or cfg.gate or bool(tags)))
+        return hybrid(episodic, semantic, queries, 1, search).where("false").selectExpr("query_id", "0 as position", "id", "source", "distance", "0D as score", "0D as rank_key")
+    hits = hybrid(episodic, semantic, queries, fetch_k(k, scope is not False or cfg.gate or bool(tags)), search)
     if tags:
         hits = hits.where((F.col("source") != "episodic") | filters.has_tags(F.array(*[F.lit(t) for t in tags])))
-    if scope:
+    if scope is not False:
         asked = queries.select("query_id", F.col("session_id").alias("_asking"))
-        hits = hits.join(asked, "query_id").where(filters.visible(F.col("_asking"))).drop("_asking")
+        seen = filters.visible(F.col("_asking"))
+        hits = hits.join(asked, "query_id").where(seen if scope else F.col("_asking").isNull() | seen).drop("_asking")
     known = anchors(hits).select("anchor").distinct()
     closure = closure(known.withColumnRenamed("anchor", "id")) if callable(closure) else closure
     spread = graph.spreading(edges, known, cfg.spread_hops, cfg)

@@ -9,6 +9,8 @@ from engrama.config import Config
 from engrama.operators import codes, filters
 from engrama.operators import graph as gr
 from engrama.operators import recall as rc
+from engrama.operators import vector_index as vi
+from engrama.operators.shared import cut
 from engrama.sources import tables as T
 
 from .registry import query
@@ -108,6 +110,42 @@ def knn_topk(spark, sf):
     return rc.knn(T.episodic(spark, sf), T.queries(spark, sf), 10).select("query_id", "id", _r("distance"), "nth")
 
 
+#: What the index of these queries holds: rows created before it was built, one in seven with a vector that has changed since.
+_BUILT = T.BEGIN + 1_000_000
+_INDEX_SQL = f"i AS (SELECT id, created_at < {_BUILT} AS held, created_at < {_BUILT} AND id % 7 = 3 AS changed FROM episodic)"
+
+
+def _indexed(spark, sf):
+    """The store, the entries of an index that is behind it, and its centroids."""
+    store = T.episodic(spark, sf).select("id", "embedding", "created_at")
+    then = store.where(F.col("created_at") < _BUILT).withColumn("embedding", F.when(F.col("id") % 7 == 3, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    centroids = vi.fit(then)
+    return store.drop("created_at"), cut(vi.assign(then, centroids)), centroids
+
+
+@query("knn_indexed")  # approximate; a test holds its recall against knn_topk
+def knn_indexed(spark, sf):
+    store, entries, centroids = _indexed(spark, sf)
+    q = T.queries(spark, sf)
+    return vi.search(store, entries, vi.calibrated(entries, centroids, q, 10), q, 10).select("query_id", "id", _r("distance"), "nth")
+
+
+@query("index_pending", f"{_INDEX_SQL} SELECT id, NOT held AS is_new FROM i WHERE NOT held OR changed")
+def index_pending(spark, sf):
+    store, entries, _ = _indexed(spark, sf)
+    waiting = vi.pending(store, entries).select("id")
+    return waiting.join(entries.select("id", F.lit(False).alias("_held")), "id", "left").select("id", F.coalesce("_held", F.lit(True)).alias("is_new"))
+
+
+@query("index_guard", f"""{_INDEX_SQL}, c AS (SELECT count(*) AS n_store, count(*) FILTER (WHERE held) AS n_index, count(*) FILTER (WHERE NOT held OR changed) AS n_pending, count(*) FILTER (WHERE changed) AS n_stale FROM i)
+    SELECT 'found' AS state, n_store, n_index, n_pending, n_stale, n_pending + n_stale > 0 AS behind FROM c UNION ALL SELECT 'reconciled', n_store, n_store, 0, 0, false FROM c""")
+def index_guard(spark, sf):
+    store, entries, centroids = _indexed(spark, sf)
+    after = cut(vi.reconciled(store, entries, centroids))
+    of = lambda state, e: vi.guard(store, e).select(F.lit(state).alias("state"), "*")
+    return of("found", entries).unionByName(of("reconciled", after))
+
+
 @query("knn_in_session", f"""k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS nth FROM (SELECT q.query_id, e.id, {_DIST} AS distance FROM episodic e JOIN (SELECT * REPLACE ('src' || (query_id // 100 + 1) AS session_id) FROM queries) q USING (session_id)))
     SELECT query_id, id, round(distance, 6) AS distance, nth FROM k WHERE nth <= 4""")
 def knn_in_session(spark, sf):

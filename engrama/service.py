@@ -19,6 +19,7 @@ from engrama.functions import vectors as vx
 from engrama.operators import codes, consolidate, filters, lifecycle
 from engrama.operators import graph as gr
 from engrama.operators import recall as rc
+from engrama.operators.vector_index import VectorIndex
 from engrama.operators.store import Store, by_ids, delete_cascade, event_log_tail, next_ids
 
 EPISODIC = (
@@ -35,13 +36,15 @@ TABLES = {"episodic": EPISODIC, "semantic": SEMANTIC, "edges": EDGES, "interacti
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, root: str, loader: Callable, cfg: Config = DEFAULT, model: str = ""):
+    def __init__(self, spark: SparkSession, root: str, loader: Callable, cfg: Config = DEFAULT, model: str = "", index: str | None = None):
         """loader() gives an embedder, list of texts -> matrix; it runs once for each worker's stream of batches.
 
         model: the embedder's name, by which texts of documents and of queries get their prefixes.
+        index: a folder for inverted-file indexes, by which recall then searches; by default it searches exactly.
         """
         self.spark, self.store, self.loader, self.cfg = spark, Store(spark, root), loader, cfg
         self.document_prefix, self.query_prefix = tx.prefixes(model)
+        self._indexes = {name: VectorIndex(spark, f"{index.rstrip('/')}/{name}") for name in ("episodic", "semantic")} if index else {}
         self._base: int | None = None
         self._changed: dict[str, DataFrame] = {}
         self._held: list[DataFrame] = []
@@ -91,7 +94,7 @@ class Memory:
         self._commit("interaction_log", event_log_tail(log.unionByName(self.spark.createDataFrame(rows, LOG)), self.cfg.log_capacity))
 
     def _embedded(self, texts: DataFrame) -> DataFrame:
-        return codes.embed(texts, "query", self.loader, self.query_prefix).withColumnRenamed("embedding", "vector")
+        return codes.embed(texts, "query", self.loader, self.query_prefix, char_cap=self.cfg.embed_char_cap).withColumnRenamed("embedding", "vector")
 
     # writes
 
@@ -147,7 +150,7 @@ class Memory:
             old = self.table("semantic")
             self._check_superseded(new, old)
             tags = F.array_sort(F.array_distinct(F.filter("tags", lambda t: t != "")))
-            rows = codes.embed(new, "content", self.loader, self.document_prefix).withColumns({
+            rows = codes.embed(new, "content", self.loader, self.document_prefix, char_cap=self.cfg.embed_char_cap).withColumns({
                 "scope": filters.resolve_scope(F.col("scope"), F.col("session_id")), "tags": tags, "authored": F.lit(True), "kind": F.coalesce("kind", F.lit("fact")), "confidence": F.coalesce("confidence", F.lit(1.0)),
                 "created_at": F.lit(float(now)), "updated_at": F.lit(float(now)), "source_episode_ids": F.array().cast("array<long>"), "last_accessed": F.lit(None).cast("double"),
             })
@@ -203,7 +206,7 @@ class Memory:
             members = new.select("gist", F.explode("sources").alias("id")).join(e.select("id", "session_id", "tags"), "id")
             winner = lifecycle.plurality(members, "gist", "session_id")
             tags = members.select("gist", F.explode_outer("tags").alias("t")).groupBy("gist").agg(F.array_sort(F.collect_set("t")).alias("tags"))
-            rows = codes.embed(new.join(winner, "gist").join(tags, "gist").withColumnRenamed("gist", "content"), "content", self.loader, self.document_prefix)
+            rows = codes.embed(new.join(winner, "gist").join(tags, "gist").withColumnRenamed("gist", "content"), "content", self.loader, self.document_prefix, char_cap=self.cfg.embed_char_cap)
             rows = rows.withColumns({
                 "source_episode_ids": F.col("sources"), "confidence": lifecycle.confidence(F.size("sources"), self.cfg.confidence_full_at), "session_id": F.col("winner"), "scope": F.when(F.col("winner").isNull(), "global").otherwise("session"),
                 "created_at": F.lit(float(now)), "updated_at": F.lit(float(now)), "last_accessed": F.lit(float(now)), "authored": F.lit(False), "kind": F.lit(None).cast("string"),
@@ -259,12 +262,14 @@ class Memory:
 
     # reads
 
-    def recall(self, queries: DataFrame, k: int = 4, scope: bool = True, reinforce_at: float | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
-        """queries: query_id, query, session_id. tags: what episodic hits must all have. With reinforce_at the hits' records and edges are strengthened.
+    def recall(self, queries: DataFrame, k: int = 4, scope: bool | None = None, reinforce_at: float | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
+        """queries: query_id, query, session_id. scope: None, queries with a session see what that may see, others all; True, every query needs a session; False, all see all. tags: what episodic hits must all have. With reinforce_at the hits' records and edges are strengthened.
 
         With cfg.completion_iters the query vectors are first completed by their neighbours
         in both stores.
         """
+        if scope and (bare := queries.where("session_id is null").first()):
+            raise ValueError(f"scope asks for a session_id, query {bare.query_id} has none")
         q = self._hold(self._completed(self._embedded(queries), k))
         e, s, edges = self.table("episodic"), self.table("semantic"), self.table("edges")
         sr = edges.where("kind = 'sr'")
@@ -272,7 +277,7 @@ class Memory:
         closure = lambda anchors: gr.power_series(sr.selectExpr("src_id as src", "dst_id as dst", "hits"), self.cfg.sr_gamma, 2, anchors)
         of = lambda name, df: codes.background_reference(df, q, self.cfg).withColumn("source", F.lit(name))
         references = of("episodic", e).unionByName(of("semantic", s))
-        hits = self._hold(rc.recall(e, s, q, closure, edges, references, gr.omega(int(total), e.count(), self.cfg), k, self.cfg, scope, tuple(tags)))
+        hits = self._hold(rc.recall(e, s, q, closure, edges, references, gr.omega(int(total), e.count(), self.cfg), k, self.cfg, scope, tuple(tags), self._search if self._indexes else None))
         text = e.select("id", "content").withColumn("source", F.lit("episodic")).unionByName(s.select("id", "content").withColumn("source", F.lit("semantic")))
         found = filters.snippet(hits.join(text, ["id", "source"]), self.cfg.snippet_chars)
         if reinforce_at is not None:
@@ -281,11 +286,15 @@ class Memory:
             found = self.spark.createDataFrame(rows, schema)
         return found
 
+    def _search(self, source: str, df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """By the index, which the guard first brings up to date."""
+        return self._indexes[source].search(df.select("id", "embedding"), queries, k)
+
     def _completed(self, q: DataFrame, k: int) -> DataFrame:
         if self.cfg.completion_iters <= 0:
             return q
         if self.document_prefix != self.query_prefix:
-            q = codes.embed(q, "query", self.loader, self.document_prefix).withColumnRenamed("embedding", "document")
+            q = codes.embed(q, "query", self.loader, self.document_prefix, char_cap=self.cfg.embed_char_cap).withColumnRenamed("embedding", "document")
         stores = [self.table("episodic"), self.table("semantic")]
         return codes.complete_nearest(stores, self._hold(q), self.cfg.completion_iters, max(k, 8), self.cfg.completion_beta, self.cfg.completion_anchor).drop("document")
 
