@@ -56,12 +56,12 @@ def embed(df: DataFrame, column: str, loader: Callable, prefix: str = "", batch:
     return df.withColumn("embedding", run(column))
 
 
-def verify_embeddings(df: DataFrame, column: str, loader: Callable, dim: int, prefix: str = "") -> DataFrame:
+def verify_embeddings(df: DataFrame, column: str, loader: Callable, dim: int, prefix: str = "", char_cap: int = 0) -> DataFrame:
     """One row of checks: rows, rows of a wrong width or not finite or zero, and the largest drift of re-embedded rows."""
     bad = F.col("embedding").isNull() | (F.size("embedding") != dim) | F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))) | (vx.norm("embedding") == 0)
     checks = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("n_bad"))
     sample = df.orderBy("id").limit(VERIFY_ROWS).withColumnRenamed("embedding", "stored")
-    drift = embed(sample, column, loader, prefix).agg(F.round(F.coalesce(F.max(vx.cosine_distance("stored", "embedding")), F.lit(0.0)), 5).alias("max_drift"))
+    drift = embed(sample, column, loader, prefix, char_cap=char_cap).agg(F.round(F.coalesce(F.max(vx.cosine_distance("stored", "embedding")), F.lit(0.0)), 5).alias("max_drift"))
     return checks.join(drift).withColumn("ok", (F.col("n_bad") == 0) & (F.col("max_drift") <= DRIFT_TOLERANCE))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engrama.config import DEFAULT, Config
 from engrama.functions import text as tx
 from engrama.functions import vectors as vx
+from engrama.operators import clusters
 from engrama.operators.nearest import in_grid
 
 
@@ -143,13 +144,8 @@ def n_clusters(n: int, cap: int = DEFAULT.max_clusters) -> int:
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """df with a `cluster` by k-means on the directions of its embeddings."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = df.where(vx.norm("embedding") > 0).withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="_features", predictionCol="cluster", maxIter=10).fit(unit)
-    return model.transform(unit).drop("_features")
+    """df with a `cluster` by mini-batch k-means on the directions of its embeddings."""
+    return clusters.assigned(df, clusters.fit(df, k, seed))
 
 
 def cluster_heads(members: DataFrame) -> DataFrame:

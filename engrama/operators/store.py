@@ -10,6 +10,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engrama.operators.ordered import page
+
 #: Id lists of up to so many values become an IN filter, longer ones a join.
 IN_LIST = 1000
 
@@ -23,11 +25,11 @@ def matches(filters: dict) -> Column:
 
 
 def scan_page(df: DataFrame, filters: dict | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """A page of the rows that match, in id order."""
+    """A page of the rows that match, in id order; with a limit it is looked up by ranges of ids, so the table is not sorted."""
     out = df.where(matches(filters)) if filters else df
-    out = out.orderBy("id")
-    out = out.offset(offset) if offset else out
-    return out.limit(limit) if limit is not None else out
+    if limit is not None:
+        return page(out, limit, offset)
+    return out.orderBy("id").offset(offset) if offset else out.orderBy("id")
 
 
 def scan_window(df: DataFrame, cursor: int, max_scan: int) -> tuple[DataFrame, int]:

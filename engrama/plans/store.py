@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from engrama.config import Config
 from engrama.functions import text as tx
-from engrama.operators import filters, store
+from engrama.operators import copies, filters, store
+from engrama.operators.shared import cut
 from engrama.sources import tables as T
+from engrama.sources.log_source import NAME as LOG_SOURCE
+from engrama.sources.log_source import LogSource
 
 from .registry import query
 
@@ -99,6 +102,27 @@ def event_log_tail(spark, sf):
     return store.event_log_tail(T.interaction_log(spark, sf), 512).select("seq", "kind", "session_id")
 
 
+@query("log_source_tail", "SELECT seq, kind, session_id FROM interaction_log WHERE seq >= (SELECT max(seq) FROM interaction_log) - 512 + 1")
+def log_source_tail(spark, sf):
+    """The same tail, read by the data source: only the partitions of its range."""
+    spark.dataSource.register(LogSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    path = f"{sf}/events.parquet"
+    last = T.raw(spark, sf, "events").agg(F.max("event_id").alias("m")).first().m or 0
+    e = spark.read.format(LOG_SOURCE).option("path", path).option("key", "event_id").option("pushdown", "true").load().where(F.col("event_id") >= last - 512 + 1)
+    return T.logged(e).select("seq", "kind", "session_id")
+
+
+@query("verified_copy", "SELECT 'episodic' AS store, count(*) AS n, true AS same FROM episodic UNION ALL SELECT 'semantic', count(*), true FROM semantic")
+def verified_copy(spark, sf):
+    """Each store written, read back and compared by an order-free digest."""
+    out = []
+    for name, df in (("episodic", T.episodic(spark, sf)), ("semantic", T.semantic(spark, sf))):
+        copy = cut(df)
+        out.append(copies.digest(df).crossJoin(F.broadcast(copies.digest(copy).toDF("n2", "one2", "two2"))).select(F.lit(name).alias("store"), "n", ((F.col("n") == F.col("n2")) & (F.col("one") == F.col("one2")) & (F.col("two") == F.col("two2"))).alias("same")))
+    return out[0].unionByName(out[1])
+
+
 @query("task_prefix", """m AS (SELECT unnest(['nomic-embed-text-v1', 'intfloat/multilingual-e5-small', 'E_5-large', 'all-MiniLM-L6-v2', '']) AS model)
     SELECT model, CASE WHEN b LIKE '%nomic%' THEN 'search_document: ' WHEN b LIKE '%e5%' THEN 'passage: ' ELSE '' END AS doc_prefix,
       CASE WHEN b LIKE '%nomic%' THEN 'search_query: ' WHEN b LIKE '%e5%' THEN 'query: ' ELSE '' END AS query_prefix FROM (SELECT model, lower(regexp_replace(model, '[-_./]', '', 'g')) AS b FROM m)""")

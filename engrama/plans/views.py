@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engrama.functions import text as tx
+from engrama.operators import clusters as cl
 from engrama.operators import graph as gr
 from engrama.operators import reactor as rx
 from engrama.operators import recall as rc
@@ -148,3 +149,9 @@ def normalize_graph(spark, sf):
 def hull_communities(spark, sf):
     nodes = T.episodic(spark, sf).select(F.col("session_id").alias("community"), F.col("salience").alias("x"))
     return gr.hull_communities(nodes).select("community", "n", F.round("centre", 6).alias("centre"))
+
+
+@query("community_hulls")  # a geometric fold; a test holds it against every edge through two points
+def community_hulls(spark, sf):
+    nodes = T.raw(spark, sf, "embeddings").selectExpr("concat('topic-', label) as community", "embedding[0] as x", "embedding[1] as y", "abs(embedding[2]) / 10 as r")
+    return cl.community_hulls(nodes).select("community", "nth", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from engrama.config import DEFAULT, Config
 from engrama.functions import text as tx
 from engrama.functions import vectors as vx
-from engrama.operators import codes, consolidate, filters, lifecycle
+from engrama.operators import codes, consolidate, copies, filters, lifecycle
 from engrama.operators import graph as gr
 from engrama.operators import recall as rc
-from engrama.operators.vector_index import VectorIndex
 from engrama.operators.store import Store, by_ids, delete_cascade, event_log_tail, next_ids
+from engrama.operators.vector_index import VectorIndex
 
 EPISODIC = (
     "id long, content string, embedding array<float>, session_id string, scope string, tags array<string>, salience double, created_at double, last_accessed double, retrieval_count int,"
@@ -244,22 +244,34 @@ class Memory:
         )
         return edges.where("kind <> 'plasticity'").unionByName(merged.select(edges.columns))
 
-    def reembed(self, loader: Callable, dim: int, model: str = "") -> dict[str, int]:
-        """Embeds all contents anew for another embedder, ids unchanged, and checks the result; one commit, or none if a check fails."""
+    def reembed(self, loader: Callable, dim: int, model: str = "", work: str | None = None) -> dict[str, int]:
+        """Embeds all contents anew for another embedder, ids unchanged, and checks the result; one commit, or none if a check fails.
+
+        work: a folder in which a run that is broken off leaves what it has done, and another goes on with it.
+        """
         document, query = tx.prefixes(model)
         counts = {}
         with self._write():
             for name in ("episodic", "semantic"):
                 old = self.table(name)
-                new = self._hold(codes.embed(old.drop("embedding"), "content", loader, document))
-                checks = codes.verify_embeddings(new, "content", loader, dim, document).first()
+                if work:
+                    new = copies.reembed(old, loader, f"{work.rstrip('/')}/{name}", document, char_cap=self.cfg.embed_char_cap)
+                else:
+                    new = self._hold(codes.embed(old.drop("embedding"), "content", loader, document, char_cap=self.cfg.embed_char_cap))
+                checks = codes.verify_embeddings(new, "content", loader, dim, document, self.cfg.embed_char_cap).first()
                 counts[name] = checks.n
                 if checks.n and not (checks.ok and checks.n == old.count()):
                     raise ValueError(f"{name}: {checks.n_bad} of {checks.n} vectors are not of {dim} finite values, or drift by {checks.max_drift}")
+                if lost := copies.self_search(new).first():
+                    raise ValueError(f"{name}: row {lost.query_id} does not find itself")
                 self._commit(name, codes.with_support(new, self.cfg) if name == "episodic" else new)
         self.loader, self.document_prefix, self.query_prefix = loader, document, query
         return counts
 
+    def backup(self, path: str) -> dict[str, int]:
+        """Copies of all tables as of one commit, each compared with its source; rows by table."""
+        return {name: copies.verified_copy(self.table(name), f"{path.rstrip('/')}/{name}").count() for name in TABLES}
+
     # reads
 
     def recall(self, queries: DataFrame, k: int = 4, scope: bool | None = None, reinforce_at: float | None = None, tags: tuple[str, ...] = ()) -> DataFrame:

@@ -83,7 +83,11 @@ def reinforcements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, ts, kind, session_id, deduped."""
-    e = raw(spark, sf_dir, "events")
+    return logged(raw(spark, sf_dir, "events"))
+
+
+def logged(e: DataFrame) -> DataFrame:
+    """Rows of events as rows of the log."""
     kind = F.expr("case event_type when 'view' then 'recall' when 'signup' then 'recall_semantic' when 'error' then 'forget' else 'encode' end")
     return e.select(F.col("event_id").alias("seq"), epoch("ts").alias("ts"), kind.alias("kind"), F.concat(F.lit("s"), F.col("user_id") % 10).alias("session_id"), F.when(kind == "encode", F.col("event_id") % 2 == 0).alias("deduped"))
 
