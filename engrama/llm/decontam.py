@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engrama.functions.vectors import let
+
 from .common import NOT_ALNUM, ROW_KEY, ascii_lower, keyed, materialize, packed, split_words
 
 WINDOW = 10
@@ -141,23 +143,24 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     )
 
 
+#: Where a word, A-Z included, meets what separates words.
+_BORDER = "(?<=[{0}])(?=[^{0}])|(?<=[^{0}])(?=[{0}])".format("\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F")
+
+
 def _without(text: Column, spans: Column) -> Column:
-    """The text without the words of the spans and what stands between those words."""
-    pieces = F.split(ascii_lower(text), "(?<=[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?=[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])|(?<=[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?=[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])")
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    skip = F.when(ascii_lower(F.substring(text, 1, 1)).rlike("^[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"), 1).otherwise(0)
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    # the k-th word is piece 2k - 1, after a leading separator if there is one; piece j ends at ends[j + 1]
-    cuts = F.transform(spans, lambda s: F.struct(F.element_at(ends, 2 * s["at"] - 1 + skip).alias("lo"), F.element_at(ends, 2 * (s["at"] + s["len"] - 1) + skip).alias("hi")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(acc, c):
-        return F.struct(
-            F.greatest(acc["at"], c["hi"]).alias("at"),
-            F.concat(acc["out"], F.when(c["lo"] > acc["at"], F.substring(text, acc["at"] + 1, c["lo"] - acc["at"])).otherwise("")).alias("out"),
-        )
-
-    return F.aggregate(cuts, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """The text without the words of the spans and what stands between those words, in time linear in the text and the spans."""
+    pieces = F.split(text, _BORDER)
+    # the k-th word is piece 2k - 2 from 0, after a leading separator if there is one
+    skip = F.when(F.substring(text, 1, 1).rlike("^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"), 1).otherwise(0)
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence((2 * (s["at"] - 1) + skip).cast("int"), (2 * (s["at"] + s["len"] - 2) + skip).cast("int"))))))
+
+    def left(pieces: Column, gone: Column) -> Column:
+        last = F.coalesce(F.element_at(gone, -1), F.lit(-1))
+        before = lambda d, i: F.coalesce(F.get(gone, i - 1), F.lit(-1))
+        gaps = F.transform(gone, lambda d, i: F.array_join(F.slice(pieces, before(d, i) + 2, d - before(d, i) - 1), ""))
+        return F.concat(F.array_join(gaps, ""), F.array_join(F.slice(pieces, last + 2, F.greatest(F.size(pieces) - last - 1, F.lit(0))), ""))
+
+    return let(pieces, lambda p: let(gone, lambda g: left(p, g)))
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, mode: str = "documents") -> DataFrame:

@@ -2,9 +2,13 @@
 
 Detected: e-mail addresses, IPv4 and IPv6 addresses, phone numbers, payment card numbers,
 IBANs, US social security numbers, tokens and other secrets, and names: after a form of
-address, after a phrase such as "my name is", a usual given name with the word after it,
-and all other mentions, in title or upper case, of the parts of such a name in the same
-document ("MR JOHN SMITH", then "Smith").
+address, after a phrase such as "my name is", before an e-mail address in brackets, as the
+document's e-mail addresses spell them (jane.doe@, then "Jane Doe"), a usual given name with
+the word after it, and all other mentions, in title or upper case, of the parts of such a
+name in the same document ("MR JOHN SMITH", then "Smith"). A number before it ("50 Mark") makes
+a mention no name. Parts that only a usual given name tells of may be ordinary words: where the
+document has one in lower case, or after an article or a number, it is replaced only next to
+another part of a name.
 
 What is replaced is resolved to *entities* first (`resolve`): a phone number is its
 national digits, however they are grouped and with or without the country; a name is its
@@ -54,6 +58,11 @@ BROADCAST_ROWS, SALTS = 200_000, 32
 # Forms of address, phrases before a name, words between the parts of a name.
 _ADDRESS = "Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Lady|Herrn|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Doña|Don|Signora|Signor"
 _CUES = ("y name is ", "Name: ", " name: ", "igned, ", "igned ", "uthor: ", "ch heiße ", "ein Name ist ", "e m'appelle ", "on nom est ", "e llamo ", "i nombre es ", "i chiamo ", "еня зовут ")  # some without the first letter, which may be of either case
+# Words that a common noun, not a name, stands after; words that make the next one part of a name all the same.
+_ARTICLES = frozenset("the a an this that these those der die das den dem des ein eine einen einem einer dieser diese dieses diesen kein keine einige viele manche im am zum zur vom beim la les un une ce cette ces el los las una unos unas il gli uno".split())
+_BEFORE_ARTICLE = frozenset("von van de zu".split())
+# What a phone number is called.
+_PHONES = "telephone|telefono|telefon|teléfono|téléphone|tel|tél|phone|mobile|mobil|cell|handy|fax|móvil|movil|portable|rufnummer|телефон|тел"
 _LINKS = "von|van|der|den|de|da|di|du|la|le|del|dos|zu"
 # Usual given names, by gender.
 FEMALE = frozenset(
@@ -72,10 +81,11 @@ _INITIAL = rf"(?:[{_UPPER}]\. ?)*"
 _TITLE = rf"(?:{_ADDRESS}|{'|'.join(a.upper() for a in _ADDRESS.split('|'))})"
 _REST = rf"(?:(?! {_TITLE}\b) {_INITIAL}(?:(?:{_LINKS}) )*{_PART}){{0,2}}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_EMAIL = "A-Za-z0-9À-ɏ_%+\\-"
+_ALPHA = "A-Za-zÀ-ɏͰ-ϿЀ-ӿ"
+_EMAIL, _LABEL = _ALPHA + "0-9_%+\\-", _ALPHA + "0-9\\-"
 #: Patterns for the neighbourhood of digits and of the characters @ : =, in order of precedence.
 DETECTORS = (
-    ("email", re.compile(rf"(?<![{_EMAIL}.])[{_EMAIL}](?:[{_EMAIL}.]*[{_EMAIL}])?@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}")),
+    ("email", re.compile(rf"(?<![{_EMAIL}.])[{_EMAIL}](?:[{_EMAIL}.]*[{_EMAIL}])?@[{_LABEL}]+(?:\.[{_LABEL}]+)*\.(?:xn--[A-Za-z0-9\-]+|[{_ALPHA}]{{2,}})")),
     ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_\- ]?key|access[_\- ]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9+/_\-]{8,}={0,2})")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
@@ -84,6 +94,10 @@ DETECTORS = (
     ("ip", re.compile(rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])")),
     ("card", re.compile(r"(?<![0-9])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{13,19})(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5})(?![0-9])")),
+    # with the trunk prefix: +49 (0)171 1234567, 0049 171 1234567, 0171 1234567, 030/1234567, 01 23 45 67 89
+    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3} ?\(0\) ?[0-9]{2,4}|00[1-9][0-9]{0,2}[ /.\-][0-9]{2,4})(?:[ /.\-]{1,3}[0-9]{2,8}){1,4}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z+.,/\-])(?:0[1-9][0-9]{1,4}(?: ?[/\-] ?| )[0-9]{2,8}(?:[ /\-][0-9]{2,5}){0,3}|0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4}))(?![0-9]|[.,][0-9])")),
+    ("phone", re.compile(rf"(?i)(?<!\w)(?:{_PHONES})\b\.?(?: ?(?:no|nr|number|nummer|numéro|número)\b\.?)?\s{{0,3}}[:.]?\s{{0,3}}(\(?\+?[0-9][0-9 ()/.\-]{{5,20}}[0-9])(?![0-9])")),
 )
 _HINT = re.compile("[0-9@:=]+")
 #: How far around a hint patterns look, beyond the next white space.
@@ -94,6 +108,8 @@ _ADDRESSED = re.compile(rf"{_TITLE}\.? {_INITIAL}((?:(?:{_LINKS}) )*{_PART}{_RES
 _CUED = re.compile(rf"{_INITIAL}({_PART}{_REST})")
 _PAIR = re.compile(rf"[{_UPPER}][{_LETTER}]+(?= {_INITIAL}(?:(?:{_LINKS}) )*[{_UPPER}][{_LETTER}])")
 _AFTER = re.compile(rf"(?! {_TITLE}\b) {_INITIAL}(?:(?:{_LINKS}) )*{_PART}")
+_BRACKETED = re.compile(rf"(?<![{_LETTER}])({_PART}{_REST}) ?[<(](?=[^<>()\s]{{1,100}}@)")
+_LETTERS, _TOKEN = re.compile(rf"[{_ALPHA}]+"), re.compile(r"\w+")
 _PIECE = re.compile(rf"[{_UPPER}][{_LETTER}'’]+")
 KINDS = ("email", "secret", "card", "phone", "ip", "name", "iban", "ssn")
 
@@ -109,6 +125,8 @@ def _valid(kind: str, text: str) -> bool:
             return len(text) > 5 and ipaddress.IPv6Address(text).packed[:2] != b"\0\0"
         except ValueError:
             return False
+    if kind == "phone":
+        return (8 if text.startswith("0") else 7) <= len(_digits(text)) <= 15
     return not (kind == "ip" and text.startswith(("0.", "127.", "255.255.255.255")))  # no one's address
 
 
@@ -142,19 +160,41 @@ def _insert(taken: list[tuple[int, int, str]], start: int, end: int, kind: str)
         taken.insert(at, (start, end, kind))
 
 
-def _names(text: str) -> Iterator[tuple[int, int]]:
+def _names(text: str, mails: list[str]) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether more than a usual given name tells of it). mails: the document's e-mail addresses."""
     for m in _ADDRESSED.finditer(text):
         if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")):
-            yield m.span(1)
+            yield *m.span(1), True
     for cue in _CUES:
         at = text.find(cue)
         while at >= 0:
             if m := _CUED.match(text, at + len(cue)):
-                yield m.span(1)
+                yield *m.span(1), True
             at = text.find(cue, at + len(cue))
+    if mails:
+        for m in _BRACKETED.finditer(text):
+            yield *m.span(1), True
+        locals_ = [_LETTERS.findall(mail.rpartition("@")[0].casefold()) for mail in mails]
+        spelt = {(x, y) for words in locals_ for x, y in zip(words, words[1:], strict=False) if len(x) > 1 < len(y)}
+        if spelt:
+            words = list(_PIECE.finditer(text))
+            for m, n in zip(words, words[1:], strict=False):
+                if n.start() == m.end() + 1 and text[m.end()] == " " and (m[0].casefold(), _bare(n[0]).casefold()) in spelt:
+                    yield m.start(), n.start() + len(_bare(n[0])), True
     for m in _PAIR.finditer(text):
         if m[0].casefold() in _GIVEN and not (m.start() and text[m.start() - 1].isalnum()) and (rest := _AFTER.match(text, m.end())):
-            yield m.start(), rest.end()
+            yield m.start(), rest.end(), False
+
+
+def _ordinary(text: str, parts_of: set[str]) -> set[str]:
+    """Those of the parts that the text uses as words: in lower case, or after an article or a number."""
+    out, before, last = set(), "", ""
+    for m in _TOKEN.finditer(text):
+        word = m[0]
+        if (low := word.casefold()) in parts_of and (word.islower() or last.isdigit() or (last.casefold() in _ARTICLES and before.casefold() not in _BEFORE_ARTICLE)):
+            out.add(low)
+        before, last = last, word
+    return out
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -167,24 +207,31 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text, lo, hi):
                 if _valid(kind, m[group]):
                     _insert(taken, *m.span(group), kind)
-    for a, b in _names(text):
-        if parts(text[a:b]):
+    known: dict[str, bool] = {}  # part -> whether more than a usual given name tells of it
+    mails = [text[a:b] for a, b, kind in taken if kind == "email"]
+    for a, b, sure in _names(text, mails):
+        if mine := parts(text[a:b]):
             _insert(taken, a, b, "name")
-    known = {text[x + a : x + b].casefold() for x, y, kind in taken if kind == "name" for a, b in parts(text[x:y])}
+            for x, y in mine:
+                part = text[a + x : a + y].casefold()
+                known[part] = known.get(part, False) or sure
     if known:
-        run: list[int] = []  # neighbouring known parts are one mention
+        doubtful = {part for part, sure in known.items() if not sure}
+        doubtful = _ordinary(text, doubtful) if doubtful else doubtful
+        run: list = []  # neighbouring known parts are one mention: start, end, whether it is one
         for m in _PIECE.finditer(text):
             bare = _bare(m[0])
             if bare.casefold() not in known or (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")) or text[m.end() : m.end() + 1].isalnum():
                 continue
             if run and m.start() == run[1] + 1 and text[run[1]] in " -":
-                run[1] = m.start() + len(bare)
+                run[1:] = [m.start() + len(bare), True]
                 continue
-            if run:
-                _insert(taken, *run, "name")
-            run = [m.start(), m.start() + len(bare)]
-        if run:
-            _insert(taken, *run, "name")
+            if run and run[2]:
+                _insert(taken, *run[:2], "name")
+            counted = m.start() > 1 and text[m.start() - 1].isspace() and text[m.start() - 2].isdigit()
+            run = [m.start(), m.start() + len(bare), bare.casefold() not in doubtful and not counted]
+        if run and run[2]:
+            _insert(taken, *run[:2], "name")
     return taken
 
 
@@ -214,10 +261,13 @@ def _digits(text: str) -> str:
 
 
 def _national(text: str) -> tuple[int, str]:
-    """(digits of the country, digits after it) of a phone number."""
-    digits = _digits(text)
-    head = _country(digits) if text.startswith("+") else 0
-    return head, digits[head:]
+    """(digits of the country and the trunk prefix, digits after them) of a phone number."""
+    digits, head = _digits(text), 0
+    if text.lstrip("(").startswith("+"):
+        head = _country(digits)
+    elif digits.startswith("00"):
+        head = 2 + _country(digits[2:])
+    return (head + 1, digits[head + 1 :]) if digits[head : head + 1] == "0" else (head, digits[head:])
 
 
 def entities(kind: str, text: str) -> list[tuple[str, str]]:
@@ -313,7 +363,7 @@ def _shaped(text: str, below: Callable[[int], int]) -> str:
 
 def _words(text: str, below: Callable[[int], int], extra: int) -> str:
     """Made-up words for the letter runs of an address's part, digits for its digits."""
-    word = lambda m: _sounds(below, 1 + (len(m[0]) > 3) + (len(m[0]) > 7) + extra) if m[0][0].isalpha() else "".join(str(below(10)) for _ in range(len(m[0]) + extra))
+    word = lambda m: _sounds(below, 1 + (len(m[0]) > 3) + (len(m[0]) > 7) + extra, script(m[0])) if m[0][0].isalpha() else "".join(str(below(10)) for _ in range(len(m[0]) + extra))
     new, n = re.subn(r"[^\W\d_]+|[0-9]+", word, text)
     return new if n else new + _sounds(below, 1 + extra)
 
