@@ -3,11 +3,16 @@
 A page becomes a tree of block-level elements and a list of blocks (runs of text that no
 block-level tag breaks). Menus, page footers, sidebars, scripts, styles, controls and
 hidden parts are left out by their tag, role or attribute. Classes and ids only make an
-element *suspect*, and only if a whole token says nothing else ("cookie-notice", but not
-"related-work" or "meta-analysis"): elements of the hard kinds (adverts, comments, notices,
-menus) go if they do not hold the main part of the page, those of the soft kinds go if
-they are no prose either. Headings are never judged by class or id, and ids count for
-containers only.
+element *suspect*. A token that says nothing else ("cookie-notice", but not "related-work" or
+"meta-analysis") makes it suspect in full: elements of the hard kinds (adverts, comments,
+notices, menus) go if they do not hold the main part of the page, those of the soft kinds go
+if they are no prose either. A compound is what its last word is ("user-comment" is a
+comment, "comments-on-method" a method); with words that are not known it only makes an
+element *likely* to be noise, and that goes if it is under a third of the page's text. Words
+that may name a part of an article as well (a discussion, a review) count only without a
+heading of its own. Comments are also known by what they are: schema.org's types, and runs of
+like siblings with a link to reply. Of several articles the one that holds the container is
+the page's. Headings are never judged by class or id, and ids count for containers only.
 
 Each block passes points for its length and commas to its ancestors, less by half with
 each level; an element's points are discounted by the share of its text that stands in
@@ -48,20 +53,30 @@ IN_HEAD = frozenset("head title meta link style script base noscript template".s
 LEFT_OUT = frozenset("head script style noscript template nav aside button select textarea input option label iframe object embed svg canvas audio video map menu dialog title search annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 # Class and id words. A token is of a kind if each of its words, between hyphens, underscores and case changes, is of the kind or PLAIN.
-ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promoted promotion".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promoted promotion taboola outbrain".split())
 HARD = ADVERTS | frozenset(
     "comment comments commentlist disqus respond replies cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs"
-    " pagination pager notice notices footer".split()
+    " pagination pager notice notices footer paywall signup login".split()
 )
-SOFT = frozenset("share sharing social related recommended skip reply header banner masthead toolbar widget widgets login signup search tags copyright legal alert alerts hidden rail aside meta toc".split())
+SOFT = frozenset("share sharing social related recommended skip reply header banner masthead toolbar widget widgets search tags copyright legal alert alerts hidden rail aside meta toc".split())
 MAIN = frozenset("article main content story post posts entry body text".split())
 PLAIN = MAIN | frozenset(
     "site page top bottom left right primary secondary container wrapper wrap box block section area bar list item items inner outer global local blog link links button buttons icon icons form panel row col column group holder region"
     " title head module component unit slot zone wide sticky fixed thread".split()
 )
+#: First words that say what a compound is, whatever follows; words that may name a part of an article too; what makes articles and stories links to others.
+FIRST = frozenset("cookie cookies comment comments newsletter consent gdpr paywall promo sponsored advertisement subscribe signup".split())
+DOUBTFUL = frozenset("discussion discussions review reviews bio".split())
+OTHERS, STORIES = frozenset("related recommended popular trending similar latest".split()), frozenset("article articles post posts story stories news content reading links entries".split())
+#: Words with which a token describes a relation or a state and names no kind.
+RELATIONS = frozenset("has with without no not is and or on of for in to by from about".split())
+#: What a link to answer a comment is called, and schema.org's types of what is not the article.
+REPLY = frozenset("reply antworten répondre responder rispondi responda ответить beantwoorden".split())
+TYPES = re.compile(r"schema\.org/(?:User)?(?:Comments?|WPFooter|WPHeader|WPSideBar|WPAdBlock|SiteNavigationElement)\s*$", re.I)
 UNSEEN = frozenset("sr-only visually-hidden screen-reader-text".split())
 #: Elements whose class and id may make them suspect; of the second kind only by adverts' words, else they must be no prose.
 CONTAINERS = frozenset("div section ul ol dl table center fieldset details header figure td li hgroup".split())
+COMMENTED = frozenset("div section article li".split())
 TEXTUAL = frozenset("p blockquote pre dd dt tr th tbody".split())
 CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 #: An opening tag ends these open elements, looked for up to the named fence.
@@ -89,15 +104,17 @@ SHORT = 25
 DENSE = 0.5
 #: Prose: so many characters, so many a block, and less than this share of them in links. A form is a wrapper of the page if it holds more.
 PROSE_CHARS, PROSE_BLOCK, PROSE_LINKS, FORM_CHARS = 80, 60, 0.25, 1000
+#: Likely noise is less than this share of the page's text.
+LIKELY_SHARE = 1 / 3
 _COMMAS = re.compile("[,，、،]")
 
 
 class Element:
-    __slots__ = ("blocks", "chars", "gone", "holds_main", "link_chars", "parent", "points", "shape", "suspect", "tag")
+    __slots__ = ("blocks", "chars", "gone", "headed", "holds_main", "link_chars", "parent", "points", "replies", "shape", "suspect", "tag")
 
     def __init__(self, tag: str, parent: Element | None, suspect: str, shape: str):
         self.tag, self.parent, self.suspect, self.shape = tag, parent, suspect, shape
-        self.points, self.chars, self.link_chars, self.blocks, self.gone, self.holds_main = 0.0, 0, 0, 0, False, False
+        self.points, self.chars, self.link_chars, self.blocks, self.gone, self.holds_main, self.headed, self.replies = 0.0, 0, 0, 0, False, False, False, 0
 
     def density(self) -> float:
         return min(1.0, self.link_chars / self.chars) if self.chars else 0.0
@@ -114,16 +131,29 @@ class Block:
 
 
 def _said(token: str, inside_main: bool) -> str:
-    """hard, soft or nothing: what a class or id token says."""
+    """hard, advert, soft, likely, doubtful or nothing: what a class or id token says."""
     words = [w.lower() for w in _WORD.findall(token)]
     noise = [w for w in words if w in HARD or w in SOFT]
-    if not noise or any(w not in HARD and w not in SOFT and w not in PLAIN and not w.isdigit() for w in words):
+    if noise and all(w in HARD or w in SOFT or w in PLAIN or w.isdigit() for w in words):
+        if any(w in HARD for w in noise):
+            return "advert" if any(w in ADVERTS for w in noise) else "hard"
+        if not any(w in MAIN for w in words) and not (inside_main and noise == ["header"]):
+            return "soft"
+    if not words or RELATIONS & set(words):
         return ""
-    if any(w in HARD for w in noise):
-        return "advert" if any(w in ADVERTS for w in noise) else "hard"
-    if any(w in MAIN for w in words) or (inside_main and noise == ["header"]):
+    named = [w for w in words if not w.isdigit()]
+    if len(named) > 1 and named[0] in OTHERS and (named[1] in STORIES or named[-1] in STORIES):
+        return "likely"
+    while len(named) > 1 and named[-1] in PLAIN:
+        named.pop()
+    if not named or len(named) == 1 and named[0] in SOFT:
         return ""
-    return "soft"
+    if named[-1] in HARD or named[0] in FIRST:
+        return "likely"
+    return "doubtful" if named[-1] in DOUBTFUL else ""
+
+
+_ORDER = {"": 0, "form": 1, "doubtful": 2, "soft": 3, "likely": 4, "hard": 5, "advert": 6}
 
 
 def judge(tag: str, attributes: str, inside_main: bool, quoted: bool) -> tuple[bool, str, str]:
@@ -141,6 +171,8 @@ def judge(tag: str, attributes: str, inside_main: bool, quoted: bool) -> tuple[b
             return True, "", ""
         if name == "class":
             shape = value
+        if (name == "itemtype" and TYPES.search(value)) or (name == "itemprop" and value.lower() == "comment"):
+            suspect = "hard"
         if name not in ("class", "id") or tag in HEADINGS or tag == "main" or (name == "id" and tag not in CONTAINERS):
             continue
         for token in value.split() if name == "class" else [value]:
@@ -148,10 +180,10 @@ def judge(tag: str, attributes: str, inside_main: bool, quoted: bool) -> tuple[b
             if token in UNSEEN or (said == "advert" and tag not in BLOCK):
                 return True, "", ""
             if tag == "article":
-                said = "hard" if said == "hard" and {"comment", "comments"} & {w.lower() for w in _WORD.findall(token)} else ""
+                said = "hard" if said in ("hard", "likely") and {"comment", "comments"} & {w.lower() for w in _WORD.findall(token)} else ""
             elif tag not in CONTAINERS:
                 said = {"advert": "advert", "hard": "soft", "soft": "soft"}.get(said, "") if tag in TEXTUAL else ""
-            if said and suspect not in ("advert", "hard"):
+            if said and _ORDER[said] > _ORDER[suspect]:
                 suspect = said
     return False, suspect, shape
 
@@ -276,6 +308,20 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
     return elements, blocks
 
 
+def _drop_runs(elements: list[Element]) -> None:
+    """Runs of comments go: two or more children of one parent, alike in tag and class, each with a link to reply."""
+    for e in reversed(elements[1:]):  # a reply counts for the elements around it, up to the nearest of those that are alike
+        e.parent.replies += e.replies
+    alike: dict[tuple[int, str, str], list[Element]] = defaultdict(list)
+    for e in elements[1:]:
+        if e.replies and e.tag in COMMENTED:
+            alike[id(e.parent), e.tag, e.shape].append(e)
+    for run in alike.values():
+        if len(run) > 1:
+            for e in run:
+                e.gone = True
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -287,6 +333,9 @@ def main_text(page: str | None) -> str:
         b.at.chars += len(t)
         b.at.link_chars += b.link_chars
         b.at.blocks += 1
+        b.at.replies += b.link_chars > 0 and len(t) < SHORT and t.split()[0].casefold().strip(".:!") in REPLY
+    total = sum(len(t) for _, t in found)
+    _drop_runs(elements)
     for e in reversed(elements):  # children before parents
         over = e.parent
         if over is None:
@@ -294,9 +343,13 @@ def main_text(page: str | None) -> str:
         comment = e.tag == "article" and e.suspect == "hard"
         e.holds_main = e.holds_main or (e.tag in ("article", "main") and not comment and e.prose())
         if e.suspect and (comment or not e.holds_main):
-            e.gone = e.suspect in ("hard", "advert") or not e.prose(FORM_CHARS if e.suspect == "form" else PROSE_CHARS)
+            if e.suspect in ("likely", "doubtful"):
+                e.gone = e.gone or (e.chars < LIKELY_SHARE * total and not (e.suspect == "doubtful" and e.headed))
+            else:
+                e.gone = e.gone or e.suspect in ("hard", "advert") or not e.prose(FORM_CHARS if e.suspect == "form" else PROSE_CHARS)
         if e.gone:
             continue
+        over.headed = over.headed or e.headed or (e.tag in HEADINGS and e.chars > 0)
         textual = e.tag == "p" or e.tag in HEADINGS
         over.points += e.points if textual else e.points / 2
         over.chars += e.chars
@@ -318,6 +371,13 @@ def main_text(page: str | None) -> str:
     whole = max((i for i, e in enumerate(above) if e.tag == "article"), default=outer or 0)
     open_to = max(whole, 1) if outer is None else outer  # up to here all goes in that is not link-dense
     least = max(10.0, 0.2 * score(top))
+    others: set[int] = set()  # branches whose text stands in other articles
+    articles: dict[int, int] = defaultdict(int)
+    for e in reversed(elements[1:]):
+        inside = e.chars if e.tag == "article" else articles[id(e)]
+        articles[id(e.parent)] += 0 if e.gone else inside
+        if e.chars and inside == e.chars:
+            others.add(id(e))
     # of each element: the level of the chain above the container that it hangs from, and its branch there
     level_of = {id(e): (i, None) for i, e in enumerate(above)}
     for e in elements[1:]:
@@ -325,10 +385,14 @@ def main_text(page: str | None) -> str:
             level, branch = level_of[id(e.parent)]
             level_of[id(e)] = level, branch or e
 
+    own = above[whole] if above[whole].tag == "article" else None
+
     def belongs(b: Block, t: str) -> bool:
         level, branch = level_of[id(b.at)]
         if level <= whole:
             return True
+        if own is not None and branch is not None and id(branch) in others:
+            return False
         density = min(1.0, b.link_chars / len(t)) if branch is None else branch.density()
         if density >= DENSE:
             return False
