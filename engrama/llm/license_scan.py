@@ -7,8 +7,11 @@ class for each family and one for unknown text, is fitted on the driver from two
 sources: TEMPLATES with words dropped, added and cut (by a seeded generator), and as
 unknown text SAMPLE_LINES lines of the corpus, templates without the words that name a
 licence, and licence words out of order. A temperature fitted on held-out examples calibrates its
-probabilities. A prediction counts only if it is MIN_PROBABILITY likely and a template of
-its family confirms it: CONFIRM of the template's n-grams stand in the paragraph.
+probabilities. A prediction counts only if it is MIN_PROBABILITY likely and is confirmed, by a
+template of its family (CONFIRM of the template's n-grams stand in the paragraph) or by the
+grammar of statements: a line says under, of, as or by which licence, names the family in
+one of NAMED's forms, with or without a version, and nothing before it denies it. Each name
+of a line is classified by itself, in its statement, so "MIT or Apache-2.0" states two.
 
 Because of that confirmation a paragraph needs one of the rarest n-grams of a template
 (the prefix filter for containment), so paragraphs without any of those few words are
@@ -107,6 +110,55 @@ _SPDX = {
 }
 # Words that name a licence; a notice without those it had speaks of another one, or of none.
 _NAMES = frozenset("apache mit gnu gpl lgpl agpl affero bsd mozilla mpl isc boost bsl zlib eclipse epl eupl european wtfpl fuck cc creative commons cc0 unlicense".split())
+_L = "licen[cs]e"
+# How statements name a family, in lower-case words apart by one space: full names, and bare ones that need a closer statement.
+NAMED = {
+    "apache-2.0": (f"apache (?:software |public )?(?:{_L}|v?2(?: 0)?)(?: version)?(?: v?2(?: 0)?)?", "apache|asl ?2"),
+    "mit": (f"(?:mit|expat) {_L}", "mit|expat"),
+    "gpl": (f"(?:gnu )?gpl ?(?:v ?)?[123](?: 0)?|(?:gnu )?gpl {_L}|gnu (?:general )?public {_L}", "(?:gnu )?gpl"),
+    "lgpl": (f"(?:gnu )?lgpl ?(?:v ?)?[23](?: [01])?|(?:gnu )?lgpl {_L}|(?:gnu )?(?:lesser|library) (?:general )?public {_L}", "(?:gnu )?lgpl"),
+    "agpl": (f"(?:gnu )?agpl ?(?:v ?)?3(?: 0)?|(?:gnu )?agpl {_L}|(?:gnu )?affero (?:general )?public {_L}", "(?:gnu )?agpl"),
+    "bsd": (f"(?:[0-4] clause |two clause |three clause |new |modified |simplified |revised )bsd(?: {_L})?|bsd (?:[0-4] clause|two clause|three clause|style)(?: {_L})?|bsd {_L}", "bsd"),
+    "mpl": (f"mpl ?v? ?[12](?: [01])?|mozilla public {_L}", "mpl"),
+    "isc": (f"isc {_L}", "isc"),
+    "bsl-1.0": (f"boost software {_L}|boost {_L}|bsl 1 0", "bsl"),
+    "zlib": (f"zlib(?: libpng)? {_L}", "zlib"),
+    "epl": (f"epl ?v? ?[12](?: 0)?|eclipse public {_L}", "epl"),
+    "eupl": (f"eupl ?v? ?1(?: [0-9])?|european union public {_L}", "eupl"),
+    "wtfpl": (f"wtfpl {_L}|do what the fuck you want to public {_L}", "wtfpl"),
+    "cc-by-sa": (f"cc by sa(?: [0-9] [0-9])?|creative commons attribution share ?alike(?: [0-9] [0-9])?(?: (?:international|unported))?(?: {_L})?", "cc by sa"),
+    "cc-by-nc": ("cc by nc(?: sa| nd)?(?: [0-9] [0-9])?|creative commons attribution non ?commercial", "cc by nc"),
+    "cc-by-nd": ("cc by nd(?: [0-9] [0-9])?|creative commons attribution no ?deriv(?:ative)?s", "cc by nd"),
+    "cc-by": (f"cc by(?! (?:sa|nc|nd))(?: [0-9] [0-9])?|creative commons attribution(?! (?:share|non|no))(?: [0-9] [0-9])?(?: (?:international|unported))?(?: {_L})?", "cc by(?! (?:sa|nc|nd))"),
+    "cc0": ("cc0(?: 1 0)?|cc zero", "cc0"),
+    "unlicense": ("the unlicense", "unlicense"),
+}
+# Forms that statements are made up of for the fit, by family.
+FORMS = {
+    "apache-2.0": ["apache 2 0", "apache license 2 0", "apache software license", "apache v2"], "mit": ["mit", "mit license", "mit licence", "expat license"], "gpl": ["gpl", "gplv3", "gplv2", "gpl 3 0", "gpl v2", "gnu gpl", "gnu general public licence"],
+    "lgpl": ["lgpl", "lgplv3", "lgpl 2 1", "gnu lgpl", "lesser general public license"], "agpl": ["agpl", "agplv3", "agpl 3 0", "gnu affero general public licence"], "bsd": ["bsd", "bsd license", "3 clause bsd", "bsd 2 clause", "new bsd license", "bsd style license"],
+    "mpl": ["mpl", "mpl 2 0", "mozilla public license"], "isc": ["isc", "isc license", "isc licence"], "bsl-1.0": ["bsl 1 0", "boost software license", "boost license"], "zlib": ["zlib", "zlib license"], "epl": ["epl", "epl 2 0", "eclipse public license"],
+    "eupl": ["eupl", "eupl 1 2", "european union public licence"], "wtfpl": ["wtfpl"], "cc-by": ["cc by", "cc by 4 0", "creative commons attribution license"], "cc-by-sa": ["cc by sa", "cc by sa 3 0", "creative commons attribution sharealike"],
+    "cc-by-nc": ["cc by nc", "cc by nc sa 4 0", "creative commons attribution noncommercial"], "cc-by-nd": ["cc by nd", "creative commons attribution noderivatives"], "cc0": ["cc0", "cc0 1 0"], "unlicense": ["unlicense", "the unlicense"],
+}
+_FRAMES = ("licensed under {}", "under the terms of the {}", "released under the {} see", "available under {} or later", "the code is {} licensed", "{} applies to this file", "{}")
+#: What a statement begins with, and what may stand between that and a name: other names of a list.
+_SAYS = f"(?:under|licen[cs]ed|licen[cs]ing|{_L} is|{_L} identifier|released|distributed|available|terms|subject|governed|covered|choose)"
+_DENIES = "(?:not|never|neither|no longer|cannot|isn t|aren t|wasn t|weren t|doesn t|unlike|incompatible with|instead of|rather than)"
+_NAME_WORDS = sorted({w for forms in FORMS.values() for f in forms for w in f.split() if w not in ("license", "licence", "public", "software", "general", "the", "new", "style", "clause", "by", "sa", "nc", "nd", "v2", "union", "0", "1", "2", "3", "4")} | {"mplv2", "lgplv2", "agplv2", "eplv2", "gplv1", "asl", "asl2"})
+
+
+def statement(family: str) -> tuple[str, str]:
+    """Patterns over a line's lower-case words, apart and surrounded by single spaces: its statement of the family, groups being the name, and its denial of one."""
+    full, bare = NAMED[family]
+    after = "(?= (?:$|or |and |licen[cs]|see |v?[0-9]|only |for |with ))"
+    close = f"(?:under|licen[cs]ed|{_L} identifier|{_L} is)(?: (?:the|an|a|as|either|both|dual))*(?:(?: [^ ]+){{1,4}} (?:or|and))?"
+    any_name = "(?:" + "|".join(f"{a}|{b}" for a, b in NAMED.values()) + ")(?: [0-9])*(?: (?:or later|only))?"
+    several = f"^(?=.* (?:or|and|with) ) (?:{any_name} (?:or|and|with) )*({full}|{bare})(?: [0-9])*(?: (?:or later|only))?(?: (?:or|and|with) {any_name})* $"
+    says = f" {_SAYS}(?: [^ ]+){{0,6}}? ({full})(?= )| ({full})(?: [^ ]+){{0,2}} (?:licen[cs]ed|applies|apply|governs)(?= )| {close} ({bare}){after}| ({bare}) licensed(?= )|^ (?:the )?({full}) (?:version )?(?:[0-9] )*$|{several}"
+    return says, f" {_DENIES}(?: [^ ]+){{0,5}} (?:{full}|{bare})(?= )"
+
+
 for _family, _id in _SPDX.items():
     TEMPLATES[_family].append(f"SPDX-License-Identifier: {_id}")
 UNKNOWN = "unknown"
@@ -160,6 +212,14 @@ def examples(lines: list[str], seed: int = 7) -> list[tuple[set[str], int]]:
                     ws.insert(rng.choice((0, len(ws))), rng.choice(filler if rng.random() < 0.5 else every))
                 if not _NAMES & set(base) or _NAMES & set(ws):
                     out.append((gram_set(ws), c))
+    for family, forms in FORMS.items():
+        for form in forms:
+            for frame in _FRAMES:
+                for _ in range(4):
+                    ws = frame.format(form).split()
+                    for _ in range(rng.choice((0, 0, 2, 4))):
+                        ws.insert(rng.choice((0, len(ws))), rng.choice(filler))
+                    out.append((gram_set(ws), FAMILIES.index(family)))
     unknown = len(FAMILIES) - 1
     for base in (word_list(t) for notices in TEMPLATES.values() for t in notices):
         for _ in range(NAMELESS if _NAMES & set(base) else 0):
@@ -178,7 +238,8 @@ def examples(lines: list[str], seed: int = 7) -> list[tuple[set[str], int]]:
 
 def fit(found: list[tuple[set[str], int]], rounds: int = 200, rate: float = 0.1, l2: float = 1e-5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(n-grams, weights [n-gram, class], biases), the weights divided by the calibrating temperature."""
-    vocabulary = sorted(set().union(*[gram_set(word_list(t)) for notices in TEMPLATES.values() for t in notices]))
+    framed = [frame.format(form).split() for forms in FORMS.values() for form in forms for frame in _FRAMES]
+    vocabulary = sorted(set().union(*[gram_set(word_list(t)) for notices in TEMPLATES.values() for t in notices], *[gram_set(ws) for ws in framed]))
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(found), len(vocabulary) + 1))
     x[:, -1] = 1.0
@@ -255,6 +316,7 @@ def _paragraphs(docs: DataFrame, lines: list[str] | None = None) -> tuple[DataFr
     template = F.broadcast(spark.createDataFrame(called, "word string, family string, template int, expected array<string>, n int, n_words int"))
     key = ["doc_id", "text_key", "at"]
     need = F.array(*[F.lit(w) for w in sorted({w for _, _, w in need_words})])
+    wanted = F.array(*[F.lit(w) for w in sorted({w for _, _, w in need_words} | set(_NAME_WORDS))])
 
     def judge(found: DataFrame, by: list[str]) -> DataFrame:
         """(*by, family, probability) of the rows (*by, grams) that are surely of a family."""
@@ -270,7 +332,7 @@ def _paragraphs(docs: DataFrame, lines: list[str] | None = None) -> tuple[DataFr
     worded = F.filter(F.transform(split, lambda l, i: F.struct(i.alias("at"), words(l).alias("ws"))), lambda x: F.size(x.ws) > 0)
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.size(F.filter(split, lambda l: l.rlike(A_WORD))).cast("long").alias("n_paragraphs"),
-        F.when(F.arrays_overlap(words(F.col("text")), need), worded).alias("lines"),
+        F.when(F.arrays_overlap(words(F.col("text")), wanted), worded).alias("lines"),
     )
     texts = materialize(texts, "license-texts")  # the lines of texts with one of the needed words, and a row for each text
     found = texts.where(F.col("lines").isNotNull()).select("doc_id", "text_key", "lines")
@@ -278,19 +340,47 @@ def _paragraphs(docs: DataFrame, lines: list[str] | None = None) -> tuple[DataFr
         found.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.at", "x.ws")
         .withColumn("called", F.array_intersect("ws", need))
         .where(F.size("called") > 0)
-        .select(*key, grams("ws").alias("grams"), F.explode("called").alias("word"))
+        .select(*key, grams("ws").alias("grams"), _denied(F.col("ws")).alias("denied"), F.explode("called").alias("word"))
     )
     match = F.size(F.array_intersect("grams", "expected")) / F.col("n")
-    alike = likely.join(template, "word").select(*key, "grams", F.col("family").alias("of"), match.alias("match")).where(F.col("match") >= CONFIRM)
+    alike = likely.join(template, "word").select(*key, "grams", "denied", F.col("family").alias("of"), match.alias("match")).where((F.col("match") >= CONFIRM) & ~F.array_contains("denied", F.col("of"))).drop("denied")
     alike = materialize(alike, "license-alike")  # few rows: lines that hold most of a notice
     sure = judge(alike.dropDuplicates([*key, "grams"]).select(*key, "grams"), key).select(*[F.col(c).alias(f"_{c}") for c in key], "family", "probability")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("at") == F.col("_at")) & (F.col("of") == F.col("family"))
     single = alike.join(sure, same).groupBy(*key, "family", "probability").agg(F.max("match").alias("match"))
+    single = single.unionByName(stated(found, judge)).groupBy(*key, "family").agg(F.max("probability").alias("probability"), F.max("match").alias("match"))
     single = materialize(single, "license-lines")
     both = single.unionByName(wrapped(found, single, need, F.array(*[F.lit(g) for g in vocabulary]), template, judge))
     return both, texts.select("doc_id", "text_key", "n_paragraphs")
 
 
+def _line(ws: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+
+
+def _denied(ws: Column) -> Column:
+    """The families that a line of words says it is not of."""
+    line, none = _line(ws), F.array().cast("array<string>")
+    each = [F.when(line.rlike(statement(f)[1]), F.lit(f)) for f in NAMED]
+    return F.when(line.rlike(f" {_DENIES} "), F.filter(F.array(*each), lambda f: f.isNotNull())).otherwise(none)
+
+
+def stated(lines: DataFrame, judge) -> DataFrame:
+    """(doc_id, text_key, at, family, probability, match) of lines that state a licence by a name: the name in its statement is classified, and has to be of the family that it names."""
+    key = ["doc_id", "text_key", "at"]
+    named = lines.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.at", "x.ws").where(F.arrays_overlap("ws", F.array(*[F.lit(w) for w in _NAME_WORDS])))
+    named = named.select(*key, _line(F.col("ws")).alias("line"), _denied(F.col("ws")).alias("denied"))
+    each = []
+    for family in NAMED:
+        says = statement(family)[0]
+        found = F.concat(*[F.regexp_extract("line", says, g) for g in range(1, 7)])  # one of them has taken part
+        each.append(F.when(~F.array_contains("denied", family) & F.col("line").rlike(says), F.struct(F.lit(family).alias("of"), F.concat(F.lit("licensed under "), found).alias("clause"))))
+    claims = named.select(*key, F.explode(F.filter(F.array(*each), lambda c: c.isNotNull())).alias("c")).select(*key, "c.of", F.split("c.clause", " ").alias("ws"))
+    claims = materialize(claims.dropDuplicates([*key, "of"]).select(*key, "of", grams("ws").alias("grams")), "license-stated")  # few rows: lines that name a licence
+    sure = judge(claims, [*key, "of"])
+    return sure.where("family = of").select(*key, "family", "probability", F.lit(1.0).alias("match"))
+
+
 def wrapped(lines: DataFrame, single: DataFrame, need: Column, vocabulary: Column, template: DataFrame, judge) -> DataFrame:
     """(doc_id, text_key, at, family, probability, match) of each notice that is wrapped over lines; at is its first line.
 
