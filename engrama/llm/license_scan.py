@@ -215,7 +215,7 @@ def examples(lines: list[str], seed: int = 7) -> list[tuple[set[str], int]]:
     for family, forms in FORMS.items():
         for form in forms:
             for frame in _FRAMES:
-                for _ in range(4):
+                for _ in range(2):
                     ws = frame.format(form).split()
                     for _ in range(rng.choice((0, 0, 2, 4))):
                         ws.insert(rng.choice((0, len(ws))), rng.choice(filler))
@@ -241,14 +241,14 @@ def fit(found: list[tuple[set[str], int]], rounds: int = 200, rate: float = 0.1,
     framed = [frame.format(form).split() for forms in FORMS.values() for form in forms for frame in _FRAMES]
     vocabulary = sorted(set().union(*[gram_set(word_list(t)) for notices in TEMPLATES.values() for t in notices], *[gram_set(ws) for ws in framed]))
     at = {g: i for i, g in enumerate(vocabulary)}
-    x = np.zeros((len(found), len(vocabulary) + 1))
+    x = np.zeros((len(found), len(vocabulary) + 1), dtype=np.float32)  # with single precision throughout, or each product would copy it
     x[:, -1] = 1.0
-    y = np.zeros((len(found), len(FAMILIES)))
+    y = np.zeros((len(found), len(FAMILIES)), dtype=np.float32)
     for i, (g, c) in enumerate(found):
         x[i, [at[a] for a in g if a in at]] = 1.0
         y[i, c] = 1.0
     held = np.arange(len(found)) % 5 == 4
-    w = np.zeros((x.shape[1], y.shape[1]))
+    w = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     share = (y * np.where(np.arange(y.shape[1]) == y.shape[1] - 1, UNKNOWN_WEIGHT, 1.0) / np.maximum(1, y.sum(axis=0))).sum(axis=1) / y.shape[1]
 
@@ -256,14 +256,14 @@ def fit(found: list[tuple[set[str], int]], rounds: int = 200, rate: float = 0.1,
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    xs, ys, weight = x[~held], y[~held], share[~held, None]
+    xs, ys, weight = x[~held], y[~held], share[~held, None].astype(np.float32)
     for t in range(1, rounds + 1):
         g = xs.T @ (weight * (softmax(xs @ w) - ys)) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     z = x[held] @ w
     loss = lambda t: -np.log(np.maximum((softmax(z / t) * y[held]).sum(axis=1), 1e-12)).mean()
-    w = w / min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
+    w = w.astype(np.float64) / min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
     return vocabulary, w[:-1], w[-1]
 
 
@@ -316,7 +316,7 @@ def _paragraphs(docs: DataFrame, lines: list[str] | None = None) -> tuple[DataFr
     template = F.broadcast(spark.createDataFrame(called, "word string, family string, template int, expected array<string>, n int, n_words int"))
     key = ["doc_id", "text_key", "at"]
     need = F.array(*[F.lit(w) for w in sorted({w for _, _, w in need_words})])
-    wanted = F.array(*[F.lit(w) for w in sorted({w for _, _, w in need_words} | set(_NAME_WORDS))])
+    names_of = F.array(*[F.lit(w) for w in _NAME_WORDS])
 
     def judge(found: DataFrame, by: list[str]) -> DataFrame:
         """(*by, family, probability) of the rows (*by, grams) that are surely of a family."""
@@ -329,13 +329,15 @@ def _paragraphs(docs: DataFrame, lines: list[str] | None = None) -> tuple[DataFr
         return judged.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
 
     split = F.split(F.coalesce("text", F.lit("")), "\n")
-    worded = F.filter(F.transform(split, lambda l, i: F.struct(i.alias("at"), words(l).alias("ws"))), lambda x: F.size(x.ws) > 0)
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.size(F.filter(split, lambda l: l.rlike(A_WORD))).cast("long").alias("n_paragraphs"),
-        F.when(F.arrays_overlap(words(F.col("text")), wanted), worded).alias("lines"),
+    worded = F.filter(F.transform("split", lambda l, i: F.struct(i.alias("at"), words(l).alias("ws"))), lambda x: F.size(x.ws) > 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), split.alias("split"), words(F.col("text")).alias("all"))
+    rows = rows.select("*", F.arrays_overlap("all", need).alias("calls"), F.arrays_overlap("all", names_of).alias("names"))
+    texts = rows.select(
+        "doc_id", "text_key", F.size(F.filter("split", lambda l: l.rlike(A_WORD))).cast("long").alias("n_paragraphs"),
+        "calls", "names", F.when(F.col("calls") | F.col("names"), worded).alias("lines"),
     )
     texts = materialize(texts, "license-texts")  # the lines of texts with one of the needed words, and a row for each text
-    found = texts.where(F.col("lines").isNotNull()).select("doc_id", "text_key", "lines")
+    found = texts.where("calls").select("doc_id", "text_key", "lines")
     likely = (
         found.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.at", "x.ws")
         .withColumn("called", F.array_intersect("ws", need))
@@ -348,7 +350,7 @@ def _paragraphs(docs: DataFrame, lines: list[str] | None = None) -> tuple[DataFr
     sure = judge(alike.dropDuplicates([*key, "grams"]).select(*key, "grams"), key).select(*[F.col(c).alias(f"_{c}") for c in key], "family", "probability")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("at") == F.col("_at")) & (F.col("of") == F.col("family"))
     single = alike.join(sure, same).groupBy(*key, "family", "probability").agg(F.max("match").alias("match"))
-    single = single.unionByName(stated(found, judge)).groupBy(*key, "family").agg(F.max("probability").alias("probability"), F.max("match").alias("match"))
+    single = single.unionByName(stated(texts.where("names"), judge)).groupBy(*key, "family").agg(F.max("probability").alias("probability"), F.max("match").alias("match"))
     single = materialize(single, "license-lines")
     both = single.unionByName(wrapped(found, single, need, F.array(*[F.lit(g) for g in vocabulary]), template, judge))
     return both, texts.select("doc_id", "text_key", "n_paragraphs")
@@ -374,7 +376,8 @@ def stated(lines: DataFrame, judge) -> DataFrame:
     for family in NAMED:
         says = statement(family)[0]
         found = F.concat(*[F.regexp_extract("line", says, g) for g in range(1, 7)])  # one of them has taken part
-        each.append(F.when(~F.array_contains("denied", family) & F.col("line").rlike(says), F.struct(F.lit(family).alias("of"), F.concat(F.lit("licensed under "), found).alias("clause"))))
+        speaks = F.col("line").rlike(f" (?:{'|'.join(NAMED[family])})(?= )")  # most lines name one family, and only its statement is looked for
+        each.append(F.when(speaks & ~F.array_contains("denied", family) & F.col("line").rlike(says), F.struct(F.lit(family).alias("of"), F.concat(F.lit("licensed under "), found).alias("clause"))))
     claims = named.select(*key, F.explode(F.filter(F.array(*each), lambda c: c.isNotNull())).alias("c")).select(*key, "c.of", F.split("c.clause", " ").alias("ws"))
     claims = materialize(claims.dropDuplicates([*key, "of"]).select(*key, "of", grams("ws").alias("grams")), "license-stated")  # few rows: lines that name a licence
     sure = judge(claims, [*key, "of"])
