@@ -123,12 +123,23 @@ def verified_copy(spark, sf):
     return out[0].unionByName(out[1])
 
 
-@query("task_prefix", """m AS (SELECT unnest(['nomic-embed-text-v1', 'intfloat/multilingual-e5-small', 'E_5-large', 'all-MiniLM-L6-v2', '']) AS model)
-    SELECT model, CASE WHEN b LIKE '%nomic%' THEN 'search_document: ' WHEN b LIKE '%e5%' THEN 'passage: ' ELSE '' END AS doc_prefix,
-      CASE WHEN b LIKE '%nomic%' THEN 'search_query: ' WHEN b LIKE '%e5%' THEN 'query: ' ELSE '' END AS query_prefix FROM (SELECT model, lower(regexp_replace(model, '[-_./]', '', 'g')) AS b FROM m)""")
+#: Which embedder the texts of a language go to, in the query below.
+_MODELS = {"en": "nomic-embed-text-v1", "de": "intfloat/multilingual-e5-small", "fr": "E_5-large", "es": "all-MiniLM-L6-v2"}
+
+
+@query("task_prefix", f"""m AS (SELECT doc_id, text, CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _MODELS.items())} ELSE '' END AS model FROM documents),
+    p AS (SELECT *, lower(regexp_replace(model, '[-_./]', '', 'g')) AS b FROM m),
+    t AS (SELECT doc_id, text, model, CASE WHEN b LIKE '%nomic%' THEN 'search_document: ' WHEN b LIKE '%e5%' THEN 'passage: ' ELSE '' END AS doc_prefix,
+      CASE WHEN b LIKE '%nomic%' THEN 'search_query: ' WHEN b LIKE '%e5%' THEN 'query: ' ELSE '' END AS query_prefix FROM p)
+    SELECT doc_id, model, doc_prefix, query_prefix, length(doc_prefix || coalesce(text, '')) AS n_chars FROM t""")
 def task_prefix(spark, sf):
-    models = spark.createDataFrame([(m,) for m in ("nomic-embed-text-v1", "intfloat/multilingual-e5-small", "E_5-large", "all-MiniLM-L6-v2", "")], "model string")
-    return models.select("model", tx.task_prefix(F.col("model"), 0).alias("doc_prefix"), tx.task_prefix(F.col("model"), 1).alias("query_prefix"))
+    """Each document as its language's embedder gets it: the prefixes by model, and the prefixed text's length."""
+    model = F.lit("")
+    for lang, name in _MODELS.items():
+        model = F.when(F.col("lang") == lang, name).otherwise(model)
+    d = T.raw(spark, sf, "documents").select("doc_id", "text", model.alias("model"))
+    d = d.select("doc_id", "text", "model", tx.task_prefix(F.col("model"), 0).alias("doc_prefix"), tx.task_prefix(F.col("model"), 1).alias("query_prefix"))
+    return d.select("doc_id", "model", "doc_prefix", "query_prefix", F.length(F.concat("doc_prefix", F.coalesce("text", F.lit("")))).cast("long").alias("n_chars"))
 
 
 @query("scope_filter", "SELECT id, scope, session_id FROM episodic WHERE CASE WHEN scope = 'global' THEN true WHEN scope = 'session' THEN session_id = 'src4' ELSE session_id IS NULL OR session_id = 'src4' END")
