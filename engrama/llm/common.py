@@ -123,6 +123,22 @@ def spread(df: DataFrame, nth: str) -> DataFrame:
     return few.unionByName(many)
 
 
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], bound: int) -> DataFrame:
+    """rows joined with keys (distinct in `on`; n: how many rows each meets, at least), with the columns of both.
+
+    Keys that meet more than a `bound`-th part of all met rows are broadcast: they are fewer
+    than `bound` however large the tables are. What they leave is joined by a shuffle, where
+    a key brings no more than that part of the rows to a task.
+    """
+    found = keys.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    often = F.col("n") > found.rows // bound
+    hot = F.broadcast(keys.where(often))
+    met = rows.join(hot, on)
+    if found.rows < bound:  # then every key is among them
+        return met
+    return met.unionByName(rows.join(hot.select(*on), on, "left_anti").join(keys.where(~often), on))
+
+
 def _window(by: list[str], order: list[str]):
     from pyspark.sql import Window
 

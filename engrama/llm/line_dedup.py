@@ -1,7 +1,8 @@
 """Line dedup: lines that stand on many distinct sites are boilerplate and go.
 
 Native: DataFrame functions only. A line is known by two independent 64-bit hashes of its
-trimmed text and its length. HyperLogLog sketches of the sites and of the texts that hold it merge by
+trimmed text and its length. Lines are first counted, which leaves the few that are frequent
+enough; HyperLogLog sketches of the sites and of the texts that hold these merge by
 aggregation (combined before the shuffle, so a line in a third of all rows is no hot key).
 A line whose estimates are clear of the threshold is decided by them; lines near it get
 exact distinct counts. Counting texts as well as sites leaves exact copies of one document
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ROW_KEY, keyed, materialize, packed
+from .common import ASCII_SPACE, ROW_KEY, keyed, materialize, meet, packed
 
 #: A line on so many distinct sites, in so many distinct texts, is boilerplate.
 MIN_SITES = 5
@@ -29,7 +30,7 @@ SHORT_FACTOR = 2
 #: log2 of a sketch's registers; three standard errors around the threshold are counted exactly.
 LG_K = 12
 BAND = 3 * 1.04 / (1 << (LG_K // 2))
-#: Beyond so many boilerplate lines their table is joined by a shuffle instead of a broadcast.
+#: Of a table of lines so many are broadcast at most: those that meet the most rows.
 BROADCAST_LINES = 500_000
 
 
@@ -52,41 +53,41 @@ def _has_word(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(site, text_key, *KEY): a row for each line with a word."""
-    rows = docs.select(F.coalesce("source", F.lit("")).alias("site"), F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("l"))
-    return rows.where(_has_word(F.col("l"))).select("site", "text_key", *_keys(F.col("l"), min_words))
+    """(site_key, text_key, *KEY): a row for each line with a word."""
+    rows = docs.select(F.xxhash64(F.coalesce("source", F.lit(""))).alias("site_key"), F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("l"))
+    return rows.where(_has_word(F.col("l"))).select("site_key", "text_key", *_keys(F.col("l"), min_words))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """KEY of each boilerplate line."""
+    """KEY of each boilerplate line, and n: how often it occurs."""
     lines = line_table(docs, min_words)
-    spread = lines.groupBy(*KEY).agg(
-        F.hll_sketch_agg("site", F.lit(LG_K)).alias("sites"), F.hll_sketch_agg("text_key", F.lit(LG_K)).alias("texts"), F.count(F.lit(1)).alias("n")
-    )
     need = F.when(F.col("short"), min_sites * SHORT_FACTOR).otherwise(min_sites)
-    spread = spread.where(F.col("n") >= need).select(*KEY, F.hll_sketch_estimate("sites").alias("sites"), F.hll_sketch_estimate("texts").alias("texts"))
+    # plain counts, since nearly all lines occur once: no sketch is built for these, nor for lines of one site or of one text
+    seen = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("site_key", "text_key") for f in (F.min, F.max)])
+    several = (F.col("min_site_key") < F.col("max_site_key")) & (F.col("min_text_key") < F.col("max_text_key")) | (need <= 1)
+    frequent = materialize(seen.where((F.col("n") >= need) & several).select(*KEY, "n"), "line-counts")
+    spread = meet(lines, frequent, KEY, BROADCAST_LINES).groupBy(*KEY, "n").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site_key", F.lit(LG_K))).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("text_key", F.lit(LG_K))).alias("texts")
+    )
     margin = F.greatest(F.lit(1.0), need * BAND)
     spread = materialize(spread.where((F.col("sites") >= need - margin) & (F.col("texts") >= need - margin)), "line-spread")
     sure = (F.col("sites") > need + margin) & (F.col("texts") > need + margin)
-    near = spread.where(~sure).select(*KEY)
-    near = F.broadcast(near) if near.count() <= BROADCAST_LINES else near
-    counted = _exact(lines.join(near, KEY)).where((F.col("s") >= need) & (F.col("t") >= need)).select(*KEY)
-    return materialize(spread.where(sure).select(*KEY).unionByName(counted), "boilerplate")
+    counted = _exact(meet(lines, spread.where(~sure).select(*KEY, "n"), KEY, BROADCAST_LINES)).where((F.col("s") >= need) & (F.col("t") >= need)).select(*KEY, "n")
+    return materialize(spread.where(sure).select(*KEY, "n").unionByName(counted), "boilerplate")
 
 
 def _exact(lines: DataFrame) -> DataFrame:
-    """(*KEY, s, t): exact distinct sites and texts, each pair reduced before it is counted."""
-    sites = lines.select(*KEY, F.struct(F.lit(0).alias("kind"), F.xxhash64("site").alias("v")).alias("x"))
-    texts = lines.select(*KEY, F.struct(F.lit(1).alias("kind"), F.col("text_key").alias("v")).alias("x"))
+    """(*KEY, n, s, t): exact distinct sites and texts, each pair reduced before it is counted."""
+    sites = lines.select(*KEY, "n", F.struct(F.lit(0).alias("kind"), F.col("site_key").alias("v")).alias("x"))
+    texts = lines.select(*KEY, "n", F.struct(F.lit(1).alias("kind"), F.col("text_key").alias("v")).alias("x"))
     both = sites.unionByName(texts).distinct()
-    return both.groupBy(*KEY).agg(F.count(F.when(F.col("x.kind") == 0, 1)).alias("s"), F.count(F.when(F.col("x.kind") == 1, 1)).alias("t"))
+    return both.groupBy(*KEY, "n").agg(F.count(F.when(F.col("x.kind") == 0, 1)).alias("s"), F.count(F.when(F.col("x.kind") == 1, 1)).alias("t"))
 
 
 def removals(docs: DataFrame, known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, gone): positions (from 0) of the boilerplate lines of documents that have any."""
-    table = F.broadcast(known) if known.count() <= BROADCAST_LINES else known
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(_lines(F.col("text"))).alias("at", "l"))
-    hits = rows.where(_has_word(F.col("l"))).select("doc_id", "text_key", "at", *_keys(F.col("l"), min_words)).join(table, KEY)
+    hits = meet(rows.where(_has_word(F.col("l"))).select("doc_id", "text_key", "at", *_keys(F.col("l"), min_words)), known, KEY, BROADCAST_LINES)
     return hits.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("gone"))
 
 
