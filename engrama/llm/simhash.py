@@ -34,10 +34,10 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Stored, keyed, materialize, packed
+from .common import ROW_KEY, Stored, keyed, materialize, meet, packed
 
 SHINGLE = 3
 SEED = 42
@@ -180,9 +180,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the least (doc_id, text hash), once; columns stay as they are."""
-    kept = keyed(classes(docs)).groupBy("root").agg(F.min(F.struct(*ROW_KEY)).alias("k"))
-    kept = materialize(kept.select("k.*"), "simhash-kept")
-    once = Window.partitionBy(*ROW_KEY).orderBy(F.lit(1))
-    rows = keyed(packed(docs)).select("row", *ROW_KEY).join(kept, ROW_KEY, "left_semi")
-    return rows.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")
+    """docs with one row of each class: the least (doc_id, text hash), once; columns stay as they are.
+
+    Rows that agree in both are copies: which of them stays is found by an aggregation that
+    is combined before the shuffle, so very many of them do not meet in one task.
+    """
+    sized = materialize(keyed(classes(docs)).groupBy("root", *ROW_KEY).agg(F.count(F.lit(1)).alias("n")), "simhash-copies")
+    kept = materialize(sized.groupBy("root").agg(F.min(F.struct(*ROW_KEY, "n")).alias("k")).select("k.*"), "simhash-kept")
+    rows = keyed(packed(docs)).select("row", *ROW_KEY)
+    # rows with more copies than that are of fewer than BROADCAST_ROWS keys, and stay out of the shuffle
+    often = max(1, (sized.agg(F.sum("n").alias("n")).first().n or 0) // BROADCAST_ROWS)
+    rare = rows.join(F.broadcast(sized.where(F.col("n") > often).select(*ROW_KEY)), ROW_KEY, "left_anti")
+    single = rare.join(kept.where("n = 1"), ROW_KEY, "left_semi").select("row")
+    copies = meet(rows, kept.where("n > 1"), ROW_KEY, BROADCAST_ROWS).groupBy(*ROW_KEY).agg(F.first("row").alias("row"))
+    return single.unionByName(copies.select("row")).select("row.*")
