@@ -66,21 +66,21 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     seen = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("site_key", "text_key") for f in (F.min, F.max)])
     several = (F.col("min_site_key") < F.col("max_site_key")) & (F.col("min_text_key") < F.col("max_text_key")) | (need <= 1)
     frequent = materialize(seen.where((F.col("n") >= need) & several).select(*KEY, "n"), "line-counts")
-    spread = meet(lines, frequent, KEY, BROADCAST_LINES).groupBy(*KEY, "n").agg(
+    lines = materialize(meet(lines, frequent, KEY, BROADCAST_LINES), "line-frequent")  # hashes only; read twice below
+    spread = lines.groupBy(*KEY, "n").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site_key", F.lit(LG_K))).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("text_key", F.lit(LG_K))).alias("texts")
     )
     margin = F.greatest(F.lit(1.0), need * BAND)
     spread = materialize(spread.where((F.col("sites") >= need - margin) & (F.col("texts") >= need - margin)), "line-spread")
     sure = (F.col("sites") > need + margin) & (F.col("texts") > need + margin)
-    counted = _exact(meet(lines, spread.where(~sure).select(*KEY, "n"), KEY, BROADCAST_LINES)).where((F.col("s") >= need) & (F.col("t") >= need)).select(*KEY, "n")
+    counted = _exact(meet(lines.drop("n"), spread.where(~sure).select(*KEY, "n"), KEY, BROADCAST_LINES)).where((F.col("s") >= need) & (F.col("t") >= need)).select(*KEY, "n")
     return materialize(spread.where(sure).select(*KEY, "n").unionByName(counted), "boilerplate")
 
 
 def _exact(lines: DataFrame) -> DataFrame:
     """(*KEY, n, s, t): exact distinct sites and texts, each pair reduced before it is counted."""
-    sites = lines.select(*KEY, "n", F.struct(F.lit(0).alias("kind"), F.col("site_key").alias("v")).alias("x"))
-    texts = lines.select(*KEY, "n", F.struct(F.lit(1).alias("kind"), F.col("text_key").alias("v")).alias("x"))
-    both = sites.unionByName(texts).distinct()
+    each = F.array(F.struct(F.lit(0).alias("kind"), F.col("site_key").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("text_key").alias("v")))
+    both = lines.select(*KEY, "n", F.explode(each).alias("x")).distinct()
     return both.groupBy(*KEY, "n").agg(F.count(F.when(F.col("x.kind") == 0, 1)).alias("s"), F.count(F.when(F.col("x.kind") == 1, 1)).alias("t"))
 
 
