@@ -187,10 +187,12 @@ class Memory:
             cold = lifecycle.cold_schemas(s, now, self.cfg.schema_unused_seconds).select("id")
             counts = {"episodes": gone.count(), "schemas": cold.count()}
             if not dry_run:
-                docs, edges = delete_cascade(e, self.table("edges"), gone)
-                self._commit("episodic", docs)
-                self._commit("edges", edges)
-                self._commit("semantic", s.join(cold, "id", "left_anti"))
+                if counts["episodes"]:
+                    docs, edges = delete_cascade(e, self.table("edges"), gone)
+                    self._commit("episodic", docs)
+                    self._commit("edges", edges)
+                if counts["schemas"]:
+                    self._commit("semantic", s.join(cold, "id", "left_anti"))
                 self._log("forget", now)
         return counts
 
@@ -215,8 +217,9 @@ class Memory:
             into = merged.union(added.select(F.explode("source_episode_ids").alias("id"), F.col("id").alias("schema"))).groupBy("id").agg(F.min("schema").alias("_into"))
             episodes = e.join(into, "id", "left").withColumn("consolidated_into", F.coalesce("_into", "consolidated_into")).drop("_into")
             counts = {"absorbed": done.absorbed.count(), "merged": done.decisions.where("decision = 'merge'").count(), "promoted": added.count(), "parked": done.decisions.where("decision = 'park'").count()}
-            self._commit("semantic", schemas.unionByName(added.select(schemas.columns)))
-            self._commit("episodic", episodes)
+            if counts["absorbed"] + counts["merged"] + counts["promoted"]:
+                self._commit("semantic", schemas.unionByName(added.select(schemas.columns)))
+                self._commit("episodic", episodes)
             self._commit("schema_candidates", done.candidates)
             self._log("consolidate", now)
         return counts
