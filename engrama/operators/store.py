@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from engrama.operators.ordered import page
 
 #: Id lists of up to so many values become an IN filter, longer ones a join.
 IN_LIST = 1000
+#: A range of a table: the keys from one multiple of it up to the next. A change rewrites whole ranges.
+SPAN = 65_536
 
 
 def matches(filters: dict) -> Column:
@@ -104,6 +108,14 @@ class Conflict(RuntimeError):
     """Another writer committed in between."""
 
 
+class Ranges(NamedTuple):
+    """A change of a table that is laid out by ranges of a key: the rows that the given ranges now hold; ranges None: the whole table."""
+
+    df: DataFrame
+    key: str
+    ranges: Sequence[int] | None = None
+
+
 class Store:
     """Named tables as Parquet snapshots under root/name/, and numbered commits that say which snapshots are current.
 
@@ -111,11 +123,16 @@ class Store:
     root/_commits/N.json, by a rename that fails if N is there. So a commit of several
     tables shows whole or not at all, and of two writers that began at the same commit one
     gets a Conflict; what a failed writer left is never read and goes with `vacuum`.
+
+    A table committed as `Ranges` is partitioned by key div span. The manifest names the
+    folder of each range, so a change of a few rows writes their ranges and names the other
+    ranges' old folders again. A manifest is one line for each range: at 65,536 rows a
+    range, 10^10 rows are 150,000 lines.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._known: dict[int, dict[str, str]] = {}
+    def __init__(self, spark: SparkSession, root: str, span: int = SPAN):
+        self.spark, self.root, self.span = spark, root.rstrip("/"), span
+        self._known: dict[int, dict[str, dict]] = {}
 
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -123,51 +140,94 @@ class Store:
     def _path(self, rest: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rest}" if rest else self.root)
 
+    def _names(self, rest: str) -> list[str]:
+        """What a folder holds; nothing, if there is none."""
+        fs, path = self._fs(), self._path(rest)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
     def commits(self) -> list[int]:
-        fs, path = self._fs(), self._path("_commits")
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return sorted(int(n[:-5]) for n in self._names("_commits") if n.endswith(".json") and n[:-5].isdigit())
 
     def latest(self) -> int:
         """The last commit, 0 before the first."""
         return max(self.commits(), default=0)
 
-    def _manifest(self, commit: int) -> dict[str, str]:
-        """table -> folder, as of a commit."""
+    def _manifest(self, commit: int) -> dict[str, dict]:
+        """table -> its last commit, schema, span (0: not by ranges) and parts, range -> folder, as of a commit."""
         if commit and commit not in self._known:
             stream = self._fs().open(self._path(f"_commits/{commit}.json"))
             try:
-                self._known[commit] = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
             finally:
                 stream.close()
+            # a manifest of before there were ranges names one folder a table
+            self._known[commit] = {n: {"commit": int(e[2:].split("-")[0]), "schema": None, "span": 0, "parts": {"": e}} if isinstance(e, str) else e for n, e in found.items()}
         return self._known.get(commit, {})
 
+    def _present(self, name: str) -> set[str]:
+        """The folders of a table and those of ranges in them."""
+        tops = self._names(name)
+        return set(tops) | {f"{t}/{r}" for t in tops for r in self._names(f"{name}/{t}") if r.startswith("_range=")}
+
     def versions(self, name: str) -> list[int]:
         """The commits that changed a table and can still be read."""
-        fs = self._fs()
-        mine = [(c, self._manifest(c).get(name, "")) for c in self.commits()]
-        return [c for c, folder in mine if folder.startswith(f"v={c}-") and fs.exists(self._path(f"{name}/{folder}"))]
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """A table as of a commit; by default the last."""
-        folder = self._manifest(self.latest() if version is None else version).get(name)
-        if folder is None:
+        present = self._present(name)
+        mine = [(c, self._manifest(c).get(name)) for c in self.commits()]
+        return [c for c, entry in mine if entry and entry["commit"] == c and present.issuperset(entry["parts"].values())]
+
+    def read(self, name: str, version: int | None = None, ranges: Iterable[int] | None = None) -> DataFrame:
+        """A table as of a commit, by default the last; with ranges, of a table that has them, only the files of these."""
+        entry = self._manifest(self.latest() if version is None else version).get(name)
+        if entry is None:
             raise KeyError(f"no table {name} in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{folder}")
-
-    def commit(self, name: str, df: DataFrame) -> int:
+        parts = entry["parts"]
+        if ranges is not None and entry["span"]:
+            parts = {r: parts[r] for r in map(str, ranges) if r in parts}
+        schema = StructType.fromJson(entry["schema"]) if entry["schema"] else None
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(*[f"{self.root}/{name}/{folder}" for folder in parts.values()])
+
+    def ranges_of(self, name: str, keys: DataFrame, version: int | None = None) -> list[int] | None:
+        """The ranges of a table that keys (id) fall into; None if it has no ranges (yet), so that only the whole can be written."""
+        entry = self._manifest(self.latest() if version is None else version).get(name)
+        if entry is None or not entry["span"]:
+            return None
+        found = keys.select(F.expr(f"id div {entry['span']}").alias("r")).where("r is not null").distinct()
+        return sorted(row.r for row in found.collect())  # at most one for each line of the manifest, and new ones at the end
+
+    def commit(self, name: str, df: DataFrame | Ranges) -> int:
         return self.commit_all({name: df})
 
-    def commit_all(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+    def _write(self, name: str, folder: str, change: DataFrame | Ranges, old: dict | None) -> dict:
+        path = f"{self.root}/{name}/{folder}"
+        if isinstance(change, DataFrame):
+            change.write.parquet(path)
+            return {"schema": change.schema.jsonValue(), "span": 0, "parts": {"": folder}}
+        df, key, ranges = change
+        if ranges is not None and not (old and old["span"]):
+            raise ValueError(f"table {name} has no ranges yet")
+        span = self.span if ranges is None else old["span"]
+        # a range is rebalanced by size, so one that a hub makes large is written by several tasks
+        df.withColumn("_range", F.expr(f"`{key}` div {span}")).hint("rebalance", F.col("_range")).write.partitionBy("_range").parquet(path)
+        written = {n[len("_range="):]: f"{folder}/{n}" for n in self._names(f"{name}/{folder}") if n.startswith("_range=")}
+        if ranges is None:
+            return {"schema": df.schema.jsonValue(), "span": span, "parts": written}
+        given = set(map(str, ranges))
+        if stray := sorted(set(written) - given):
+            raise ValueError(f"table {name}: rows of the ranges {stray[:5]}, which the change does not name")
+        return {"schema": df.schema.jsonValue(), "span": span, "parts": {r: f for r, f in old["parts"].items() if r not in given} | written}
+
+    def commit_all(self, tables: dict[str, DataFrame | Ranges], base: int | None = None) -> int:
         """Writes tables as one commit after `base`, the commit that they were made from; by default the last."""
         base = self.latest() if base is None else base
         if self.latest() != base:
             raise Conflict(f"commit {base} of {self.root} is no longer the last")
         number, mine = base + 1, uuid.uuid4().hex
         manifest = dict(self._manifest(base))
-        for name, df in tables.items():
-            manifest[name] = f"v={number}-{mine}"
-            df.write.parquet(f"{self.root}/{name}/{manifest[name]}")
+        for name, change in tables.items():
+            manifest[name] = {"commit": number} | self._write(name, f"v={number}-{mine}", change, manifest.get(name))
         fs, draft = self._fs(), self._path(f"_commits/draft-{mine}")
         out = fs.create(draft, False)
         out.writeBytes(json.dumps(manifest))
@@ -184,9 +244,11 @@ class Store:
         return number
 
     def vacuum(self, name: str, keep: int = 2) -> None:
-        """Drops a table's folders but for those of its last `keep` versions; call it while nobody writes."""
-        kept = {self._manifest(c).get(name) for c in self.versions(name)[-keep:]} | {self._manifest(self.latest()).get(name)}
-        fs, path = self._fs(), self._path(name)
-        for status in fs.listStatus(path) if fs.exists(path) else []:
-            if status.getPath().getName() not in kept:
-                fs.delete(status.getPath(), True)
+        """Drops a table's folders but for those that its last `keep` versions read; call it while nobody writes."""
+        entries = [self._manifest(c)[name] for c in self.versions(name)[-keep:]] + [e for e in [self._manifest(self.latest()).get(name)] if e]
+        kept = {folder for e in entries for folder in e["parts"].values()}
+        tops, fs = {folder.split("/")[0] for folder in kept}, self._fs()
+        for folder in self._present(name) - kept:
+            top, _, part = folder.partition("/")
+            if (part and top in tops) or (not part and top not in tops):
+                fs.delete(self._path(f"{name}/{folder}"), True)

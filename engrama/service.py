@@ -2,7 +2,9 @@
 
 Reads never write. A write reads its tables as of one commit and ends in one commit of all
 that it changed and of the interaction log; a write that another one overtook raises
-`Conflict` and leaves nothing.
+`Conflict` and leaves nothing. Episodes, facts and edges are laid out by ranges of ids, and
+a write rewrites the ranges of the rows that it changes; `dream`, which ages all edges, and
+`reembed` write whole tables, and so does the buffer of candidates.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from engrama.functions import vectors as vx
 from engrama.operators import codes, consolidate, copies, filters, lifecycle
 from engrama.operators import graph as gr
 from engrama.operators import recall as rc
-from engrama.operators.store import Store, by_ids, delete_cascade, event_log_tail, next_ids
+from engrama.operators.store import SPAN, Ranges, Store, by_ids, delete_ids, event_log_tail, next_ids
 from engrama.operators.vector_index import VectorIndex
 
 EPISODIC = (
@@ -34,25 +36,29 @@ EDGES = "kind string, src_id long, dst_id long, weight double, bonus double, hit
 LOG = "seq long, ts double, kind string, session_id string, deduped boolean"
 TABLES = {"episodic": EPISODIC, "semantic": SEMANTIC, "edges": EDGES, "interaction_log": LOG, "schema_candidates": consolidate.CANDIDATES}
 
+#: The tables that are laid out by ranges of a key; an edge is where its source is.
+KEYS = {"episodic": "id", "semantic": "id", "edges": "src_id"}
+
 
 class Memory:
-    def __init__(self, spark: SparkSession, root: str, loader: Callable, cfg: Config = DEFAULT, model: str = "", index: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, loader: Callable, cfg: Config = DEFAULT, model: str = "", index: str | None = None, span: int = SPAN):
         """loader() gives an embedder, list of texts -> matrix; it runs once for each worker's stream of batches.
 
         model: the embedder's name, by which texts of documents and of queries get their prefixes.
         index: a folder for inverted-file indexes, by which recall then searches; by default it searches exactly.
+        span: how many ids make a range, the least that a write rewrites; a store keeps the span of its tables' first writes.
         """
-        self.spark, self.store, self.loader, self.cfg = spark, Store(spark, root), loader, cfg
+        self.spark, self.store, self.loader, self.cfg = spark, Store(spark, root, span), loader, cfg
         self.document_prefix, self.query_prefix = tx.prefixes(model)
         self._indexes = {name: VectorIndex(spark, f"{index.rstrip('/')}/{name}") for name in ("episodic", "semantic")} if index else {}
         self._base: int | None = None
-        self._changed: dict[str, DataFrame] = {}
+        self._changed: dict[str, DataFrame | Ranges] = {}
         self._held: list[DataFrame] = []
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, ranges: list[int] | None = None) -> DataFrame:
         commit = self.store.latest() if self._base is None else self._base
         try:
-            return self.store.read(name, commit) if commit else self.spark.createDataFrame([], TABLES[name])
+            return self.store.read(name, commit, ranges) if commit else self.spark.createDataFrame([], TABLES[name])
         except KeyError:
             return self.spark.createDataFrame([], TABLES[name])
 
@@ -68,13 +74,33 @@ class Memory:
             self._base, self._changed = None, {}
             self.release()
 
-    def _commit(self, name: str, df: DataFrame) -> None:
+    def _ranges(self, name: str, ids: DataFrame) -> list[int] | None:
+        """The ranges of a table that hold the ids, as of the write's beginning; None: the whole table."""
+        return self.store.ranges_of(name, ids, self._base)
+
+    def _commit(self, name: str, df: DataFrame, ranges: list[int] | None = None) -> None:
+        """df becomes the table, or what its ranges hold."""
         wanted = self.spark.createDataFrame([], TABLES[name])
         df = wanted.unionByName(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted.schema if f.name in df.columns]), allowMissingColumns=True)
+        change = Ranges(df, KEYS[name], ranges) if name in KEYS else df
         if self._base is None:
-            self.store.commit(name, df)
+            self.store.commit(name, change)
         else:
-            self._changed[name] = df
+            self._changed[name] = change
+
+    def _remove(self, name: str, gone: DataFrame) -> None:
+        """Rows of the ids go."""
+        ranges = self._ranges(name, gone)
+        if ranges != []:
+            self._commit(name, delete_ids(self.table(name, ranges), gone), ranges)
+
+    def _remove_edges(self, gone: DataFrame) -> None:
+        """Edges with one of the ids at either end go."""
+        edges = self.table("edges").select("src_id", "dst_id")
+        hit = edges.join(gone.select(F.col("id").alias("src_id")), "src_id", "left_semi").unionByName(edges.join(gone.select(F.col("id").alias("dst_id")), "dst_id", "left_semi").select("src_id", "dst_id"))
+        ranges = self._ranges("edges", hit.select(F.col("src_id").alias("id")))
+        if ranges != []:
+            self._commit("edges", delete_ids(delete_ids(self.table("edges", ranges), gone, "src_id"), gone, "dst_id"), ranges)
 
     def _hold(self, df: DataFrame) -> DataFrame:
         """Keeps what is read several times, until `release`."""
@@ -117,19 +143,21 @@ class Memory:
             grouped = inserts.withColumn("episode_group_id", F.when(F.col("segment_count") > 1, F.col("id")))
             fresh = grouped.where("position_in_episode = 0").withColumn("scope", F.lit("session"))
             more = next_ids(old.select("id").unionByName(fresh.select("id")), grouped.where("position_in_episode > 0").withColumn("scope", F.lit("session")).withColumn("dg_support", F.lit(None).cast("array<int>")), ["episode_group_id", "position_in_episode"])
-            base = lifecycle.bump(old, bumps.select("id", "t"), self.cfg.access_history_cap)
             added = fresh.unionByName(more.select(fresh.columns)).withColumns({"last_accessed": F.lit(float(now)), "access_history": F.array(F.lit(float(now)))})
-            base = base.unionByName(added.select(*[F.col(c) if c in added.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in base.columns]))
+            added = self._hold(added.select(*[F.col(c) if c in added.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]))
             group = F.coalesce("episode_group_id", "id")
             into = fresh.select("supersedes", group.alias("new_group")).unionByName(bumps.select("id", "supersedes").join(old.select("id", group.alias("new_group")), "id").select("supersedes", "new_group"))
             into = self._hold(into.where("supersedes is not null").select(F.col("supersedes").alias("target"), "new_group"))
             counts = {"stored": inserts.count(), "repeated": bumps.count(), "superseded": into.count()}
+            touched = added.select("id").unionByName(bumps.select("id"))
             if counts["superseded"]:
-                left = consolidate.supersede(base, into)
-                gone = base.select("id").join(left.select("id"), "id", "left_anti")
-                base, edges = left, delete_cascade(base, self.table("edges"), gone)[1]
-                self._commit("edges", edges)
-            self._commit("episodic", base)
+                groups = old.select("id", "episode_group_id").unionByName(added.select("id", "episode_group_id"))
+                gone = self._hold(groups.select("id").join(consolidate.supersede(groups, into).select("id"), "id", "left_anti"))
+                touched = touched.unionByName(gone)
+                self._remove_edges(gone)
+            ranges = self._ranges("episodic", touched)
+            base = lifecycle.bump(self.table("episodic", ranges), bumps.select("id", "t"), self.cfg.access_history_cap).unionByName(added)
+            self._commit("episodic", delete_ids(base, gone) if counts["superseded"] else base, ranges)
             log = fresh.select("session_id", F.lit(False).alias("deduped")).unionByName(bumps.select("session_id", F.lit(True).alias("deduped")))
             self._log("encode", now, log)
         return counts
@@ -156,8 +184,10 @@ class Memory:
             })
             numbered = self._hold(next_ids(old.select("id"), rows, ["content"]))
             n = numbered.count()
-            kept = old.join(numbered.select(F.col("supersedes").alias("id")), "id", "left_anti")
-            self._commit("semantic", kept.select(old.columns).unionByName(numbered.select(old.columns)))
+            taken = numbered.where("supersedes is not null").select(F.col("supersedes").alias("id"))
+            ranges = self._ranges("semantic", numbered.select("id").unionByName(taken))
+            kept = delete_ids(self.table("semantic", ranges), taken)
+            self._commit("semantic", kept.select(old.columns).unionByName(numbered.select(old.columns)), ranges)
             self._log("store_semantic", now)
         return n
 
@@ -167,32 +197,30 @@ class Memory:
             e = self.table("episodic")
             group = F.coalesce("episode_group_id", "id")
             groups = by_ids(e, ids).select(group.alias("g")).distinct()
-            gone = e.withColumn("g", group).join(groups, "g", "left_semi").select("id")
+            gone = self._hold(e.withColumn("g", group).join(groups, "g", "left_semi").select("id"))
             found = sorted(r.id for r in gone.collect())  # of the ids asked for
             if not dry_run and found:
-                docs, edges = delete_cascade(e, self.table("edges"), gone)
-                self._commit("episodic", docs)
-                self._commit("edges", edges)
+                self._remove("episodic", gone)
+                self._remove_edges(gone)
         return found
 
     def remove_semantic(self, ids: list[int]) -> None:
         """Facts go; what episodes say they were consolidated into stays, on purpose."""
-        s = self.table("semantic")
-        self._commit("semantic", s.where(~F.col("id").isin([int(i) for i in ids])))
+        with self._write():
+            self._remove("semantic", self.spark.createDataFrame([(int(i),) for i in ids], "id long"))
 
     def forget(self, now: float, floor: float = DEFAULT.strength_floor, dry_run: bool = True) -> dict[str, int]:
         with self._write():
             e, s = self.table("episodic"), self.table("semantic")
-            gone = lifecycle.forgettable(e, now, floor, self.cfg).select("id")
-            cold = lifecycle.cold_schemas(s, now, self.cfg.schema_unused_seconds).select("id")
+            gone = self._hold(lifecycle.forgettable(e, now, floor, self.cfg).select("id"))
+            cold = self._hold(lifecycle.cold_schemas(s, now, self.cfg.schema_unused_seconds).select("id"))
             counts = {"episodes": gone.count(), "schemas": cold.count()}
             if not dry_run:
                 if counts["episodes"]:
-                    docs, edges = delete_cascade(e, self.table("edges"), gone)
-                    self._commit("episodic", docs)
-                    self._commit("edges", edges)
+                    self._remove("episodic", gone)
+                    self._remove_edges(gone)
                 if counts["schemas"]:
-                    self._commit("semantic", s.join(cold, "id", "left_anti"))
+                    self._remove("semantic", cold)
                 self._log("forget", now)
         return counts
 
@@ -203,7 +231,6 @@ class Memory:
             ready = filters.eligible(filters.unconsolidated(e, session_id), now, self.cfg)
             done = consolidate.consolidate(ready, s, self.table("schema_candidates"), epoch, now, self.cfg)
             merged = self._hold(done.absorbed.select("id", "schema").unionByName(done.decisions.where("decision = 'merge'").select(F.explode("sources").alias("id"), F.col("target").alias("schema"))))
-            schemas = lifecycle.merge_into_schema(s, merged, now, self.cfg)
             new = self._hold(done.decisions.where("decision in ('promote', 'fast_promote')").select("gist", "sources"))
             members = new.select("gist", F.explode("sources").alias("id")).join(e.select("id", "session_id", "tags"), "id")
             winner = lifecycle.plurality(members, "gist", "session_id")
@@ -215,11 +242,15 @@ class Memory:
             })
             added = self._hold(next_ids(s.select("id"), rows, ["content"]))
             into = merged.union(added.select(F.explode("source_episode_ids").alias("id"), F.col("id").alias("schema"))).groupBy("id").agg(F.min("schema").alias("_into"))
-            episodes = e.join(into, "id", "left").withColumn("consolidated_into", F.coalesce("_into", "consolidated_into")).drop("_into")
+            into = self._hold(into)
             counts = {"absorbed": done.absorbed.count(), "merged": done.decisions.where("decision = 'merge'").count(), "promoted": added.count(), "parked": done.decisions.where("decision = 'park'").count()}
             if counts["absorbed"] + counts["merged"] + counts["promoted"]:
-                self._commit("semantic", schemas.unionByName(added.select(schemas.columns)))
-                self._commit("episodic", episodes)
+                ranges = self._ranges("semantic", added.select("id").union(merged.select("schema")))
+                schemas = lifecycle.merge_into_schema(self.table("semantic", ranges), merged, now, self.cfg)
+                self._commit("semantic", schemas.unionByName(added.select(schemas.columns)), ranges)
+                ranges = self._ranges("episodic", into)
+                episodes = self.table("episodic", ranges).join(into, "id", "left").withColumn("consolidated_into", F.coalesce("_into", "consolidated_into")).drop("_into")
+                self._commit("episodic", episodes, ranges)
             self._commit("schema_candidates", done.candidates)
             self._log("consolidate", now)
         return counts
@@ -317,17 +348,19 @@ class Memory:
         """Bumps returned records; ties the nearest to the others, by co-access and by score; draws the nearest toward its query."""
         with self._write():
             ep = hits.where("source = 'episodic'")
-            bumped = lifecycle.bump(self.table("episodic"), ep.select("id", F.lit(float(now)).alias("t")), self.cfg.access_history_cap)
+            ranges = self._ranges("episodic", ep)
+            bumped = lifecycle.bump(self.table("episodic", ranges), ep.select("id", F.lit(float(now)).alias("t")), self.cfg.access_history_cap)
             anchor = ep.groupBy("query_id").agg(F.min_by(F.struct("id", "distance"), F.struct("distance", "position")).alias("a")).select("query_id", F.col("a.id").alias("anchor"), F.col("a.distance").alias("_near"))
-            pairs = ep.join(anchor, "query_id").where("id <> anchor").select(F.col("anchor").alias("src_id"), F.col("id").alias("dst_id"), vx.score("distance").alias("score"))
-            edges = self._reinforced(self.table("edges"), pairs.groupBy("src_id", "dst_id").agg(F.max("score").alias("score")), now)
+            pairs = self._hold(ep.join(anchor, "query_id").where("id <> anchor").select(F.col("anchor").alias("src_id"), F.col("id").alias("dst_id"), vx.score("distance").alias("score")))
+            sources = self._ranges("edges", pairs.select(F.col("src_id").alias("id")))
+            edges = self._reinforced(self.table("edges", sources), pairs.groupBy("src_id", "dst_id").agg(F.max("score").alias("score")), now)
             seen = pairs.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("_n"))
             sr = edges.where("kind = 'sr'").join(seen, ["src_id", "dst_id"], "full")
             z = lambda c: F.coalesce(c, F.lit(0))
             sr = sr.select(F.lit("sr").alias("kind"), "src_id", "dst_id", F.lit(0.0).alias("weight"), F.lit(0.0).alias("bonus"), (z("hits") + z("_n")).alias("hits"), F.lit(float(now)).alias("last_touch"))
             cues = anchor.join(queries.select("query_id", "vector"), "query_id").groupBy(F.col("anchor").alias("id")).agg(F.max(vx.score("_near")).alias("score"), F.min_by("vector", "_near").alias("cue"))
-            self._commit("edges", edges.where("kind <> 'sr'").unionByName(sr.select(edges.columns)))
-            self._commit("episodic", lifecycle.drift(bumped, cues, now, self.cfg))
+            self._commit("edges", edges.where("kind <> 'sr'").unionByName(sr.select(edges.columns)), sources)
+            self._commit("episodic", lifecycle.drift(bumped, cues, now, self.cfg), ranges)
             self._log("recall", now)
 
     def recall_semantic(self, queries: DataFrame, k: int = 8, kind: str | None = None) -> DataFrame:
