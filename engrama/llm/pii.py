@@ -44,15 +44,16 @@ from bisect import bisect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, materialize
+from .common import Stored
 
 KEY_SETTING = "engrama.pii.key"
 #: After so many draws without a free value a format gets longer.
 WIDEN = 8
-#: Tables of up to so many rows are broadcast, larger ones are joined by a shuffle in SALTS parts.
+#: Tables of up to so many rows are one file and broadcast, larger ones are joined by a shuffle in SALTS parts.
 BROADCAST_ROWS, SALTS = 200_000, 32
 
 # Forms of address, phrases before a name, words between the parts of a name.
@@ -539,6 +540,21 @@ def _drawn(found: DataFrame, attempt: int, secret: bytes) -> DataFrame:
     return found.select("kind", "entity").mapInArrow(run, "kind string, entity string, value string")
 
 
+def _stored(df: DataFrame, tag: str) -> tuple[Stored, int]:
+    """df in the shared folder, and its rows.
+
+    A small table is one file, whatever the number of its partitions: where Hadoop's native
+    library is missing, an executor starts a process for each file that it creates, and that
+    process has all of the executor's memory until it is under way.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        rows = held.count()
+        return Stored(held.coalesce(1) if rows <= BROADCAST_ROWS else held, tag), rows
+    finally:
+        held.unpersist()
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -549,24 +565,24 @@ def resolve(found: DataFrame, secret: bytes) -> tuple[DataFrame, DataFrame | Non
     A value is free if no entity bears it and no earlier draw took it; of entities that
     draw the same value at once, the least keeps it.
     """
-    first = materialize(_drawn(found, 0, secret), "pii-draws")
+    first = _stored(_drawn(found, 0, secret), "pii-draws")[0].df
     taken = first.select("kind", F.col("entity").alias("value"), F.lit(None).cast("string").alias("entity")).unionByName(first.select("kind", "value", "entity"))
     at_once = taken.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("entity").isNull(), 1)).alias("real"), F.min("entity").alias("keeps")).where("n > 1")
-    lost = Stored(_losers(first, at_once), "pii-lost")
-    rows, attempt, again = lost.df.count(), 0, None
+    lost, rows = _stored(_losers(first, at_once), "pii-lost")
+    attempt, again = 0, None
     while rows:
         attempt += 1
-        new = materialize(_drawn(lost.df, attempt, secret), "pii-draws")
+        new = _stored(_drawn(lost.df, attempt, secret), "pii-draws")[0].df
         values = new.select("kind", "value").distinct()
         held = taken.select("kind", "value").join(_small(values, rows), ["kind", "value"], "left_semi").distinct().withColumn("real", F.lit(1).cast("long"))
         least = new.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("keeps"))
         at_once = least.join(held, ["kind", "value"], "left").select("kind", "value", F.coalesce("real", F.lit(0)).alias("real"), "n", "keeps").where("real > 0 or n > 1")
-        left = Stored(_losers(new, at_once), "pii-lost")
+        left, open_ = _stored(_losers(new, at_once), "pii-lost")
         stay = new.join(left.df, ["kind", "entity"], "left_anti").withColumn("attempt", F.lit(attempt))
-        again = materialize(stay if again is None else again.unionByName(stay), "pii-again")
+        again = _stored(stay if again is None else again.unionByName(stay), "pii-again")[0].df
         taken = taken.unionByName(new.select("kind", "value", "entity"))
         lost.drop()
-        lost, rows = left, left.df.count()
+        lost, rows = left, open_
     return first, again
 
 
@@ -586,20 +602,20 @@ def assignments(docs: DataFrame, key: str | None = None) -> DataFrame:
 def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text (with surrogates), n_entities and the mentions of each kind, for each row of docs."""
     secret = _key(docs, key)
-    found = materialize(mentions(docs), "pii-mentions")
+    found = _stored(mentions(docs), "pii-mentions")[0].df
     _, again = resolve(found.select("kind", "entity").distinct(), secret)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     none = F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>").alias("again")
     if again is None:
         return _rewritten(rows.select("doc_id", "text", none), secret)
     mine = found.join(_small(again, again.count()), ["kind", "entity"]).groupBy("text_key").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("again"))
-    mine = materialize(mine, "pii-texts")
+    mine, n = _stored(mine, "pii-texts")
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    if mine.count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(mine), "text_key", "left")
+    if n <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(mine.df), "text_key", "left")
     else:  # copies of one text are many rows of one key
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = rows.join(mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["text_key", "salt"], "left")
+        joined = rows.join(mine.df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["text_key", "salt"], "left")
     return _rewritten(joined.select("doc_id", "text", "again"), secret)
 
 
@@ -619,6 +635,6 @@ def _rewritten(rows: DataFrame, secret: bytes) -> DataFrame:
 
 def audit(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(kind, surrogate, n): surrogates that stand for more than one entity, or for one and are borne by an entity; none are expected."""
-    pairs = materialize(assignments(docs, key), "pii-pairs")
+    pairs = _stored(assignments(docs, key), "pii-pairs")[0].df
     borne = pairs.select("kind", F.col("entity").alias("surrogate"))
     return pairs.select("kind", "surrogate").unionByName(borne.join(pairs.select("kind", "surrogate"), ["kind", "surrogate"], "left_semi")).groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
