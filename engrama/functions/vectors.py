@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,9 +43,14 @@ def score(distance: Column | str) -> Column:
     return F.when(d.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - d / 2)))
 
 
-def normalize(v: Column | str) -> Column:
+def norm_of_any_order(v: Column | str) -> Column:
+    """The norm, to the last bit the same for the components in another order."""
+    return F.sqrt(F.aggregate(F.array_sort(F.transform(_double(v), lambda x: x * x)), F.lit(0.0), lambda s, x: s + x))
+
+
+def normalize(v: Column | str, length: Callable[[Column | str], Column] = norm) -> Column:
     """The unit vector; zeros where the norm is under TINY."""
-    return let(norm(v), lambda n: F.transform(_double(v), lambda x: F.when(n < TINY, F.lit(0.0)).otherwise(x / n)))
+    return let(length(v), lambda n: F.transform(_double(v), lambda x: F.when(n < TINY, F.lit(0.0)).otherwise(x / n)))
 
 
 def truncate(v: Column | str, dim: int) -> Column:
@@ -57,9 +64,9 @@ def minus(a: Column | str, b: Column | str) -> Column:
 
 
 def space_offset(document: Column | str, query: Column | str) -> Column:
-    """normalise(document) - normalise(query), null where shapes differ or a value is not finite."""
+    """normalise(document) - normalise(query), null where shapes differ or a value is not finite; exactly 0 where vectors of one norm agree."""
     finite = lambda v: ~F.exists(_double(v), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when((F.size(_double(document)) == F.size(_double(query))) & finite(document) & finite(query), minus(normalize(document), normalize(query)))
+    return F.when((F.size(_double(document)) == F.size(_double(query))) & finite(document) & finite(query), minus(normalize(document, norm_of_any_order), normalize(query, norm_of_any_order)))
 
 
 def blend(v: Column | str, cue: Column | str, step: Column | float) -> Column:
@@ -68,3 +75,14 @@ def blend(v: Column | str, cue: Column | str, step: Column | float) -> Column:
     mixed = F.zip_with(_double(v), _double(cue), lambda x, y: (1 - s) * x + s * y)
     fits = (s > 0) & (F.size(_double(v)) == F.size(_double(cue))) & (norm(mixed) > 0)
     return F.when(fits, normalize(mixed)).otherwise(_double(v))
+
+
+def rounded(v: Column | str, digits: int) -> Column:
+    """Components rounded as SQL's round does it: scaled, half away from zero, a rounded-off negative one is -0.0."""
+    scale = 10.0**digits
+
+    def one(x: Column) -> Column:
+        y = x * scale
+        return F.when((x == 0) | (F.abs(y) == float("inf")), x).when(x < 0, -(F.round(-y) / scale)).otherwise(F.round(y) / scale)
+
+    return F.transform(_double(v), one)

@@ -104,7 +104,7 @@ def space_offset(spark, sf):
     SELECT vec_id, {_NORM_SQL.format(v='w')} AS v FROM m""")
 def drift_vector(spark, sf):
     cue = F.concat(F.slice("embedding", 2, 63), F.slice("embedding", 1, 1))
-    return T.raw(spark, sf, "embeddings").select("vec_id", F.transform(vx.blend("embedding", cue, 0.05), lambda x: F.round(x, 5)).alias("v"))
+    return T.raw(spark, sf, "embeddings").select("vec_id", vx.rounded(vx.blend("embedding", cue, 0.05), 5).alias("v"))
 
 
 @query("completion_score", """s AS (SELECT q.query_id, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) AS s FROM episodic e, queries q)
