@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from engrama.config import Config
 from engrama.functions import text as tx
+from engrama.functions import vectors as vx
 from engrama.operators import copies, filters, store
 from engrama.operators.shared import cut
 from engrama.sources import tables as T
@@ -203,7 +204,7 @@ def preview(spark, sf):
 
 @query("embedding_payload", "SELECT id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 5)) AS embedding FROM semantic")
 def embedding_payload(spark, sf):
-    return T.semantic(spark, sf).select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
+    return T.semantic(spark, sf).select("id", vx.rounded("embedding", 5).alias("embedding"))
 
 
 @query("semantic_detail", "SELECT id, CASE WHEN authored THEN kind ELSE 'fact' END AS kind, coalesce(confidence, 0) AS confidence, tags, len(source_episode_ids) AS n_sources, coalesce(CASE WHEN id % 3 > 0 THEN updated_at END, created_at) AS updated_at FROM semantic")
