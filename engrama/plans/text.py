@@ -86,7 +86,7 @@ _NORM_SQL = "list_transform({v}, lambda x: round(x / sqrt(list_inner_product({v}
 @query("normalize_vec", f"SELECT vec_id, {_NORM_SQL.format(v='w')} AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (label + 1)) AS w FROM embeddings)")
 def normalize_vec(spark, sf):
     scaled = T.raw(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1)).alias("w"))
-    return scaled.select("vec_id", F.transform(vx.normalize("w"), lambda x: F.round(x, 5)).alias("v"))
+    return scaled.select("vec_id", vx.rounded(vx.normalize("w"), 5).alias("v"))
 
 
 @query("truncate_vec", f"SELECT vec_id, {_NORM_SQL.format(v='w')} AS v FROM (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS w FROM embeddings)")
