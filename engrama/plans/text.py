@@ -97,7 +97,7 @@ def truncate_vec(spark, sf):
 @query("space_offset", "SELECT vec_id, list_transform(list_zip(embedding, embedding[2:] || embedding[1:1]), lambda p: round(CAST(p[1] AS DOUBLE) / n - CAST(p[2] AS DOUBLE) / n, 5)) AS v FROM (SELECT vec_id, embedding, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)")
 def space_offset(spark, sf):
     turned = F.concat(F.slice("embedding", 2, 63), F.slice("embedding", 1, 1))
-    return T.raw(spark, sf, "embeddings").select("vec_id", F.transform(vx.space_offset("embedding", turned), lambda x: F.round(x, 5)).alias("v"))
+    return T.raw(spark, sf, "embeddings").select("vec_id", vx.rounded(vx.space_offset("embedding", turned), 5).alias("v"))
 
 
 @query("drift_vector", f"""m AS (SELECT vec_id, list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST(embedding[2:] || embedding[1:1] AS DOUBLE[])), lambda p: 0.95::DOUBLE * p[1] + 0.05::DOUBLE * p[2]) AS w FROM embeddings)
