@@ -91,7 +91,7 @@ def normalize_vec(spark, sf):
 
 @query("truncate_vec", f"SELECT vec_id, {_NORM_SQL.format(v='w')} AS v FROM (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS w FROM embeddings)")
 def truncate_vec(spark, sf):
-    return T.raw(spark, sf, "embeddings").select("vec_id", F.transform(vx.truncate("embedding", 16), lambda x: F.round(x, 5)).alias("v"))
+    return T.raw(spark, sf, "embeddings").select("vec_id", vx.rounded(vx.truncate("embedding", 16), 5).alias("v"))
 
 
 @query("space_offset", "SELECT vec_id, list_transform(list_zip(embedding, embedding[2:] || embedding[1:1]), lambda p: round(CAST(p[1] AS DOUBLE) / n - CAST(p[2] AS DOUBLE) / n, 5)) AS v FROM (SELECT vec_id, embedding, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)")
