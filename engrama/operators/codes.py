@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,11 +138,89 @@ def background_reference(df: DataFrame, queries: DataFrame, cfg: Config = DEFAUL
     return queries.join(F.broadcast(mean)).where(F.size("mean") == F.size("vector")).select("query_id", (1.0 - vx.dot("mean", vx.normalize("vector"))).alias("reference"))
 
 
+#: Vectors of a pack, and queries of a tile.
+PACK, PACK_TILE = 4096, 1024
+
+
+def _vector_packs(df: DataFrame, vector: str, key: str | None = None) -> DataFrame:
+    """Rows as packs (part, nth, width, n, v[, ids]) of up to PACK vectors of a width; what is null or has a null component is of width -1."""
+    whole = F.when(~F.exists(vector, lambda x: x.isNull()), F.col(vector)).alias("_v")
+    kind = "f8" if df.schema[vector].dataType.elementType.simpleString() != "float" else "f4"
+    ids = f", ids array<{df.schema[key].dataType.simpleString()}>" if key else ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, nth, held = TaskContext.get().partitionId(), 0, {}
+
+        def pack(width: int) -> pd.DataFrame:
+            rows, keys = held.pop(width)
+            return pd.DataFrame({"part": [part], "nth": [nth], "width": [width], "n": [len(rows)], "v": [np.array(rows, dtype=kind).tobytes()]} | ({"ids": [keys]} if key else {}))
+
+        for pdf in batches:
+            for v, k in zip(pdf["_v"], pdf[key] if key else pdf["_v"], strict=True):
+                width = -1 if v is None else len(v)
+                rows, keys = held.setdefault(width, ([], []))
+                if width >= 0:
+                    rows.append(v)
+                if key:
+                    keys.append(k)
+                if max(len(rows), len(keys)) == PACK:
+                    yield pack(width)
+                    nth += 1
+        for width in list(held):
+            yield pack(width)
+            nth += 1
+
+    return df.select(whole, *([key] if key else [])).mapInPandas(run, "part long, nth long, width int, n int, v binary" + ids)
+
+
 def completion_score(df: DataFrame, queries: DataFrame, beta: float = DEFAULT.completion_beta) -> DataFrame:
-    """(query_id, score): the smooth maximum of the dot products."""
-    s = df.select("embedding").join(F.broadcast(queries.select("query_id", "vector"))).select("query_id", vx.dot("embedding", "vector").alias("s"))
-    top = s.groupBy("query_id").agg(F.max("s").alias("m"))
-    return s.join(F.broadcast(top), "query_id").groupBy("query_id").agg((F.first("m") + F.log(F.sum(F.exp(beta * (F.col("s") - F.col("m"))))) / beta).alias("score"))
+    """(query_id, score): the smooth maximum of the dot products.
+
+    Packs of rows meet packs of queries, each pair as tiles of one matrix product. A task folds what its packs give
+    into a row a query, so rows and queries may both grow: no pair of them leaves a task.
+    """
+    spark = df.sparkSession
+    kind = "f8" if df.schema["embedding"].dataType.elementType.simpleString() != "float" else "f4"
+    kind_q = "f8" if queries.schema["vector"].dataType.elementType.simpleString() != "float" else "f4"
+
+    def cell(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, w = np.empty(len(q)), np.empty(len(q))
+        for at in range(0, len(q), PACK_TILE):
+            s = x @ q[at : at + PACK_TILE].T
+            top = s.max(axis=0)
+            s -= top
+            s *= beta
+            m[at : at + PACK_TILE], w[at : at + PACK_TILE] = top, np.where(top == -np.inf, len(x), np.exp(s, out=s).sum(axis=0))
+        return m, w
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: dict[tuple[int, int], list] = {}
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            for pdf in batches:
+                for width, n, v, part, nth, qwidth, qv, ids in zip(pdf["width"], pdf["n"], pdf["v"], pdf["part"], pdf["nth"], pdf["qwidth"], pdf["qv"], pdf["ids"], strict=True):
+                    mine = done.setdefault((part, nth), [ids, None])
+                    if width != qwidth or width < 0:
+                        continue
+                    x, q = (np.frombuffer(b, k).reshape(rows, width).astype(np.float64) for b, k, rows in ((v, kind, n), (qv, kind_q, len(ids))))
+                    m, w = cell(x, q)
+                    if mine[1] is not None:
+                        m0, w0 = mine[1]
+                        top = np.maximum(m0, m)
+                        w = np.where(m0 == top, w0, w0 * np.exp(beta * (m0 - top))) + np.where(m == top, w, w * np.exp(beta * (m - top)))
+                        m = top
+                    mine[1] = m, w
+        for ids, found in done.values():
+            m, w = found or (np.full(len(ids), None), np.full(len(ids), None))
+            yield pd.DataFrame({"query_id": ids, "m": m, "w": w})
+
+    q = queries.select("query_id", "vector").repartition(max(1, ceil(queries.count() / PACK)))
+    q = _vector_packs(q, "vector", "query_id").drop("n").withColumnsRenamed({"width": "qwidth", "v": "qv"})
+    rows = _vector_packs(df, "embedding").select("width", "n", "v").repartition(4 * spark.sparkContext.defaultParallelism)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, m double, w double"
+    per = rows.crossJoin(q).mapInPandas(run, schema).groupBy("query_id").agg(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("m", "w"))).alias("p"))  # a row a task
+    top = per.withColumn("m", F.array_max(F.transform("p", lambda x: x["m"])))
+    total = F.aggregate("p", F.lit(0.0), lambda t, x: t + x["w"] * F.exp(beta * (x["m"] - F.col("m"))))
+    return top.select("query_id", (F.col("m") + F.log(total) / beta).alias("score"))
 
 
 def _softmax_mean(df: DataFrame, state: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
