@@ -44,9 +44,144 @@ def window_pairs(accesses: DataFrame, window: float, hub: int | None = None) ->
     return cur.join(prior, ["bucket", "part"]).where(close).select("prior", "cur", "seq")
 
 
+def _pairs_most(accesses: DataFrame, window: float) -> tuple[int, int]:
+    """A bound on the pairs of accesses within a window, from the counts of its buckets; and about how many records there are."""
+    n = accesses.groupBy(F.floor(F.col("t") / window).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    before = n.select((F.col("b") + 1).alias("b"), F.col("n").alias("n0"))
+    pairs = n.join(before, "b", "left").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.coalesce("n0", F.lit(0)))).first()[0]
+    return int(pairs or 0), accesses.agg(F.approx_count_distinct("ep_id")).first()[0] if pairs else 0
+
+
+def _access_packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A block's accesses in time order as packs of kind 0; further pairs (ep_id, seq, hits, to) of kind 1; one of kind 2 that marks the block."""
+    nth, held, n = 0, [], 0
+
+    def pack(kind: int, block: int, rows: pd.DataFrame) -> pd.DataFrame:
+        nonlocal nth
+        nth += 1
+        t = rows["t"].to_numpy(np.float64)
+        ends = [t.min()] if kind == 0 else [0.0], [t.max()] if kind == 0 else [0.0]
+        flat = {c: [rows[c].to_numpy(d).tobytes()] for c, d in (("seq", "i8"), ("ep_id", "i8"), ("t", "f8"), ("hits", "i8"), ("to", "i4")) if kind != 2 and (kind == 1 or c not in ("hits", "to"))}
+        return pd.DataFrame({"block": [block], "nth": [nth], "kind": [kind], "lo": ends[0], "hi": ends[1]} | {c: flat.get(c, [b""]) for c in ("seq", "ep_id", "t", "hits", "to")})
+
+    for pdf in batches:
+        for kind, rows in pdf.groupby("kind"):
+            if kind:
+                yield pack(int(kind), int(rows["block"].iloc[0]), rows.fillna(0))
+                continue
+            held.append(rows)
+            n += len(rows)
+            if n >= TALLY_PACK:
+                yield pack(0, int(rows["block"].iloc[0]), pd.concat(held))
+                held, n = [], 0
+    if n:
+        yield pack(0, int(held[0]["block"].iloc[0]), pd.concat(held))
+
+
+class _Cell:
+    """Counts of pairs (src, dst) as codes of both ends."""
+
+    def __init__(self):
+        self.codes: dict[int, int] = {}
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+        self.keys, self.hits, self.new, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def code(self, ids: np.ndarray, pack: tuple[int, int]) -> np.ndarray:
+        if pack not in self.known:
+            distinct, at = np.unique(ids, return_inverse=True)
+            self.known[pack] = np.array([self.codes.setdefault(i, len(self.codes)) for i in distinct.tolist()], dtype=np.int64)[at]
+        return self.known[pack]
+
+    def add(self, src: np.ndarray, dst: np.ndarray, hits: np.ndarray | None = None) -> None:
+        keys = src << 32 | dst
+        if hits is None:
+            keys, hits = np.unique(keys, return_counts=True)
+        self.new.append((keys, hits))
+        self.n += len(keys)
+        if self.n > max(1 << 22, len(self.keys) // 2):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, hits = (np.concatenate([first, *[x[at] for x in self.new]]) for at, first in enumerate((self.keys, self.hits)))
+        self.new, self.n = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys, hits = keys[order], hits[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.hits = keys[starts], np.add.reduceat(hits, starts) if len(keys) else hits
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        self.merge()
+        ids = np.fromiter(self.codes, np.int64, len(self.codes))
+        for at in range(0, len(self.keys), 1 << 18):
+            k = self.keys[at : at + (1 << 18)]
+            yield pd.DataFrame({"src": ids[k >> 32], "dst": ids[k & 0xFFFFFFFF], "hits": self.hits[at : at + (1 << 18)]})
+
+
+def _cell_pairs(batches: Iterator[pd.DataFrame], window: float) -> Iterator[pd.DataFrame]:
+    """Counts of a cell's pairs: each access of a later pack with the earlier accesses of a pack of priors that are in its window."""
+    cell = _Cell()
+    of = lambda r, side: [np.frombuffer(getattr(r, side + c), d) for c, d in (("seq", "i8"), ("ep_id", "i8"), ("t", "f8"))]
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            seq0, ep0, t0 = of(r, "p_")
+            here = cell.code(ep0, (r.p_block, r.p_nth))
+            if r.p_kind == 1:
+                mine = np.frombuffer(r.p_to, "i4") == r.c_block
+                if mine.any():
+                    cell.add(here[mine], cell.code(seq0, (-1 - r.p_block, r.p_nth))[mine], np.frombuffer(r.p_hits, "i8")[mine])
+                continue
+            seq, ep, t = of(r, "c_")
+            there = cell.code(ep, (r.c_block, r.c_nth))
+            lo, hi = np.searchsorted(t0, t - window, "left"), np.searchsorted(t0, t, "right")
+            total = np.concatenate([[0], np.cumsum(hi - lo)])
+            at = 0
+            while at < len(t):
+                end = max(at + 1, int(np.searchsorted(total, total[at] + TALLY_SLICE, "right")) - 1)
+                cur = np.repeat(np.arange(at, end), hi[at:end] - lo[at:end])
+                prior = np.arange(total[at], total[end]) - np.repeat(total[at:end] - lo[at:end], hi[at:end] - lo[at:end])
+                ok = (seq0[prior] < seq[cur]) & (here[prior] != there[cur])
+                cell.add(here[prior[ok]], there[cur[ok]])
+                at = end
+    yield from cell.rows()
+
+
+def _tally_in_grid(accesses: DataFrame, window: float, side: int, further: DataFrame | None) -> DataFrame:
+    """(src, dst, hits) by a grid of `side` blocks of records as priors and as what follows them.
+
+    The accesses are written once, by blocks in time order, in packs; a cell reads two blocks and meets the packs
+    whose times are within the window. So no pair is shuffled, and a pair's count is whole in its cell.
+    further(src, dst, hits): pairs to count besides.
+    """
+    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(side)).cast("int")
+    spark = accesses.sparkSession
+    some = accesses.where("seq is not null and ep_id is not null and t is not null").select(block("ep_id").alias("block"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("ep_id").cast("long").alias("ep_id"), F.col("t").cast("double").alias("t"), F.lit(None).cast("long").alias("hits"), F.lit(None).cast("int").alias("to"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    some = some.unionByName(spark.range(side).select(F.col("id").cast("int").alias("block"), F.lit(2).alias("kind"), null("long", "seq"), null("long", "ep_id"), null("double", "t"), null("long", "hits"), null("int", "to")))
+    if further is not None:
+        some = some.unionByName(further.select(block("src").alias("block"), F.lit(1).alias("kind"), F.col("dst").cast("long").alias("seq"), F.col("src").cast("long").alias("ep_id"), null("double", "t"), "hits", block("dst").alias("to")))
+    ordered = some.repartitionById(side, F.col("block")).sortWithinPartitions("kind", "t", "seq")
+    packs = cut(ordered.mapInPandas(_access_packs, "block int, nth int, kind int, lo double, hi double, seq binary, ep_id binary, t binary, hits binary, to binary"))
+    p, c = packs.where("kind < 2"), packs.where("kind <> 1").drop("hits", "to")
+    p, c = p.withColumnsRenamed({x: f"p_{x}" for x in p.columns}), c.withColumnsRenamed({x: f"c_{x}" for x in c.columns})
+    near = (F.col("p_kind") == 0) & (F.col("c_kind") == 0) & (F.col("p_hi") >= F.col("c_lo") - window) & (F.col("p_lo") <= F.col("c_hi"))
+    met = p.hint("shuffle_replicate_nl").join(c, near | ((F.col("p_kind") == 1) & (F.col("c_kind") == 2)))
+    return met.mapInPandas(lambda batches: _cell_pairs(batches, window), "src long, dst long, hits long")
+
+
+def _tally(accesses: DataFrame, window: float, further: DataFrame | None = None) -> DataFrame:
+    """Counts of window pairs, and of further(src, dst, hits). Pairs are shuffled to be counted up to TALLY_PAIRS of them; more are counted in a grid."""
+    pairs, records = _pairs_most(accesses, window)
+    if pairs > TALLY_PAIRS:
+        cells = max(min(pairs, records**2) / CELL_PAIRS, pairs / CELL_WORK, 2 * accesses.sparkSession.sparkContext.defaultParallelism)
+        return _tally_in_grid(accesses, window, ceil(cells**0.5), further)
+    found = window_pairs(accesses, window).select(F.col("prior").alias("src"), F.col("cur").alias("dst"), F.lit(1).cast("long").alias("hits"))
+    found = found if further is None else found.unionByName(further)
+    return found.groupBy("src", "dst").agg(F.sum("hits").alias("hits"))
+
+
 def tally(accesses: DataFrame, window: float = DEFAULT.sr_window_seconds) -> DataFrame:
     """(src, dst, hits): how often dst was accessed within the window after src."""
-    return window_pairs(accesses, window).groupBy(F.col("prior").alias("src"), F.col("cur").alias("dst")).agg(F.count(F.lit(1)).alias("hits"))
+    return _tally(accesses, window)
 
 
 def recall_tally(sets: DataFrame, window: float = DEFAULT.sr_window_seconds) -> DataFrame:
@@ -69,6 +204,8 @@ TD_NODES, TD_EVENTS = 1 << 14, 32
 TD_CELLS, TD_COLUMNS, TD_PACK, TD_GATHER = 1 << 24, 32, 1 << 17, 256
 #: Edges out of a node, or accesses of a time bucket, that one task joins at most, about.
 HUB = 4096
+#: Window pairs that are shuffled at most; distinct pairs and pairs of a cell of the grid, about; accesses of a pack, pairs that are spelt out at once.
+TALLY_PAIRS, CELL_PAIRS, CELL_WORK, TALLY_PACK, TALLY_SLICE = 1 << 26, 1 << 23, 1 << 27, 1 << 16, 1 << 21
 #: A chunk's effect on the closure: row i becomes the sum of v times old row k (kind 'row') and of v at column k (kind 'col').
 EFFECT = "chunk long, i long, kind string, k long, v double"
 
