@@ -186,9 +186,8 @@ def tally(accesses: DataFrame, window: float = DEFAULT.sr_window_seconds) -> Dat
 
 def recall_tally(sets: DataFrame, window: float = DEFAULT.sr_window_seconds) -> DataFrame:
     """(src, dst, hits) of recall sets (seq, anchor, others, t): earlier anchors to the anchor, and the anchor to the others."""
-    anchors = window_pairs(sets.select("seq", F.col("anchor").alias("ep_id"), "t"), window).select(F.col("prior").alias("src"), F.col("cur").alias("dst"))
     out = sets.select(F.col("anchor").alias("src"), F.explode("others").alias("dst")).where("src <> dst")
-    return anchors.union(out).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("hits"))
+    return _tally(sets.select("seq", F.col("anchor").alias("ep_id"), "t"), window, out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("hits")))
 
 
 def evict(tallies: DataFrame, gone: DataFrame) -> DataFrame:
