@@ -190,6 +190,11 @@ def recall_tally(sets: DataFrame, window: float = DEFAULT.sr_window_seconds) ->
     return _tally(sets.select("seq", F.col("anchor").alias("ep_id"), "t"), window, out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("hits")))
 
 
+def tally_without(accesses: DataFrame, gone: DataFrame, window: float = DEFAULT.sr_window_seconds) -> DataFrame:
+    """evict(tally(accesses), gone), with the accesses of gone(id) left out first: a pair's count does not depend on other records."""
+    return tally(accesses.join(gone.select(F.col("id").alias("ep_id")), "ep_id", "left_anti"), window)
+
+
 def evict(tallies: DataFrame, gone: DataFrame) -> DataFrame:
     """Tallies without the records in gone(id), at either end."""
     return tallies.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")

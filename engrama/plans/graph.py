@@ -69,7 +69,7 @@ def sr_anchor_closure(spark, sf):
 @query("sr_evict", f"{_PAIRS.format(w=60)} SELECT src, dst, count(*) AS hits FROM pairs WHERE src % 10 <> 3 AND dst % 10 <> 3 GROUP BY src, dst")
 def sr_evict(spark, sf):
     gone = T.accesses(spark, sf).where("ep_id % 10 = 3").selectExpr("ep_id as id").distinct()
-    return gr.evict(gr.tally(T.accesses(spark, sf)), gone)
+    return gr.tally_without(T.accesses(spark, sf), gone)
 
 
 @query("sr_omega", "SELECT round(0.3 * least(1, (SELECT sum(hits) FROM edges WHERE kind = 'sr')::DOUBLE / greatest(1, (SELECT count(*) FROM episodic) * 20.0)), 6) AS omega")
